@@ -58,9 +58,11 @@ MONTHS = (
 WEEKDAYS = "today|tomorrow|yesterday|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: Column) -> Column:
+    def normalize(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(normalize, "string")(text)
 
 
 def sanitize_text(text: ColumnLike) -> Column:

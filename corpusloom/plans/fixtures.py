@@ -220,3 +220,32 @@ fact_questions AS (
     ELSE text END AS query
   FROM benchmark
 )"""
+
+
+def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as embedding attempts: errors are failures, and the user number is the path."""
+    e = table(spark, sf_dir, "events")
+    waited = (F.col("value") * 1000).cast("bigint")
+    finished = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select(
+        F.col("event_id").alias("task_id"),
+        F.format_string("user %05d.md", F.col("user_id")).alias("path"),
+        F.timestamp_micros(finished - 2000 * waited).alias("queued_at"),
+        F.timestamp_micros(finished - 1000 * waited).alias("started_at"),
+        F.timestamp_micros(finished).alias("finished_at"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("outcome"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        (F.col("user_id") % 2 == 0).alias("active_hit"),
+    )
+
+
+def embedding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as failed attempts on the note whose number is the event number."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    return e.join(notes(spark, sf_dir).select(F.col("doc_id").alias("event_id"), "path"), "event_id").select(
+        "path", F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("message")
+    )
+
+
+FAILURES_SQL = """
+failures AS (SELECT n.path, e.props AS message FROM events e JOIN notes n ON n.doc_id = e.event_id WHERE e.event_type = 'error')"""
