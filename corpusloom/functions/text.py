@@ -351,21 +351,28 @@ def best_snippet(text: ColumnLike, question: ColumnLike, max_chars: int = 220, m
 def match_snippet(text: ColumnLike, query: ColumnLike) -> Column:
     """Text around the whole query, else around the first query token that occurs, else the beginning."""
     flat = F.replace(col(text), F.lit("\n"), F.lit(" "))
-    needle = F.lower(trim(query))
-
-    def cut(body: Column, lowered: Column) -> Column:
-        tokens = non_empty(F.split(needle, WS + "+"))
-        spots = F.filter(F.transform(tokens, lambda t: F.instr(lowered, t)), lambda p: p > 0)
-        whole = F.instr(lowered, needle)
-        at = F.when(whole > 0, whole).otherwise(F.get(spots, F.lit(0)))
-        start = F.greatest(F.lit(0), at - 1 - 70)
-        return trim(
-            F.when(at.isNull(), F.left(body, F.lit(180))).otherwise(
-                F.substring(body, start + 1, at - 1 + 140 - start)
-            )
+
+    def place(lowered: Column, needle: Column) -> Column:
+        """One-based position of the query or of its first token that occurs; 0 when none does."""
+        token = F.get(
+            F.filter(non_empty(F.split(needle, WS + "+")), lambda t: F.contains(lowered, t)), F.lit(0)
+        )
+        return let(
+            F.instr(lowered, needle),
+            lambda whole: F.when(whole > 0, whole).otherwise(F.coalesce(F.instr(lowered, token), F.lit(0))),
         )
 
-    return let(flat, lambda body: let(F.lower(body), lambda lowered: cut(body, lowered)))
+    def cut(body: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - 71)
+        return trim(F.when(at == 0, F.left(body, F.lit(180))).otherwise(F.substring(body, start + 1, at + 139 - start)))
+
+    return let(
+        flat,
+        lambda body: let(
+            let(F.lower(trim(query)), lambda needle: let(F.lower(body), lambda lowered: place(lowered, needle))),
+            lambda at: cut(body, at),
+        ),
+    )
 
 
 def snippet_preview(snippet: ColumnLike, tokens: ColumnLike, max_chars: int = 220) -> Column:
