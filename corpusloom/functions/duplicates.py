@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.columns import WORD_END, WORD_START, WS, ColumnLike, choose, col, has_word, matches, one_of, squeeze
+from corpusloom.functions.columns import WORD_END, WORD_START, WS, ColumnLike, choose, col, has_word, let, one_of, squeeze
 from corpusloom.functions.paths import folder_depth
 
 # Marks of copies, exports and scans in a file name.
@@ -117,9 +117,11 @@ def reason_text(base: ColumnLike, target: ColumnLike, why: ColumnLike) -> Column
 def jaccard(a: ColumnLike, b: ColumnLike) -> Column:
     """Share of common members of two sets; 0 if either is empty."""
     left, right = col(a), col(b)
-    common = F.size(F.array_intersect(left, right))
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(
-        common / (F.size(left) + F.size(right) - common)
+        let(
+            F.size(F.array_intersect(left, right)),
+            lambda common: common / (F.size(left) + F.size(right) - common),
+        )
     )
 
 

@@ -61,17 +61,17 @@ def _near(x: str, y: str) -> Column:
         (c(x, "hash") != c(y, "hash"))
         & (c(x, "role").isNull() | c(y, "role").isNull() | (c(x, "role") == c(y, "role")))
         & (same_folder | noisy)
-        & (_length_ratio(x, y) >= du.LENGTH_RATIO)
+        & (length_ratio(x, y) >= du.LENGTH_RATIO)
         & (F.round(du.jaccard(c(x, "words"), c(y, "words")), 9) >= threshold)
     )
 
 
-def _length_ratio(x: str, y: str) -> Column:
+def length_ratio(x: str, y: str) -> Column:
     a, b = F.length(F.col(f"{x}.normalized")), F.length(F.col(f"{y}.normalized"))
     return F.least(a, b) / F.greatest(a, b)
 
 
-def _candidates(profile: DataFrame) -> DataFrame:
+def near_candidates(profile: DataFrame) -> DataFrame:
     """Profiles that share their stem with another one, with their word sets."""
     shared = profile.filter(F.col("stem") != "").groupBy("stem").count().filter(F.col("count") > 1).select("stem")
     return profile.join(shared, "stem", "left_semi").withColumn("words", du.word_set("normalized"))
@@ -136,7 +136,7 @@ def _flag(joined: DataFrame) -> DataFrame:
 
 def near_duplicates(profile: DataFrame) -> DataFrame:
     """Near copies, each with the best unflagged match. Give it profiles without exact copies."""
-    open_files = cut_lineage(_candidates(profile))
+    open_files = cut_lineage(near_candidates(profile))
     done = None
     for _ in range(PIVOT_PASSES):
         # The best open file of a stem has no better match, so it stays; whatever is near it is settled.

@@ -7,6 +7,7 @@ from corpusloom.operators import duplicates as dd
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans import sqlparts as q
 from corpusloom.plans.catalog import Item
+from corpusloom.session import cut_lineage
 
 _NOISE_RE2 = [
     "(?i)\\bcopy\\b", "(?i)\\bfinal\\b", "(?i)\\bexport\\b", "(?i)\\bscan(?:ned)?\\d*\\b", "(?i)\\bimg[_ -]?\\d+\\b", "\\(\\d+\\)",
@@ -124,10 +125,10 @@ SELECT path, kind, target, reason FROM exact"""
 def near_duplicates(spark, sf):
     """All near pairs among the notes and the similarity that decided them."""
     profile = dd.duplicate_profile(fx.notes(spark, sf))
-    pairs = dd.near_pairs(dd._candidates(profile))
+    pairs = dd.near_pairs(cut_lineage(dd.near_candidates(profile)))
     return pairs.select(
         F.col("x.path").alias("path"), F.col("y.path").alias("better"), F.col("x.stem").alias("stem"),
-        F.round(du.jaccard("x.words", "y.words"), 6).alias("similarity"), F.round(dd._length_ratio("x", "y"), 6).alias("length_ratio"),
+        F.round(du.jaccard("x.words", "y.words"), 6).alias("similarity"), F.round(dd.length_ratio("x", "y"), 6).alias("length_ratio"),
     )
 
 

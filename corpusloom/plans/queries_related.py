@@ -9,6 +9,7 @@ from corpusloom.plans import fixtures as fx
 from corpusloom.plans import sqlparts as q
 from corpusloom.plans import queries_text as qt
 from corpusloom.plans.catalog import Item
+from corpusloom.session import cut_lineage
 
 
 def _inputs(spark, sf):
@@ -119,7 +120,8 @@ FROM rs"""
 def update_related(spark, sf):
     """The edges after the notes of the export folders changed; nothing else did, so the graph stays the same."""
     features, vectors = _inputs(spark, sf)
-    edges = rl.related_edges(features, vectors)
+    # The stored graph, as an update would find it.
+    edges = cut_lineage(rl.related_edges(features, vectors))
     changed = features.filter(F.contains("path", F.lit("/exports/")))
     have = vectors.join(features.select("path"), "path", "left_semi")
     return rl.update_related(edges, changed, features, have).select("source", "target", "rank", F.round("score", 6).alias("score"))
@@ -132,7 +134,7 @@ SELECT source, target, rank, round(score, 6) AS score FROM edges"""
 
 def prune_related(spark, sf):
     features, vectors = _inputs(spark, sf)
-    edges = rl.related_edges(features, vectors)
+    edges = cut_lineage(rl.related_edges(features, vectors))
     valid = features.filter(~F.contains("path", F.lit("/exports/")))
     return rl.prune_related(features, edges, valid)[2]
 
