@@ -178,7 +178,7 @@ def weighted_tokens(tokens: Column, early: int, early_bonus: float, base: float
             ),
         )
 
-    pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
     return let(pairs, runs)
 
 
@@ -193,7 +193,7 @@ def top_keywords(text: ColumnLike, limit: int = KEYWORD_LIMIT, max_chars: int |
     keyed = F.transform(
         weighted, lambda w: F.struct((-F.round(w["weight"], 6)).alias("rank"), w["pos"].alias("pos"), w["token"].alias("token"))
     )
-    return F.transform(F.slice(F.array_sort(keyed), 1, limit), lambda w: w["token"])
+    return F.transform(F.slice(F.sort_array(keyed), 1, limit), lambda w: w["token"])
 
 
 # What counts as a named entity, in order of precedence.
@@ -401,7 +401,7 @@ def snippet_probes(snippet: ColumnLike) -> Column:
         tokens = F.array_distinct(
             F.filter(matches(text, "[A-Za-z0-9]{3,}"), lambda t: ~one_of(F.lower(t), PROBE_STOP_WORDS))
         )
-        ranked = F.array_sort(
+        ranked = F.sort_array(
             F.transform(tokens, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("token")))
         )
         longest = F.transform(F.slice(ranked, 1, 2), lambda r: r["token"])

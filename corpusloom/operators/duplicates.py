@@ -89,7 +89,7 @@ def _rare_word_pairs(candidates: DataFrame) -> DataFrame:
     ranked = (
         words.join(frequency, ["stem", "word"], "left")
         .groupBy("stem", "path", "n")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "word"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "word"))).alias("by_rarity"))
     )
     length = F.col("n") - F.ceil(F.col("n") * du.NEAR_NOISY).cast("int") + 1
     prefix = ranked.select("stem", "path", F.explode(F.slice("by_rarity", 1, length)).alias("w")).filter(F.col("w.f") > 1)

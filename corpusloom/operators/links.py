@@ -71,7 +71,7 @@ def resolve_targets(targets: DataFrame, paths: DataFrame, strip_anchor: bool = T
         titled.withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= AMBIGUOUS_SHOWN)
         .groupBy("title")
-        .agg(F.array_sort(F.collect_list("file")).alias("files"))
+        .agg(F.sort_array(F.collect_list("file")).alias("files"))
     )
     by_title = shown.join(titled.groupBy("title").agg(F.count(F.lit(1)).alias("n")), "title")
     joined = wanted.join(exact, "target", "left").withColumn("title", _title(F.col("normalized"))).join(by_title, "title", "left")
@@ -101,7 +101,7 @@ def broken_references(documents: DataFrame, paths: DataFrame, strip_anchor: bool
 def _replace_all(documents: DataFrame, replacements: DataFrame) -> DataFrame:
     """Documents with literal replacements (path, full, new) carried out; others are left out."""
     lists = replacements.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.struct("full", "new"))).alias("swaps"), F.sum("times").alias("replaced")
+        F.sort_array(F.collect_set(F.struct("full", "new"))).alias("swaps"), F.sum("times").alias("replaced")
     )
     return documents.join(lists, "path").withColumn(
         "content", F.aggregate("swaps", F.col("content"), lambda text, s: F.replace(text, s["full"], s["new"]))

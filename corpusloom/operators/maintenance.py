@@ -148,7 +148,7 @@ def model_status(paths: DataFrame, embeddings: DataFrame, model: str) -> DataFra
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(fresh, F.col("n"))), F.lit(0)).alias("up_to_date"),
         F.coalesce(F.sum(F.when(~fresh, F.col("n"))), F.lit(0)).alias("stale"),
-        F.array_sort(F.collect_list(F.when(trim("model") != "", F.col("model")))).alias("observed_models"),
+        F.sort_array(F.collect_list(F.when(trim("model") != "", F.col("model")))).alias("observed_models"),
     )
 
 

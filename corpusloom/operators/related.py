@@ -44,7 +44,7 @@ def _first_siblings(paths: DataFrame, limit: int) -> DataFrame:
         foldered.withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= limit + 1)
         .groupBy("folder")
-        .agg(F.array_sort(F.collect_list("path")).alias("heads"))
+        .agg(F.sort_array(F.collect_list("path")).alias("heads"))
     )
     others = F.slice(F.filter("heads", lambda p: p != F.col("path")), 1, limit)
     return foldered.join(heads, "folder").select(F.col("path").alias("source"), F.explode(others).alias("target"))
@@ -65,7 +65,7 @@ def related_candidates(
     found = found.join(wanted, "source", "left_semi").filter("source <> target").distinct()
     few = wanted.join(found.groupBy("source").count(), "source", "left").filter(F.coalesce("count", F.lit(0)) < enough)
     # At most siblings + 1 paths, carried as one array.
-    first = paths.select("path").orderBy("path").limit(siblings + 1).agg(F.array_sort(F.collect_list("path"))).scalar()
+    first = paths.select("path").orderBy("path").limit(siblings + 1).agg(F.sort_array(F.collect_list("path"))).scalar()
     filler = few.select("source", first.alias("first")).select(
         "source", F.explode(F.slice(F.filter("first", lambda p: p != F.col("source")), 1, siblings)).alias("target")
     )

@@ -308,7 +308,7 @@ def assemble_context(
     chosen = primary.drop("include_related").unionByName(related)
     with_text = chosen.join(documents.select("path", "content"), "path")
     sources = with_text.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "path", "similarity", F.substring("content", 1, max_chars).alias("text")))).alias("sources"),
+        F.sort_array(F.collect_list(F.struct("n", "path", "similarity", F.substring("content", 1, max_chars).alias("text")))).alias("sources"),
         F.min_by("content", "n").alias("first_content"),
     )
     block = lambda s, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit(": "), s["path"], F.lit("]\n"), s["text"])

@@ -174,7 +174,7 @@ def mean_pool(vectors: DataFrame) -> DataFrame:
         .agg(F.avg("value").alias("value"))
     )
     return sums.groupBy("path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("embedding")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("embedding")
     )
 
 
