@@ -122,7 +122,7 @@ def _messy(x: str) -> str:
 
 def _clean(x: str) -> str:
     words = f"list_filter(regexp_split_to_array(regexp_replace({x}, '[/\\\\:*?\"<>|]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
-    cased = f"list_transform({words}, lambda w: CASE WHEN lower(w) IN ({q.quoted(nm.ACRONYMS)}) THEN upper(w) WHEN regexp_full_match(w, '[A-Z]{{2,4}}') THEN w ELSE upper(left(w, 1)) || lower(substring(w, 2)) END)"
+    cased = f"list_transform({words}, lambda w: CASE WHEN lower(w) IN ({q.quoted(nm.ACRONYMS)}) THEN upper(w) WHEN regexp_full_match(w, '[A-Z]{{2,4}}') THEN w ELSE replace(upper(left(w, 1)), 'ẞ', 'SS') || lower(substring(w, 2)) END)"
     return f"trim(left(coalesce(array_to_string({cased}, ' '), ''), 60))"
 
 
