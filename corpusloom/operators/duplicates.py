@@ -167,5 +167,5 @@ def near_duplicates(profile: DataFrame) -> DataFrame:
 def detect_duplicates(documents: DataFrame) -> DataFrame:
     """Every file to delete or merge, with its target and reason."""
     profile = duplicate_profile(documents)
-    exact = exact_duplicates(profile)
+    exact = cut_lineage(exact_duplicates(profile))
     return exact.unionByName(near_duplicates(profile.join(exact.select("path"), "path", "left_anti")))

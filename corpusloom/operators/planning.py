@@ -15,6 +15,7 @@ from corpusloom.functions.text import content_hash, timeline_date
 from corpusloom.operators.duplicates import detect_duplicates
 from corpusloom.operators.maintenance import model_matches
 from corpusloom.operators.positions import number_rows
+from corpusloom.session import cut_lineage
 
 # Fixed values.
 CLUTTER_NAMES = [
@@ -329,7 +330,9 @@ def apply_strategy(moves: DataFrame, strategy: str, dictionary: DataFrame) -> Da
         bent = F.concat_ws("/", clean(F.array_compact(F.array("category", "subcategory"))), name)
         why = F.lit("type-based grouping")
     elif strategy == "timeline":
-        moves = moves.withColumn("_when", timeline_date("current", "content", "modified_at"))
+        # A caller that has left the texts behind brings the dates along.
+        dates = F.col("timeline") if "timeline" in moves.columns else timeline_date("current", "content", "modified_at")
+        moves = moves.withColumn("_when", dates)
         month = F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.col("_when.month") - 1)
         dated = F.concat_ws("/", F.lit("Timeline"), F.col("_when.year").cast("string"), F.concat(F.format_string("%02d-", F.col("_when.month")), month), name)
         bent = F.when(F.col("_when").isNotNull(), dated).otherwise(target)
@@ -469,6 +472,7 @@ def build_plan(
     dictionary = taxonomy(paths)
     if preferences is not None:
         dictionary = dictionary.unionByName(preferences.select("kind", "key", "inner_key", "n"))
+    dictionary = cut_lineage(dictionary)
     none, text_null = F.lit(None).cast(REVIEW_TYPE), F.lit(None).cast("string")
 
     if folders is None:
@@ -480,17 +484,21 @@ def build_plan(
     flattened = clutter.select(*_op("move", "recommended", F.col("path"), F.col("target"), F.col("reason"), text_null, none))
 
     rest = corpus.join(clutter.select("path"), "path", "left_anti")
-    profiles = (
+    # Profiles are costly and used many times, so they are written once; they leave the texts behind.
+    profiles = cut_lineage(
         doc_profile(rest, as_of)
-        .withColumn("category", F.col("folder.category")).withColumn("subcategory", F.col("folder.subcategory"))
-        .withColumn("current", pt.strip_notes_root("path"))
-        .withColumn("needs_model", needs_model("path", "content"))
+        .withColumn("timeline", timeline_date("path", "content", "modified_at") if strategy == "timeline" else F.lit(None))
+        .select(
+            "path", "modified_at", "file_kind", "plan_title", "file_role", "quality", "conservative", "timeline",
+            F.col("folder.category").alias("category"), F.col("folder.subcategory").alias("subcategory"),
+            pt.strip_notes_root("path").alias("current"), needs_model("path", "content").alias("needs_model"),
+        )
     )
     review = lambda validation: F.struct(
         F.col("file_kind"), F.col("quality.quality").alias("quality"), F.col("quality.reason").alias("quality_reason"), F.col("file_role"),
         F.col("conservative"), F.lit(validation is not None).alias("validated"), F.lit(validation).alias("validation"),
     )
-    copies = detect_duplicates(profiles.select("path", "content", "file_role", "modified_at"))
+    copies = detect_duplicates(rest.select("path", "content").join(profiles.select("path", "file_role", "modified_at"), "path"))
     contexts = profiles.select("path", review(None).alias("review"))
     duplicates = copies.join(contexts, "path").select(
         F.when(F.col("kind") == "merge-recommended", "merge").otherwise("delete").alias("type"),
@@ -527,7 +535,7 @@ def build_plan(
     renamed = F.concat_ws("/", F.nullif(pt.parent("target"), F.lit("")), F.concat(new_title, pt.dotted_extension("target")))
     stay = F.col("conservative") & F.col("structured") & ~F.col("loose") & ~F.col("title_messy")
     noted = F.concat("reason", F.lit(" ("), "quality.reason", F.lit(")"))
-    moves = (
+    moves = cut_lineage(
         moves.withColumn("target", F.when(rename, renamed).otherwise(F.col("target")))
         .withColumn("target", F.when(stay, F.col("current")).otherwise(F.col("target")))
         .withColumn("reason", F.when(stay & ~F.contains(F.lower("reason"), F.lower("quality.reason")), noted).otherwise(F.col("reason")))
