@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.columns import choose, one_of
+from corpusloom.session import spread
 
 EPOCH_2024_US = 1704067200000000
 MINUTE_US = 60000000
@@ -24,8 +25,13 @@ NAME_WORDS = [
 NAME_EXTENSIONS = ["md", "pdf", "docx", "pptx", "xlsx", "csv", "png", "txt"]
 
 
+# Tables whose rows are costly enough to be worth spreading when the files are small.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _padded(number: Column) -> Column:
@@ -43,7 +49,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     yields itself, its follower or both.
     """
     docs = table(spark, sf_dir, "documents")
-    total = docs.select(F.count(F.lit(1))).scalar()
+    total = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.count(F.lit(1))).scalar()
     source = docs.withColumn("n", total)
     base = F.col("doc_id")
     ids = F.array_compact(
