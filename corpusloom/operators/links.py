@@ -152,7 +152,9 @@ def mention_backlinks(documents: DataFrame, limit: int = BACKLINKS) -> DataFrame
     words = documents.select("path", F.explode(F.array_distinct(matches(F.lower("content"), "[a-z0-9_]+"))).alias("word"))
     title_words = titles.select("title", F.explode(F.array_distinct(matches("title", "[a-z0-9_]+"))).alias("word"))
     frequency = words.join(title_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    rarest = title_words.join(frequency, "word").groupBy("title").agg(F.min_by("word", F.struct("f", "word")).alias("word"))
+    # A word that occurs nowhere has frequency 0 and is chosen first: its title meets no text.
+    counted = title_words.join(frequency, "word", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    rarest = counted.groupBy("title").agg(F.min_by("word", F.struct("f", "word")).alias("word"))
     meetings = words.join(rarest, "word").select("title", F.col("path").alias("source"))
     texts = documents.select(F.col("path").alias("source"), F.lower("content").alias("content"))
     found = meetings.join(texts, "source").filter(F.regexp_like("content", _literal(F.col("title"))))
