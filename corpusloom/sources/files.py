@@ -56,7 +56,7 @@ def decode_text(files: DataFrame) -> DataFrame:
     error = F.when(F.col("size_bytes") > MAX_TEXT_BYTES, too_large).when(
         looks_binary(F.col("bytes")), "Unsupported binary file (preview is not available yet)."
     )
-    text = F.decode("bytes", "UTF-8")
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
     return files.withColumn("error", error).withColumn("content", F.when(F.col("error").isNull(), text)).drop("bytes")
 
 
