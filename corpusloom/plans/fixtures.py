@@ -85,7 +85,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def note_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records without content hashes, for readers that only want vectors; the notes' texts are not read."""
+    return note_embeddings(spark, sf_dir, hashed=False)
+
+
+def note_embeddings(spark: SparkSession, sf_dir: str, hashed: bool = True) -> DataFrame:
     """Vectors under the path of the note with the same number; numbers without a note keep a path of their own."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id"),
@@ -94,7 +99,7 @@ def note_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%010d", F.col("vec_id")).alias("created_at"),
     )
     paths = notes(spark, sf_dir).select(
-        F.col("doc_id").alias("vec_id"), "path", tx.content_hash("content").alias("note_hash")
+        F.col("doc_id").alias("vec_id"), "path", (tx.content_hash("content") if hashed else F.lit("")).alias("note_hash")
     )
     joined = vectors.join(paths, "vec_id", "left")
     return joined.select(

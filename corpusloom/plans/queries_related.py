@@ -14,7 +14,7 @@ from corpusloom.session import cut_lineage
 
 def _inputs(spark, sf):
     features = rl.doc_features(fx.notes(spark, sf))
-    vectors = vx.latest_embeddings(fx.note_embeddings(spark, sf)).select("path", "embedding")
+    vectors = vx.latest_embeddings(fx.note_vectors(spark, sf)).select("path", "embedding")
     return features, vectors
 
 

@@ -103,7 +103,7 @@ SELECT query_id, path, round(similarity, 6) AS similarity, coalesce(array_to_str
 
 
 def hybrid_search(spark, sf):
-    found = rt.hybrid_search(fx.search_queries(spark, sf), fx.notes(spark, sf), fx.note_embeddings(spark, sf))
+    found = rt.hybrid_search(fx.search_queries(spark, sf), fx.notes(spark, sf), fx.note_vectors(spark, sf))
     return _shown(found)
 
 
@@ -165,7 +165,7 @@ def _lookup_queries(spark, sf):
 def _lookup_results(spark, sf):
     """Three results for each of these queries: its vector's neighbours, and its own note."""
     notes = fx.notes(spark, sf)
-    latest = vx.latest_embeddings(fx.note_embeddings(spark, sf))
+    latest = vx.latest_embeddings(fx.note_vectors(spark, sf))
     near = vx.knn_candidates(latest, latest, 0.12, 2)
     ids = notes.select(F.col("doc_id").cast("string").alias("query_id"), "path")
     found = near.join(ids.withColumnRenamed("path", "source"), "source").select("query_id", F.col("target").alias("path"), "similarity")
@@ -264,7 +264,7 @@ def assemble_context(spark, sf):
     notes = fx.notes(spark, sf)
     results = rt.intent_rerank(_lookup_results(spark, sf), _lookup_queries(spark, sf), 3)
     plans = rt.grounding_plan(results, _lookup_queries(spark, sf))
-    latest = vx.latest_embeddings(fx.note_embeddings(spark, sf))
+    latest = vx.latest_embeddings(fx.note_vectors(spark, sf))
     edges = vx.knn_candidates(latest, latest, 0.12, 5).withColumnRenamed("similarity", "score")
     made = rt.assemble_context(results, plans, notes, edges)
     trust = rt.trust_level("similarity")
@@ -371,7 +371,7 @@ def route_questions(spark, sf):
     notes, questions = fx.notes(spark, sf), fx.fact_questions(spark, sf)
     vectors = fx.search_queries(spark, sf).select("query_id", "embedding")
     asked = questions.join(vectors, "query_id")
-    index = fx.note_embeddings(spark, sf)
+    index = fx.note_vectors(spark, sf)
     latest = vx.latest_embeddings(index)
     answers = fa.answer_from_facts(questions, fa.extract_facts(_fact_notes(spark, sf)))
     results = rt.hybrid_search(asked, notes, index, 5)

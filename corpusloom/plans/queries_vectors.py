@@ -31,7 +31,7 @@ SELECT CAST(a_id AS VARCHAR) AS query_id, b_path AS path, round(s, 6) AS similar
 
 
 def knn_candidates(spark, sf):
-    latest = vx.latest_embeddings(fx.note_embeddings(spark, sf))
+    latest = vx.latest_embeddings(fx.note_vectors(spark, sf))
     found = vx.knn_candidates(latest, latest)
     return found.select("source", "target", F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -70,7 +70,7 @@ QUALIFY row_number() OVER (PARTITION BY p ORDER BY created_at DESC) = 1"""
 
 
 def stale_or_missing(spark, sf):
-    return mt.stale_or_missing(fx.notes(spark, sf), vx.latest_embeddings(fx.note_embeddings(spark, sf)), "M1")
+    return mt.stale_or_missing(fx.notes(spark, sf), vx.latest_embeddings(fx.note_vectors(spark, sf)), "M1")
 
 
 STALE_SQL = f"""
@@ -81,7 +81,7 @@ FROM notes n LEFT JOIN note_embeddings e USING (path) WHERE e.model IS NULL OR e
 
 def reembed_targets(spark, sf):
     candidates = fx.notes(spark, sf).select("path", (-F.col("doc_id")).alias("position"))
-    return mt.reembed_targets(candidates, vx.latest_embeddings(fx.note_embeddings(spark, sf)), "m1", 25).select("path", "state")
+    return mt.reembed_targets(candidates, vx.latest_embeddings(fx.note_vectors(spark, sf)), "m1", 25).select("path", "state")
 
 
 REEMBED_SQL = f"""
@@ -94,7 +94,7 @@ ORDER BY n.doc_id DESC LIMIT 25"""
 def orphan_embeddings(spark, sf):
     """The index against the notes outside export folders."""
     docs = fx.notes(spark, sf).filter(~F.contains("path", F.lit("/exports/")))
-    return mt.orphan_embeddings(fx.note_embeddings(spark, sf), docs)
+    return mt.orphan_embeddings(fx.note_vectors(spark, sf), docs)
 
 
 ORPHANS_SQL = f"""
@@ -104,7 +104,7 @@ SELECT DISTINCT path FROM note_embeddings WHERE path NOT IN (SELECT path FROM no
 
 def index_health(spark, sf):
     fails = mt.latest_failures(fx.embedding_failures(spark, sf), fx.embedding_failures(spark, sf))
-    issues = mt.index_health(fx.notes(spark, sf), vx.latest_embeddings(fx.note_embeddings(spark, sf)), fails, "m1")
+    issues = mt.index_health(fx.notes(spark, sf), vx.latest_embeddings(fx.note_vectors(spark, sf)), fails, "m1")
     return issues.select("path", "type", "reason", "detail", "rank")
 
 
@@ -120,7 +120,7 @@ UNION ALL SELECT path, 'failed', 'Last embedding attempt failed', message, 0 FRO
 
 def index_health_status(spark, sf):
     fails = mt.latest_failures(fx.embedding_failures(spark, sf), fx.embedding_failures(spark, sf))
-    return mt.index_health_status(fx.notes(spark, sf), vx.latest_embeddings(fx.note_embeddings(spark, sf)), fails, "m1")
+    return mt.index_health_status(fx.notes(spark, sf), vx.latest_embeddings(fx.note_vectors(spark, sf)), fails, "m1")
 
 
 HEALTH_STATUS_SQL = f"""
@@ -130,7 +130,7 @@ FROM notes n LEFT JOIN note_embeddings e USING (path) LEFT JOIN failures f USING
 
 
 def model_status(spark, sf):
-    status = mt.model_status(fx.notes(spark, sf), fx.note_embeddings(spark, sf), "m1")
+    status = mt.model_status(fx.notes(spark, sf), fx.note_vectors(spark, sf), "m1")
     return status.withColumn("observed_models", F.array_join("observed_models", ","))
 
 
