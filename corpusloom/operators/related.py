@@ -11,6 +11,7 @@ from corpusloom.functions.paths import file_name, normalize_path, parent, second
 from corpusloom.functions.text import entities, related_tokens, top_keywords
 from corpusloom.functions.vectors import dot
 from corpusloom.operators.vectors import knn_candidates
+from corpusloom.session import cut_lineage
 
 # Candidate counts, edge count and score thresholds.
 NEIGHBOURS = 40
@@ -62,7 +63,8 @@ def related_candidates(
     )
     if existing is not None:
         found = found.unionByName(existing.select("source", "target"))
-    found = found.join(wanted, "source", "left_semi").filter("source <> target").distinct()
+    # Read twice below; the neighbour search behind it should run once.
+    found = cut_lineage(found.join(wanted, "source", "left_semi").filter("source <> target").distinct())
     few = wanted.join(found.groupBy("source").count(), "source", "left").filter(F.coalesce("count", F.lit(0)) < enough)
     # At most siblings + 1 paths, carried as one array.
     first = paths.select("path").orderBy("path").limit(siblings + 1).agg(F.sort_array(F.collect_list("path"))).scalar()
@@ -97,8 +99,11 @@ def score_columns(semantic: Column, keyword: Column, title: Column, entity: Colu
 
 def score_pairs(pairs: DataFrame, features: DataFrame, vectors: DataFrame) -> DataFrame:
     """Signals and score of unordered pairs (a, b)."""
-    signals = features.select("path", "title_tokens", "keywords", "entities", "folder", "top", "second").join(
-        vectors.select("path", _unit(F.col("embedding")).alias("unit")), "path", "left"
+    # Both ends of the pairs read the same features, so the texts are gone through once.
+    signals = cut_lineage(
+        features.select("path", "title_tokens", "keywords", "entities", "folder", "top", "second").join(
+            vectors.select("path", _unit(F.col("embedding")).alias("unit")), "path", "left"
+        )
     )
     joined = (
         pairs.join(signals.select(F.col("path").alias("a"), F.struct("*").alias("x")), "a")
