@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import consistency as cs
 from corpusloom.operators import links as lk
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans import sqlparts as q
@@ -184,7 +185,32 @@ RECENT_SQL = f"""
 WITH {fx.NOTES_SQL}
 SELECT path, CAST(max(ts) AS VARCHAR) AS ts FROM events JOIN notes ON doc_id = user_id GROUP BY path ORDER BY max(ts) DESC, path LIMIT 5"""
 
+def retrieval_eligible(spark, sf):
+    return cs.retrieval_eligible(fx.named_files(spark, sf))
+
+
+_T = q.strip("content")
+ELIGIBLE_SQL = f"""
+WITH {fx.NAMED_FILES_SQL},
+t AS (SELECT path, kind, {_T} AS t, regexp_extract_all(lower({_T}), '[a-z]{{2,}}') AS w FROM named_files),
+f AS (SELECT *, length(regexp_replace(t, '{q.WS}+', '', 'g')) AS n, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS a, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS d FROM t)
+SELECT DISTINCT path FROM f WHERE kind <> 'image' OR (length(t) >= 240 AND len(w) >= 45 AND a::DOUBLE / n >= 0.38 AND NOT (d::DOUBLE / n > 0.34 AND a::DOUBLE / n < 0.52)
+  AND (n - a - d)::DOUBLE / n <= 0.28 AND len(list_distinct(w))::DOUBLE / len(w) >= 0.28)"""
+
+
+def consistency_report(spark, sf):
+    return cs.consistency_report(linked_notes(spark, sf), fx.note_vectors(spark, sf))
+
+
+CONSISTENCY_SQL = f"""
+WITH {LINKED_SQL}, {RESOLVE_CTE}
+SELECT (SELECT count(*) FROM linked) AS valid_notes,
+  (SELECT count(*) FROM (SELECT DISTINCT coalesce(n.path, 'gone/vec ' || printf('%05d', vec_id) || '.md') AS p FROM embeddings LEFT JOIN notes n ON n.doc_id = vec_id) WHERE p NOT IN (SELECT path FROM linked)) AS orphan_embeddings,
+  (SELECT count(*) FROM links JOIN res USING (target) WHERE resolved IS NULL) AS broken_references"""
+
 ITEMS = {
+    "retrieval_eligible": Item(retrieval_eligible, ELIGIBLE_SQL),
+    "consistency_report": Item(consistency_report, CONSISTENCY_SQL),
     "extract_links": Item(extract_links, LINKS_SQL),
     "resolve_targets": Item(resolve_targets, RESOLVE_SQL),
     "broken_references": Item(broken_references, BROKEN_SQL),

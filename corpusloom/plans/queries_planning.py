@@ -235,7 +235,7 @@ def structural_issues(spark, sf):
     )
     folders = pl.folder_counts(odd).select("folder").unionByName(
         n.filter(F.col("doc_id") % 29 == 0).select(F.concat(F.lit("archive/empty "), F.col("doc_id").cast("string")).alias("folder"))
-    ).unionByName(n.limit(1).select(F.lit("archive").alias("folder")))
+    ).unionByName(n.select(F.lit("archive").alias("folder")).distinct())
     return pl.structural_issues(odd, folders)
 
 
