@@ -42,18 +42,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that spark.checkpoint.dir names.
+
+    Only a session of one machine may do without it and gets a folder of its own; on a cluster the driver's folders are
+    not the executors', so there the setting is required.
+    """
     context = spark.sparkContext
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
-    current = context.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(current)
-    return current
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
