@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import archives, exact
+from corpusloom.llm import archives, exact, lines, simhash
 from corpusloom.llm.common import table
 from corpusloom.plans.catalog import Item
 
@@ -29,6 +29,10 @@ FROM p
 
 def items() -> dict[str, Item]:
     return {
+        "op1_simhash": Item(lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents"))),
+        "op2_line_dedup": Item(
+            lambda spark, sf: lines.delete_repeated_runs(table(spark, sf, "documents")).select("doc_id", "text", "n_removed")
+        ),
         "op4_exact_dedup": Item(lambda spark, sf: exact.exact_duplicates(table(spark, sf, "documents")), EXACT_SQL),
         "op8_warc": Item(
             lambda spark, sf: archives.archive_pages(table(spark, sf, "pages")).select(
