@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import archives, exact, lines, simhash
+from corpusloom.llm import archives, exact, lines, packing, pages, rules, simhash
 from corpusloom.llm.common import table
 from corpusloom.plans.catalog import Item
 
@@ -34,6 +34,13 @@ def items() -> dict[str, Item]:
             lambda spark, sf: lines.delete_repeated_runs(table(spark, sf, "documents")).select("doc_id", "text", "n_removed")
         ),
         "op4_exact_dedup": Item(lambda spark, sf: exact.exact_duplicates(table(spark, sf, "documents")), EXACT_SQL),
+        "op5_packing": Item(lambda spark, sf: packing.pack_documents(table(spark, sf, "documents"))),
+        "op9_quality_rules": Item(
+            lambda spark, sf: rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+                "doc_id", *rules.COUNTS[:5], "base_failed", "kept"
+            )
+        ),
+        "op10_main_text": Item(lambda spark, sf: pages.main_texts(table(spark, sf, "pages"))),
         "op8_warc": Item(
             lambda spark, sf: archives.archive_pages(table(spark, sf, "pages")).select(
                 "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
