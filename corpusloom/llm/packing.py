@@ -10,6 +10,7 @@ poorly filled sequences of different shards. Texts never enter the shuffles; onl
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -108,10 +109,31 @@ def fitness(lengths: list[int], groups: Packing) -> tuple[int, int]:
     return -len(groups), sum(f * f for f in filled(lengths, groups))
 
 
+def reinsert(lengths: list[int], groups: Packing, loose: list[int], capacity: int) -> Packing:
+    """Put loose items back: first each swaps with one or two smaller ones where that fills a sequence better, then best fit."""
+    sizes = sorted((lengths[item], item) for item in loose)
+    for g in groups:
+        room = capacity - sum(lengths[i] for i in g)
+        if not room or not sizes:
+            continue
+        best = (0, None, None)
+        for out in [*((i,) for i in g), *itertools.combinations(g, 2)] if len(g) <= 24 else [(i,) for i in g]:
+            size = sum(lengths[i] for i in out)
+            at = bisect.bisect_right(sizes, (size + room, len(lengths))) - 1
+            if at >= 0 and sizes[at][0] - size > best[0]:
+                best = (sizes[at][0] - size, out, at)
+        if best[0]:
+            g.append(sizes.pop(best[2])[1])
+            for i in best[1]:
+                g.remove(i)
+                bisect.insort(sizes, (lengths[i], i))
+    return best_fit(lengths, [i for _, i in reversed(sizes)], capacity, groups)
+
+
 def crossover(lengths: list[int], a: Packing, b: Packing, capacity: int, rng: np.random.Generator) -> Packing:
     """Inject well-filled sequences of `a` into `b`, break up those of `b` that share an item, re-insert what is displaced."""
     draws = rng.random(len(a))
-    injected = [g for g, f, r in zip(a, filled(lengths, a), draws) if r < 0.5 * (f / capacity) ** 8]
+    injected = [list(g) for g, f, r in zip(a, filled(lengths, a), draws) if r < 0.5 * (f / capacity) ** 8]
     taken = {item for g in injected for item in g}
     kept, displaced = [], []
     for g in b:
@@ -119,16 +141,15 @@ def crossover(lengths: list[int], a: Packing, b: Packing, capacity: int, rng: np
             kept.append(list(g))
         else:
             displaced += [item for item in g if item not in taken]
-    displaced.sort(key=lambda item: (-lengths[item], item))
-    return best_fit(lengths, displaced, capacity, [list(g) for g in injected] + kept)
+    return reinsert(lengths, injected + kept, displaced, capacity)
 
 
 def mutate(lengths: list[int], groups: Packing, capacity: int, rng: np.random.Generator) -> Packing:
-    """Break up the emptiest sequences and some others, and re-insert their items by best fit."""
+    """Break up the emptiest sequences and some others, and re-insert their items."""
     worth = np.array(filled(lengths, groups)) + rng.integers(0, capacity // 4, len(groups))
     broken = set(np.argsort(worth, kind="stable")[: max(2, len(groups) // 12)].tolist())
-    loose = sorted((item for i in broken for item in groups[i]), key=lambda item: (-lengths[item], item))
-    return best_fit(lengths, loose, capacity, [list(g) for i, g in enumerate(groups) if i not in broken])
+    loose = [item for i in broken for item in groups[i]]
+    return reinsert(lengths, [list(g) for i, g in enumerate(groups) if i not in broken], loose, capacity)
 
 
 def evolve(
