@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import archives, exact, lines, packing, pages, rules, simhash
+import corpus_pipeline
+from corpusloom.llm import archives, chats, exact, lines, mixing, packing, pages, rules, simhash, urls
 from corpusloom.llm.common import table
 from corpusloom.plans.catalog import Item
 
@@ -34,6 +35,10 @@ def items() -> dict[str, Item]:
             lambda spark, sf: lines.delete_repeated_runs(table(spark, sf, "documents")).select("doc_id", "text", "n_removed")
         ),
         "op4_exact_dedup": Item(lambda spark, sf: exact.exact_duplicates(table(spark, sf, "documents")), EXACT_SQL),
+        "op3_mixing": Item(lambda spark, sf: mixing.schedule(table(spark, sf, "documents"))),
+        "op6_url_filter": Item(lambda spark, sf: urls.judge_urls(table(spark, sf, "pages"))),
+        "op7_quotation_links": Item(lambda spark, sf: chats.link_quotes(table(spark, sf, "conversations"))),
+        "pipeline": Item(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
         "op5_packing": Item(lambda spark, sf: packing.pack_documents(table(spark, sf, "documents"))),
         "op9_quality_rules": Item(
             lambda spark, sf: rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
