@@ -25,7 +25,7 @@ SMALL_TALK = [
 
 
 def rerank_tokens(query: ColumnLike) -> Column:
-    return F.slice(matches(F.lower(col(query)), "[a-z0-9]{2,}"), 1, 12)
+    return matches(F.lower(col(query)), "[a-z0-9]{2,}")
 
 
 def retrieval_intent(query: ColumnLike) -> Column:

@@ -47,7 +47,6 @@ PROBE_STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "when",
 
 # Counts and weights of the keyword ranking.
 KEYWORD_LIMIT = 22
-ENTITY_LIMIT = 14
 EARLY_TOKENS = 60
 EARLY_BONUS = 0.7
 
@@ -206,11 +205,12 @@ ENTITY_PATTERNS = [
 ]
 
 
-def entities(text: ColumnLike, limit: int = ENTITY_LIMIT, max_chars: int | None = None) -> Column:
+def entities(text: ColumnLike, limit: int | None = None, max_chars: int | None = None) -> Column:
+    """Distinct named entities in pattern order, all of them unless `limit` keeps the first ones."""
     body = _window(text, max_chars)
     found = F.concat(*[matches(body, WORD_START + pattern + WORD_END) for pattern in ENTITY_PATTERNS])
     named = F.filter(F.transform(found, lambda e: F.lower(trim(e))), lambda e: F.length(e) >= 2)
-    return F.slice(F.array_distinct(named), 1, limit)
+    return first_of(F.array_distinct(named), limit)
 
 
 def sentences(text: ColumnLike, max_chars: int | None = None) -> Column:
@@ -293,17 +293,19 @@ def excerpt(text: ColumnLike, max_chars: int = 220) -> Column:
     )
 
 
-def query_terms(text: ColumnLike, variant: str = "retrieval") -> Column:
-    """Search terms of a question. Variants differ in stop words, distinctness and count."""
+def first_of(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def query_terms(text: ColumnLike, variant: str = "retrieval", limit: int | None = None) -> Column:
+    """Search terms of a question, all of them by default. Variants differ in stop words and distinctness."""
     words = matches(F.lower(col(text)), "[a-z0-9]{2,}")
-    if variant == "retrieval":
-        return F.slice(F.filter(F.array_distinct(words), lambda t: ~one_of(t, RETRIEVAL_STOP_WORDS)), 1, 10)
+    if variant in ("retrieval", "highlight"):
+        return first_of(F.filter(F.array_distinct(words), lambda t: ~one_of(t, RETRIEVAL_STOP_WORDS)), limit)
     if variant == "facts":
-        return F.filter(words, lambda t: ~one_of(t, FACT_STOP_WORDS))
-    if variant == "highlight":
-        return F.slice(F.filter(F.array_distinct(words), lambda t: ~one_of(t, RETRIEVAL_STOP_WORDS)), 1, 8)
+        return first_of(F.filter(words, lambda t: ~one_of(t, FACT_STOP_WORDS)), limit)
     if variant == "rerank":
-        return F.slice(words, 1, 12)
+        return first_of(words, limit)
     raise ValueError(f"unknown variant {variant!r}")
 
 
@@ -424,7 +426,3 @@ def strip_markup(text: ColumnLike) -> Column:
 def compact_lines(text: ColumnLike) -> Column:
     lines = F.split(F.replace(col(text), F.lit("\u0000"), F.lit(" ")), "\r?\n")
     return F.array_join(non_empty(F.transform(lines, trim)), "\n")
-
-
-def find_words(text: ColumnLike, alternatives: str) -> Column:
-    return matches(text, whole_word(alternatives))

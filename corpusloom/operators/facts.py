@@ -13,7 +13,6 @@ from corpusloom.functions.paths import is_retrievable, normalize_path
 from corpusloom.functions.text import looks_date_like, query_terms, sentences
 from corpusloom.operators.scoring import best_texts
 
-FACTS_PER_DOCUMENT = 24
 MIN_MATCH = 0.24
 
 # The sentence shapes that state a fact. Group 1 is the subject, group 2 the value;
@@ -41,8 +40,11 @@ def _stated(sentence: Column, pattern: str, dated: float, other: float) -> Colum
     )
 
 
-def extract_facts(documents: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Facts of each document, one for each subject and value: the most confident statement, first on ties."""
+def extract_facts(documents: DataFrame, max_chars: int | None = None, max_facts: int | None = None) -> DataFrame:
+    """Facts of each document, one for each subject and value: the most confident statement, first on ties.
+
+    All of them by default; `max_facts` keeps the first ones of each document.
+    """
     docs = documents.select(normalize_path("path").alias("path"), "content").filter(is_retrievable("path"))
     lines = docs.select("path", F.posexplode(sentences("content", max_chars)).alias("line", "statement"))
     s = F.col("statement")
@@ -77,13 +79,11 @@ def extract_facts(documents: DataFrame, max_chars: int | None = None) -> DataFra
         F.min_by("fact", F.struct((-F.col("fact.confidence")).alias("c"), F.col("seen").alias("s"))).alias("fact"),
     )
     order = Window.partitionBy("path").orderBy("first_seen")
-    return (
-        merged.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= FACTS_PER_DOCUMENT)
-        .select(
-            F.concat_ws("::", "path", F.col("fact.line").cast("string"), "subject_key", "value_key").alias("id"),
-            "path", "position", "fact.subject", "fact.value", "fact.statement", "fact.kind", "fact.confidence",
-        )
+    numbered = merged.withColumn("position", F.row_number().over(order))
+    kept = numbered if max_facts is None else numbered.filter(F.col("position") <= max_facts)
+    return kept.select(
+        F.concat_ws("::", "path", F.col("fact.line").cast("string"), "subject_key", "value_key").alias("id"),
+        "path", "position", "fact.subject", "fact.value", "fact.statement", "fact.kind", "fact.confidence",
     )
 
 

@@ -140,7 +140,7 @@ def model_status(paths: DataFrame, embeddings: DataFrame, model: str) -> DataFra
         embeddings.withColumn("path", normalize_path("path"))
         .join(_paths(paths), "path", "left_semi")
         .groupBy("path")
-        .agg(F.max_by(F.coalesce("model", F.lit("")), F.coalesce("created_at", F.lit(""))).alias("model"))
+        .agg(F.max(F.struct(F.coalesce("created_at", F.lit("")), F.coalesce("model", F.lit("")).alias("model"))).getField("model").alias("model"))
     )
     by_model = records.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     fresh = model_matches(F.lit(model), F.col("model"))
@@ -223,5 +223,5 @@ def failures_since_success(task_log: DataFrame) -> DataFrame:
     return later.groupBy("path").agg(
         F.count(F.lit(1)).alias("retries"),
         F.max("finished_at").alias("at"),
-        F.max_by("error", "finished_at").alias("message"),
+        F.max_by("error", F.struct("finished_at", "error")).alias("message"),
     )

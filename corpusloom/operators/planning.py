@@ -21,7 +21,6 @@ from corpusloom.session import cut_lineage
 CLUTTER_NAMES = [
     "copies", "copy", "exports", "export", "imports", "import", "scans", "scan", "uploads", "upload", "tmp", "temp",
 ]
-CLUTTER_FILES = 8
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 UNCERTAIN = "(?i)heuristic pass|could not parse analysis|analysis failed|error during analysis|low-confidence"
 REVIEW_WORDS = (
@@ -45,10 +44,10 @@ def _lower_top(path: ColumnLike) -> Column:
 
 
 def learning_tokens(path: ColumnLike) -> Column:
-    """Up to eight words of at least four characters of a file name."""
+    """Words of at least four characters of a file name."""
     name = F.regexp_replace(F.lower(F.substring_index(col(path), "/", -1)), "\\.[^.]+$", "")
     words = F.split(F.regexp_replace(name, "[^a-z0-9]+", " "), " ")
-    return F.slice(F.filter(words, lambda t: F.length(t) >= 4), 1, 8)
+    return F.filter(words, lambda t: F.length(t) >= 4)
 
 
 # Structure of the folder tree.
@@ -105,8 +104,8 @@ def structural_issues(paths: DataFrame, folders: DataFrame) -> DataFrame:
     return nested.unionByName(empty).unionByName(repeated)
 
 
-def clutter_folders(paths: DataFrame) -> DataFrame:
-    """Files of shallow copy or export folders, with their place in the parent folder."""
+def clutter_folders(paths: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Files of shallow copy or export folders, with their place in the parent folder; of any size unless bounded."""
     files = paths.select("path", pt.parent("path").alias("folder"), pt.file_name("path").alias("name"))
     counted = files.groupBy("folder").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_noisy_name("name")).alias("noisy")
@@ -115,8 +114,8 @@ def clutter_folders(paths: DataFrame) -> DataFrame:
     # A folder that holds any folder appears among the parents of folders.
     with_folders = folder_counts(paths).filter(F.col("folders") > 0).select("folder")
     chosen = counted.filter(
-        F.contains("folder", F.lit("/")) & one_of(folder_name, CLUTTER_NAMES) & F.col("n").between(1, CLUTTER_FILES)
-        & (F.col("n") == F.col("noisy"))
+        F.contains("folder", F.lit("/")) & one_of(folder_name, CLUTTER_NAMES) & (F.col("n") == F.col("noisy"))
+        & (F.lit(True) if max_files is None else F.col("n") <= max_files)
     ).join(with_folders, "folder", "left_anti")
     up = pt.parent("folder")
     return files.join(chosen.select("folder"), "folder").select(

@@ -18,7 +18,6 @@ TOKEN_WEIGHTS = {"name": 20.0, "path": 10.0, "content": 4.0}
 WEAK_SEMANTIC = 0.36
 BOTH_BONUS = 0.06
 STRONG_SEMANTIC = 0.72
-CONTEXT_CHARS = 3600
 
 
 def search_tokens(query: ColumnLike) -> Column:
@@ -282,9 +281,9 @@ def grounding_plan(results: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def assemble_context(
-    results: DataFrame, plans: DataFrame, documents: DataFrame, edges: DataFrame, max_chars: int = CONTEXT_CHARS
+    results: DataFrame, plans: DataFrame, documents: DataFrame, edges: DataFrame, max_chars: int | None = None
 ) -> DataFrame:
-    """Context text of each query: the planned number of readable sources, then one related document.
+    """Context text of each query: the planned number of readable sources, then one related document, whole by default.
 
     ``edges(source, target, score, rank)`` lists related documents. A query has at most three sources.
     """
@@ -308,7 +307,7 @@ def assemble_context(
     chosen = primary.drop("include_related").unionByName(related)
     with_text = chosen.join(documents.select("path", "content"), "path")
     sources = with_text.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("n", "path", "similarity", F.substring("content", 1, max_chars).alias("text")))).alias("sources"),
+        F.sort_array(F.collect_list(F.struct("n", "path", "similarity", (F.col("content") if max_chars is None else F.substring("content", 1, max_chars)).alias("text")))).alias("sources"),
         F.min_by("content", "n").alias("first_content"),
     )
     block = lambda s, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit(": "), s["path"], F.lit("]\n"), s["text"])

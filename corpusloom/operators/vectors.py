@@ -179,14 +179,17 @@ def mean_pool(vectors: DataFrame) -> DataFrame:
 
 
 def latest_embeddings(embeddings: DataFrame) -> DataFrame:
-    """One record for each retrievable path: the greatest ``created_at``. Empty vectors do not count."""
+    """One record for each retrievable path: the greatest ``created_at``, then the greatest model and other fields.
+
+    Empty vectors do not count.
+    """
     eligible = (
         embeddings.withColumn("path", normalize_path("path"))
         .filter(is_retrievable("path") & (F.size("embedding") > 0))
         .withColumn("created_at", F.coalesce("created_at", F.lit("")))
     )
     record = F.struct(*[c for c in eligible.columns if c != "path"])
-    latest = eligible.groupBy("path").agg(F.max_by(record, "created_at").alias("r")).select("path", "r.*")
+    latest = eligible.groupBy("path").agg(F.max_by(record, F.struct("created_at", "model", record)).alias("r")).select("path", "r.*")
     return latest.withColumn("model", F.coalesce("model", F.lit(""))).withColumn(
         "content_hash", F.lower(F.trim(F.coalesce("content_hash", F.lit(""))))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.columns import choose, one_of
-from corpusloom.session import spread
 
 EPOCH_2024_US = 1704067200000000
 MINUTE_US = 60000000
@@ -25,13 +24,8 @@ NAME_WORDS = [
 NAME_EXTENSIONS = ["md", "pdf", "docx", "pptx", "xlsx", "csv", "png", "txt"]
 
 
-# Tables whose rows are costly enough to be worth spreading when the files are small.
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _padded(number: Column) -> Column:
@@ -45,43 +39,36 @@ def _minute(number: Column) -> Column:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a folder of notes with headings, links, deadlines, drafts and copies.
 
-    Every document whose number ends in 1 takes over the text of its predecessor, so each source row
-    yields itself, its follower or both.
+    Every document is a note; those whose number ends in 0 also have a copy (a draft, a final version or a plain copy),
+    numbered after all documents.
     """
     docs = table(spark, sf_dir, "documents")
-    total = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.count(F.lit(1))).scalar()
-    source = docs.withColumn("n", total)
+    total = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.max("doc_id") + 1).scalar()
     base = F.col("doc_id")
-    ids = F.array_compact(
-        F.array(
-            F.when(base % 10 != 1, base),
-            F.when((base % 10 == 0) & (base + 1 < F.col("n")), base + 1),
-        )
-    )
-    rows = source.select(
-        F.explode(ids).alias("doc_id"), base.alias("base_id"), "text", "source", "lang", "n"
-    )
-    doc = F.col("doc_id")
+    source = docs.withColumn("n", total)
+    ids = F.array_compact(F.array(base, F.when(base % 10 == 0, base + F.col("n"))))
+    rows = source.select(F.explode(ids).alias("doc_id"), base.alias("base_id"), "text", "source", "lang", "n")
+    b, copied = F.col("base_id"), F.col("doc_id") != F.col("base_id")
     folder = choose(
-        (doc % 30 == 11, F.concat_ws("/", "source", "lang", F.lit("exports/"))),
-        ((doc % 19 == 0) & (doc % 10 != 1), ""),
+        (copied & (b % 30 == 10), F.concat_ws("/", "source", "lang", F.lit("exports/"))),
+        (~copied & (b % 19 == 0), ""),
         otherwise=F.concat_ws("/", "source", "lang", F.lit("")),
     )
-    suffix = choose((doc % 30 == 1, " draft"), (doc % 30 == 11, " final"), (doc % 30 == 21, " copy"), otherwise="")
-    b = F.col("base_id")
+    version = choose((b % 30 == 0, " draft"), (b % 30 == 10, " final"), otherwise=" copy")
+    suffix = F.when(copied, version).otherwise("")
     lines = [
         F.concat(F.lit("# Doc "), b.cast("string")), F.lit(""), F.col("text"), F.lit(""), F.lit("## Links"),
         F.concat(F.lit("[[doc "), _padded((b * 7 + 2) % F.col("n")), F.lit("]]")),
         F.concat(F.lit("[ref](missing-"), (b % 5).cast("string"), F.lit(".md)")),
         F.format_string("Deadline: 2024-%02d-%02d", F.lit(1) + b % 12, F.lit(1) + b % 28),
-        F.when(doc % 20 == 1, F.lit("Revision appended later")),
+        F.when(copied & (b % 20 == 0), F.lit("Revision appended later")),
     ]
     return rows.select(
         "doc_id",
         F.concat(folder, F.lit("doc "), _padded(b), suffix, F.lit(".md")).alias("path"),
         F.concat_ws("\n", *lines).alias("content"),
         F.lit("text").alias("kind"),
-        _minute(doc).alias("modified_at"),
+        _minute(F.col("doc_id")).alias("modified_at"),
     )
 
 
@@ -174,19 +161,20 @@ def fact_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTES_SQL = """
 notes AS (
   SELECT doc_id, base_id, folder || 'doc ' || printf('%05d', base_id)
-      || CASE doc_id % 30 WHEN 1 THEN ' draft' WHEN 11 THEN ' final' WHEN 21 THEN ' copy' ELSE '' END || '.md' AS path,
+      || CASE WHEN doc_id = base_id THEN '' ELSE CASE base_id % 30 WHEN 0 THEN ' draft' WHEN 10 THEN ' final' ELSE ' copy' END END || '.md' AS path,
     '# Doc ' || base_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Links' || chr(10)
       || '[[doc ' || printf('%05d', (base_id * 7 + 2) % n) || ']]' || chr(10)
       || '[ref](missing-' || (base_id % 5) || '.md)' || chr(10)
       || 'Deadline: 2024-' || printf('%02d', 1 + base_id % 12) || '-' || printf('%02d', 1 + base_id % 28)
-      || CASE WHEN doc_id % 20 = 1 THEN chr(10) || 'Revision appended later' ELSE '' END AS content,
+      || CASE WHEN doc_id <> base_id AND base_id % 20 = 0 THEN chr(10) || 'Revision appended later' ELSE '' END AS content,
     'text' AS kind, 1704067200 + doc_id * 60 AS modified_s
   FROM (
-    SELECT d.doc_id, b.doc_id AS base_id, b.text, (SELECT count(*) FROM documents) AS n,
-      CASE WHEN d.doc_id % 30 = 11 THEN b.source || '/' || b.lang || '/exports/'
-           WHEN d.doc_id % 19 = 0 AND d.doc_id % 10 <> 1 THEN ''
-           ELSE b.source || '/' || b.lang || '/' END AS folder
-    FROM documents d JOIN documents b ON b.doc_id = CASE WHEN d.doc_id % 10 = 1 THEN d.doc_id - 1 ELSE d.doc_id END)
+    SELECT doc_id, base_id, text, n,
+      CASE WHEN doc_id <> base_id AND base_id % 30 = 10 THEN source || '/' || lang || '/exports/'
+           WHEN doc_id = base_id AND base_id % 19 = 0 THEN ''
+           ELSE source || '/' || lang || '/' END AS folder
+    FROM (SELECT unnest(CASE WHEN d.doc_id % 10 = 0 THEN [d.doc_id, d.doc_id + m.n] ELSE [d.doc_id] END) AS doc_id,
+        d.doc_id AS base_id, text, source, lang, m.n FROM documents d, (SELECT max(doc_id) + 1 AS n FROM documents) m))
 )"""
 
 PATH_VARIANTS_SQL = NOTES_SQL + """,
@@ -206,7 +194,7 @@ note_embeddings AS (
     CAST(e.embedding AS DOUBLE[]) AS embedding,
     CASE WHEN e.vec_id % 5 = 0 THEN 'm0' ELSE 'm1:latest' END AS model,
     printf('%010d', e.vec_id) AS created_at,
-    CASE WHEN e.vec_id % 3 = 0 THEN '' ELSE coalesce(lpad(printf('%x', list_reduce(
+    CASE WHEN e.vec_id % 3 = 0 OR n.content IS NULL THEN '' ELSE coalesce(lpad(printf('%x', list_reduce(
       list_prepend(2166136261::BIGINT, list_transform(string_split(n.content, ''), lambda c: unicode(c)::BIGINT)),
       lambda h, c: (xor(h, c) * 16777619) & 4294967295)), 8, '0'), '') END AS content_hash
   FROM embeddings e LEFT JOIN notes n ON n.doc_id = e.vec_id
@@ -251,12 +239,16 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors as failed attempts on the note whose number is the event number."""
+    """Errors as failed attempts, on the note whose number is the event number's remainder."""
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    return e.join(notes(spark, sf_dir).select(F.col("doc_id").alias("event_id"), "path"), "event_id").select(
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.max("doc_id") + 1).scalar()
+    paths = notes(spark, sf_dir).select(F.col("doc_id").alias("note"), "path")
+    return e.withColumn("note", F.col("event_id") % n).join(paths, "note").select(
         "path", F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("message")
     )
 
 
 FAILURES_SQL = """
-failures AS (SELECT n.path, e.props AS message FROM events e JOIN notes n ON n.doc_id = e.event_id WHERE e.event_type = 'error')"""
+failures AS (SELECT n.path, e.props AS message FROM events e, (SELECT max(doc_id) + 1 AS n FROM documents) m, notes n
+  WHERE n.doc_id = e.event_id % m.n AND e.event_type = 'error'
+  QUALIFY row_number() OVER (PARTITION BY n.path ORDER BY e.ts DESC, e.props) = 1)"""

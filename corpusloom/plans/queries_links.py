@@ -177,13 +177,15 @@ FROM p a JOIN p b ON a.folder = b.folder AND a.path <> b.path AND NOT b.open QUA
 
 
 def recent_documents(spark, sf):
-    e = fx.table(spark, sf, "events").join(fx.notes(spark, sf).select(F.col("doc_id").alias("user_id"), "path"), "user_id")
+    n = fx.table(spark, sf, "documents").select(F.max("doc_id") + 1).scalar()
+    e = fx.table(spark, sf, "events").withColumn("note", F.col("user_id") % n)
+    e = e.join(fx.notes(spark, sf).select(F.col("doc_id").alias("note"), "path"), "note")
     return lk.recent_documents(e.select("path", "ts")).select("path", F.col("ts").cast("string").alias("ts"))
 
 
 RECENT_SQL = f"""
 WITH {fx.NOTES_SQL}
-SELECT path, CAST(max(ts) AS VARCHAR) AS ts FROM events JOIN notes ON doc_id = user_id GROUP BY path ORDER BY max(ts) DESC, path LIMIT 5"""
+SELECT path, CAST(max(ts) AS VARCHAR) AS ts FROM events JOIN notes ON doc_id = user_id % (SELECT max(doc_id) + 1 FROM documents) GROUP BY path ORDER BY max(ts) DESC, path LIMIT 5"""
 
 def retrieval_eligible(spark, sf):
     return cs.retrieval_eligible(fx.named_files(spark, sf))

@@ -257,7 +257,7 @@ def clutter_folders(spark, sf):
 CLUTTER_SQL = f"""
 WITH {fx.NOTES_SQL},
 f AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '[^/]*$') AS name FROM notes),
-c AS (SELECT folder FROM f WHERE folder LIKE '%/exports' GROUP BY folder HAVING count(*) BETWEEN 1 AND 8 AND count(*) = count(*) FILTER (WHERE {q.words('name', 'final')}))
+c AS (SELECT folder FROM f WHERE folder LIKE '%/exports' GROUP BY folder HAVING count(*) = count(*) FILTER (WHERE {q.words('name', 'final')}))
 SELECT path, folder, regexp_extract(folder, '^(.*)/[^/]*$', 1) || '/' || name AS target,
   'Flatten shallow clutter folder ''' || folder || ''' into ''' || regexp_extract(folder, '^(.*)/[^/]*$', 1) || ''' (flatten noisy copy/export container)' AS reason
 FROM f JOIN c USING (folder)"""
@@ -385,7 +385,7 @@ def learn_preferences(spark, sf):
 
 PREFS_CTE = f"""
 mv AS (SELECT lower({q.parts('source_path')}[1]) || '=>' || lower({q.parts('target_path')}[1]) AS mk, lower({_FOLD('target_path')}) AS up, approved,
-  list_filter(string_split(regexp_replace(regexp_replace(lower(nm), '\\.[^.]+$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 4)[1:8] AS toks FROM ops WHERE type = 'move'),
+  list_filter(string_split(regexp_replace(regexp_replace(lower(nm), '\\.[^.]+$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 4) AS toks FROM ops WHERE type = 'move'),
 pf AS (SELECT CASE WHEN approved THEN 'accepted_top' ELSE 'denied_top' END AS kind, mk AS key, '' AS inner_key FROM mv
   UNION ALL SELECT CASE WHEN approved THEN 'accepted_parent' ELSE 'denied_parent' END, up, '' FROM mv WHERE up <> ''
   UNION ALL SELECT 'token_parent', unnest(toks), up FROM mv WHERE approved AND up <> ''),
@@ -410,7 +410,7 @@ WITH {OPERATIONS_CTE}, {PREFS_CTE}, {TAXONOMY_CTE},
 dict AS (SELECT * FROM prefs UNION ALL SELECT kind, key, '', n FROM tax),
 m AS (SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'src1/en/' ELSE 'Work/Research/' END || regexp_extract(path, '[^/]*$') AS target FROM notes),
 k AS (SELECT *, lower({q.parts('path')}[1]) AS ht, lower({q.parts('target')}[1]) AS tt, lower({_FOLD('path')}) AS hp, lower({_FOLD('target')}) AS tp,
-  list_filter(string_split(regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\\.[^.]+$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 4)[1:8] AS toks FROM m),
+  list_filter(string_split(regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\\.[^.]+$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 4) AS toks FROM m),
 tk AS (SELECT path, unnest(toks) AS t, hp, tp FROM k),
 ts AS (SELECT path, coalesce(sum(n) FILTER (WHERE inner_key = hp), 0) AS hs, coalesce(sum(n) FILTER (WHERE inner_key = tp), 0) AS tsu FROM tk JOIN dict ON kind = 'token_parent' AND key = t GROUP BY path),
 s AS (SELECT k.*, coalesce(hs, 0) AS hs, coalesce(tsu, 0) AS tsu, {_CNT('top', 'ht')} > 0 AS kht, {_CNT('top', 'tt')} > 0 AS ktt, {_CNT('sub', 'hp')} > 0 AS khs, {_CNT('sub', 'tp')} > 0 AS kts,
@@ -457,7 +457,7 @@ def strategies(spark, sf):
 STRATEGY_SQL = f"""
 WITH p AS ({NAMING_SQL}),
 x AS (SELECT path, category, subcategory, regexp_extract(path, '[^/]*$') AS nm, CAST(regexp_extract(path, ' (\\d+)\\.', 1) AS BIGINT) AS doc_id FROM p),
-d AS (SELECT x.*, 1 + (CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END) % 12 AS mo FROM x)
+d AS (SELECT x.*, 1 + (doc_id % (SELECT max(doc_id) + 1 FROM documents)) % 12 AS mo FROM x)
 SELECT doc_id, 'type' AS strategy, CASE WHEN category IN ('Work', 'Career') THEN category || '/' || subcategory ELSE 'New/Deep' END || '/' || nm AS target,
   'type-based grouping' || CASE WHEN category IN ('Work', 'Career') THEN '' ELSE ' fell outside vault taxonomy, kept semantic path' END AS rationale FROM d
 UNION ALL SELECT doc_id, 'timeline', 'Timeline/2024/' || printf('%02d', mo) || '-' || ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][mo] || '/' || nm, 'timeline grouping' FROM d

@@ -28,7 +28,7 @@ FEATURES_CTE = f"""
 kws AS ({qt.keywords_sql('notes', 'path', 'content')}),
 ent1 AS (SELECT path, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM (SELECT path, {_ENT} AS es FROM notes)),
 ent2 AS (SELECT path, e, min(i) AS i FROM ent1 WHERE length(e) >= 2 GROUP BY ALL),
-ents AS (SELECT path, list(e ORDER BY i)[1:14] AS entities FROM ent2 GROUP BY path),
+ents AS (SELECT path, list(e ORDER BY i) AS entities FROM ent2 GROUP BY path),
 feats AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '(?i)\\.md$', '') AS title,
   list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(?i)\\.md$', '')), '[a-z0-9]{{3,}}'),
     lambda t: t NOT IN ({q.quoted(tx.RELATED_STOP_WORDS)}))) AS title_tokens,

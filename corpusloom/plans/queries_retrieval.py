@@ -84,7 +84,7 @@ def keyword_results(spark, sf):
 
 
 def _terms(x: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), lambda t, i: list_position(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), t) = i AND t NOT IN ({q.quoted(__import__('corpusloom.functions.text', fromlist=['x']).RETRIEVAL_STOP_WORDS)}))[1:10]"
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), lambda t, i: list_position(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), t) = i AND t NOT IN ({q.quoted(__import__('corpusloom.functions.text', fromlist=['x']).RETRIEVAL_STOP_WORDS)}))"
 
 
 def _keyword_results_cte(limit: int) -> str:
@@ -140,7 +140,7 @@ merged AS (SELECT query_id, path, similarity, terms,
 
 
 def _intent(x: str) -> str:
-    toks = f"regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}')[1:12]"
+    toks = f"regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}')"
     has = lambda hints: f"len(list_filter({toks}, lambda t: t IN ({q.quoted(hints)}))) > 0"
     return f"""CASE WHEN len({toks}) = 0 THEN 'exploratory'
   WHEN {q.words(x, 'open|find|show|locate')} OR regexp_matches({x}, '(?i)\\b(?:where|which)\\b.+\\b(?:note|file|doc|document|path|folder)\\b') THEN 'lookup'
@@ -198,7 +198,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarit
 INTENT_RERANK_SQL = f"""
 WITH {fx.NOTE_EMBEDDINGS_SQL}, {_LOOKUP_CTE},
 a AS (SELECT r.*, lq.query, starts_with(query, 'find') AS lookup,
-   list_filter(regexp_extract_all(lower(lq.query), '[a-z0-9]{{2,}}')[1:12], lambda t: t NOT IN ({q.quoted(it.LOOKUP_HINTS)})) AS toks,
+   list_filter(regexp_extract_all(lower(lq.query), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({q.quoted(it.LOOKUP_HINTS)})) AS toks,
    regexp_replace(lower(regexp_extract(r.path, '[^/]*$')), '\\.[a-z0-9]+$', '') AS title FROM ranked r JOIN lq USING (query_id)),
 b AS (SELECT *, len(list_filter(toks, lambda t: contains(title, t))) AS tn, len(list_filter(toks, lambda t: contains(lower(path), t))) AS pn FROM a),
 c AS (SELECT *, tn > 0 AND contains(title, array_to_string(toks, ' ')) AS ex FROM b),
@@ -210,7 +210,7 @@ FROM d"""
 
 
 def question_intents(spark, sf):
-    turns = fx.table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+    turns = fx.table(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("query")
     )
     asked = fx.fact_questions(spark, sf).select(F.concat(F.lit("q"), "query_id").alias("id"), "query")
@@ -231,7 +231,7 @@ _FACT_INTENT = f"""CASE WHEN {q.words('query', it.CONTEXTUAL_WORDS)} THEN 'conte
 
 INTENTS_SQL = f"""
 WITH {fx.NOTES_SQL}, {fx.FACT_QUESTIONS_SQL},
-s AS (SELECT conv_id || '-' || turn AS id, text AS query FROM conversations WHERE role = 'user'
+s AS (SELECT conv_id || '-' || turn AS id, text AS query FROM conversations
   UNION ALL SELECT 'q' || query_id, query FROM fact_questions
   UNION ALL SELECT 'n' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'find ' ELSE 'explain ' END || regexp_extract(path, '[^/]*$') FROM notes
   UNION ALL SELECT 'g' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ' Hello!! ' ELSE 'Hello ' || n_name END FROM nation)
@@ -288,7 +288,7 @@ rel AS (SELECT p.query_id, target AS path, s AS similarity, 99 AS n, erank FROM
 ch AS (SELECT query_id, path, similarity, n FROM pr UNION ALL SELECT query_id, path, similarity, n FROM rel),
 nu AS (SELECT ch.*, row_number() OVER (PARTITION BY query_id ORDER BY n) AS i, notes.content FROM ch JOIN notes USING (path)),
 ag AS (SELECT query_id, arg_min(path, i) AS source, arg_min(similarity, i) AS similarity, string_agg(path, '|' ORDER BY i) AS source_paths,
-   string_agg('[Source ' || i || ': ' || path || ']' || chr(10) || left(content, 3600), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS ctx
+   string_agg('[Source ' || i || ': ' || path || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS ctx
    FROM nu GROUP BY query_id)
 SELECT query_id, source, round(similarity, 6) AS similarity, source_paths, md5(ctx) AS context_md5,
   CASE WHEN similarity >= 0.62 THEN 'grounded' ELSE 'mixed' END AS answer_mode,
@@ -334,7 +334,7 @@ fe AS (SELECT path, lower(subject) AS sk, lower(value) AS vk, min(seq) AS seen,
      'confidence': CAST(CASE WHEN is_date THEN dated ELSE other END AS DOUBLE)}}, {{'c': -CASE WHEN is_date THEN dated ELSE other END, 's': seq}}) AS f
    FROM fd GROUP BY ALL),
 facts AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY seen) AS position, f.subject AS subject, f.value AS value, f.statement AS statement, f.kind AS kind, f.confidence AS confidence
-   FROM fe QUALIFY position <= 24)"""
+   FROM fe)"""
 
 FACTS_SQL = f"WITH {fx.NOTES_SQL}, {_FACTS_CTE} SELECT path, position, subject, value, statement, kind, confidence FROM facts"
 

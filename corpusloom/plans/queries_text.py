@@ -179,7 +179,7 @@ def entities_sql(body: str) -> str:
     found = " || ".join(f"regexp_extract_all({body}, '\\b{p}\\b')" for p in tx.ENTITY_PATTERNS)
     kept = f"list_filter(list_transform({found}, lambda e: lower(trim(e))), lambda e: length(e) >= 2)"
     first = f"list_filter({kept}, lambda e, i: list_position({kept}, e) = i)"
-    return f"{first}[1:14]"
+    return first
 
 
 ENTITIES_SQL = f"""
@@ -188,7 +188,7 @@ found AS (SELECT doc_id, list_filter(list_transform({" || ".join(f"regexp_extrac
             lambda e: lower(trim(e))), lambda e: length(e) >= 2) AS es FROM notes),
 ranked AS (SELECT doc_id, e, min(i) AS i FROM (SELECT doc_id, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM found) GROUP BY ALL),
 top AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rk FROM ranked)
-SELECT doc_id, coalesce(string_agg(e, '|' ORDER BY rk) FILTER (WHERE rk <= 14), '') AS entities
+SELECT doc_id, coalesce(string_agg(e, '|' ORDER BY rk), '') AS entities
 FROM notes LEFT JOIN top USING (doc_id) GROUP BY doc_id"""
 
 
@@ -221,7 +221,7 @@ FROM m"""
 
 
 def query_terms(spark, sf):
-    turns = fx.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    turns = fx.table(spark, sf, "conversations")
     return turns.select(
         "conv_id", "turn",
         *[F.array_join(tx.query_terms("text", v), " ").alias(v) for v in ("retrieval", "facts", "highlight", "rerank")],
@@ -230,11 +230,11 @@ def query_terms(spark, sf):
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]{2,}')"
 QUERY_TERMS_SQL = f"""
-WITH t AS (SELECT conv_id, turn, {_TOKENS} AS w FROM conversations WHERE role = 'user'),
+WITH t AS (SELECT conv_id, turn, {_TOKENS} AS w FROM conversations),
 d AS (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ({q.quoted(tx.RETRIEVAL_STOP_WORDS)})) AS r FROM t)
-SELECT conv_id, turn, coalesce(array_to_string(r[1:10], ' '), '') AS retrieval,
+SELECT conv_id, turn, coalesce(array_to_string(r, ' '), '') AS retrieval,
   coalesce(array_to_string(list_filter(w, lambda x: x NOT IN ({q.quoted(tx.FACT_STOP_WORDS)})), ' '), '') AS facts,
-  coalesce(array_to_string(r[1:8], ' '), '') AS highlight, coalesce(array_to_string(w[1:12], ' '), '') AS rerank
+  coalesce(array_to_string(r, ' '), '') AS highlight, coalesce(array_to_string(w, ' '), '') AS rerank
 FROM d"""
 
 

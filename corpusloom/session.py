@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "corpusloom", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -27,20 +28,6 @@ def local_session(cores: int | str = 8, app: str = "corpusloom", **conf: str) ->
     return spark
 
 
-# Above this many bytes for each core an input has splits enough of its own.
-SPREAD_BELOW = 32 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input that lies in few row groups to all cores; leave a large one as it is.
-
-    The size comes from the scan's statistics, so nothing is read to decide.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPREAD_BELOW else df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names.
 

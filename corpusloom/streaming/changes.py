@@ -22,14 +22,14 @@ COOLDOWN = timedelta(seconds=60)
 def settled_changes(changes: DataFrame, gap: str = POST_PROCESS_GAP, watermark: str = WATERMARK) -> DataFrame:
     """One row for each burst of edits of a path: ``changes(path, content, priority, ts)``.
 
-    A burst ends when nothing happens for ``gap``. The latest content wins; the burst is of high priority if any edit
+    A burst ends when nothing happens for ``gap``. The latest content wins (of several at one time, the greatest); the burst is of high priority if any edit
     was. Works on batch and streaming tables; a stream emits a burst once, after the watermark has passed it.
     """
     source = changes.withWatermark("ts", watermark) if changes.isStreaming else changes
     return (
         source.groupBy(F.session_window("ts", gap).alias("s"), "path")
         .agg(
-            F.max_by("content", "ts").alias("content"),
+            F.max_by("content", F.struct("ts", "content")).alias("content"),
             F.max(F.col("priority") == "high").alias("high"),
             F.max("ts").alias("last_at"),
             F.count(F.lit(1)).alias("edits"),
@@ -40,19 +40,27 @@ def settled_changes(changes: DataFrame, gap: str = POST_PROCESS_GAP, watermark:
 
 def read_seen(spark: SparkSession, store: str) -> DataFrame:
     """Last processed hash of each path; empty before the first batch."""
+    return _seen_before(spark, store, None)
+
+
+def _seen_before(spark: SparkSession, store: str, batch_id: int | None) -> DataFrame:
+    """What batches before one have recorded. A store that cannot be read is an error; one that does not exist is empty."""
     try:
-        entries = spark.read.parquet(store)
-    except AnalysisException:
+        entries = spark.read.schema("path string, content_hash string, last_at timestamp, batch long").parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, content_hash string")
-    latest = F.max_by("content_hash", F.struct("batch", "last_at"))
-    return entries.groupBy("path").agg(latest.alias("content_hash"))
+    earlier = entries if batch_id is None else entries.filter(F.col("batch") < batch_id)
+    latest = F.max_by("content_hash", F.struct("batch", "last_at", "content_hash"))
+    return earlier.groupBy("path").agg(latest.alias("content_hash"))
 
 
 def changed_only(settled: DataFrame, seen: DataFrame) -> DataFrame:
     """Bursts whose content differs from what was last processed, the last one of each path."""
     hashed = settled.withColumn("content_hash", content_hash("content"))
     row = F.struct(*[c for c in hashed.columns if c != "path"])
-    last = hashed.groupBy("path").agg(F.max_by(row, "last_at").alias("r")).select("path", "r.*")
+    last = hashed.groupBy("path").agg(F.max_by(row, F.struct("last_at", row)).alias("r")).select("path", "r.*")
     return last.join(seen, ["path", "content_hash"], "left_anti")
 
 
@@ -64,13 +72,7 @@ def process_batches(settled: DataFrame, store: str, checkpoint: str, handle=None
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            entries = spark.read.parquet(store).filter(F.col("batch") < batch_id)
-            seen = entries.groupBy("path").agg(F.max_by("content_hash", F.struct("batch", "last_at")).alias("content_hash"))
-        except AnalysisException:
-            seen = spark.createDataFrame([], "path string, content_hash string")
-        fresh = changed_only(batch, seen).persist()
+        fresh = changed_only(batch, _seen_before(batch.sparkSession, store, batch_id)).persist()
         try:
             if handle is not None:
                 handle(fresh, batch_id)
