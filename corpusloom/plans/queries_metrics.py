@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import metrics as mx
 from corpusloom.operators import texts as ts
 from corpusloom.plans import fixtures as fx
+from corpusloom.plans import queries_text as qt
 from corpusloom.plans import sqlparts as q
 from corpusloom.plans.catalog import Item
 from corpusloom.streaming import changes as ch
@@ -62,6 +63,23 @@ def recommendations(spark, sf):
     return mx.recommendations(scans, mx.bottlenecks(mx.latency_summary(_samples(spark, sf))))
 
 
+RECOMMENDATIONS_SQL = f"""
+WITH {SUMMARY_CTE},
+lt(key, label, watch, slow) AS (VALUES {_values(mx.LIVE_THRESHOLDS)}), st(key, label, watch, slow) AS (VALUES {_values(mx.SCAN_THRESHOLDS)}),
+answers AS (SELECT count(*) AS n FROM (SELECT metric FROM summ JOIN lt ON metric = key WHERE p95_ms >= watch ORDER BY p95_ms DESC, key LIMIT 5) WHERE metric IN ('qa_multi_ms', 'qa_single_ms')),
+sev AS (SELECT key, CASE WHEN m >= slow THEN 'slow' WHEN m >= watch THEN 'watch' ELSE 'good' END AS s
+  FROM (SELECT {_CASE(SCAN_OF)} AS op, max(value) AS m FROM events GROUP BY ALL) JOIN st ON op = key),
+said(nth, key, worst, advice) AS (VALUES
+  (1, 'scan_tree_load', false, 'Tree loading is trending slow: keep folders collapsed and avoid many file operations in a row.'),
+  (2, 'scan_text_read', true, 'Text reads are slower than expected: trim or split large notes of one folder.'),
+  (3, 'scan_ai_doc_read', false, 'Document extraction is a hotspot: keep very large documents out of active work, or open them once to warm the cache.'),
+  (4, 'scan_keyword_search', false, 'Keyword search is a bottleneck: favor narrower searches and let the query cache warm.')),
+notes AS (SELECT nth, advice FROM said LEFT JOIN sev USING (key) WHERE CASE WHEN worst THEN s = 'slow' ELSE s IS NULL OR s <> 'good' END
+  UNION ALL SELECT 5, 'Answering is one of the slower paths: faster models or smaller contexts help most.' FROM answers WHERE n > 0),
+listed AS (SELECT * FROM notes UNION ALL SELECT 9, 'The sampled paths look healthy right now.' WHERE NOT EXISTS (SELECT * FROM notes))
+SELECT CAST(row_number() OVER (ORDER BY nth) - 1 AS INTEGER) AS position, advice FROM listed QUALIFY position < 4"""
+
+
 def task_telemetry(spark, sf):
     tasks = fx.task_log(spark, sf).withColumn("queue", F.col("path"))
     t = mx.task_telemetry(tasks)
@@ -153,6 +171,36 @@ def chunks(spark, sf):
     return ts.chunk(d)
 
 
+# Chunks end after the last separator between the least and the target length, else at the target.
+CHUNKS_CTE = f"""
+clean AS (SELECT CAST(doc_id AS VARCHAR) AS path, {qt.SANITIZE} AS t FROM documents),
+sized AS (SELECT path, t, length(t) AS size FROM clean WHERE t <> ''),
+places AS (SELECT path, size, unnest(range(size)) AS st, t FROM sized WHERE size > {ts.CHUNK_THRESHOLD}),
+breaks AS (SELECT path, st, st + CASE WHEN substr(t, st + 1, 1) = chr(10) AND substr(t, st + 2, 1) <> chr(10) THEN 1 ELSE 2 END AS en FROM places
+  WHERE substr(t, st + 1, 1) = chr(10) OR (substr(t, st + 1, 1) IN ('.', '!', '?', ';', ',') AND substr(t, st + 2, 1) = ' ')),
+spans AS (
+  SELECT path, size, 0 AS n, 0::BIGINT AS b, size AS e, true AS one FROM sized WHERE size <= {ts.CHUNK_THRESHOLD}
+  UNION ALL
+  SELECT path, size, 0, 0, (SELECT coalesce(max(en), {ts.CHUNK_TARGET}) FROM breaks k WHERE k.path = sized.path AND st BETWEEN {ts.CHUNK_MIN} AND {ts.CHUNK_TARGET}), false
+  FROM sized WHERE size > {ts.CHUNK_THRESHOLD}
+  UNION ALL
+  SELECT path, size, n + 1, f, CASE WHEN f + {ts.CHUNK_TARGET} >= size THEN size ELSE
+    (SELECT coalesce(max(en), f + {ts.CHUNK_TARGET}) FROM breaks k WHERE k.path = s.path AND st BETWEEN f + {ts.CHUNK_MIN} AND f + {ts.CHUNK_TARGET}) END, false
+  FROM (SELECT *, greatest(b + 1, e - {ts.CHUNK_OVERLAP}) AS f FROM spans WHERE e < size AND NOT one) s),
+pieces AS (SELECT path, n, b, e, trim(substr(t, b + 1, e - b), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM spans JOIN sized USING (path))"""
+
+CHUNKS_SQL = f"""
+WITH RECURSIVE {CHUNKS_CTE}
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS INTEGER) AS chunk_index, CAST(b AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", text
+FROM pieces WHERE text <> ''"""
+
+EMBED_SQL = f"""
+WITH RECURSIVE {CHUNKS_CTE},
+counted AS (SELECT CAST(doc_id AS VARCHAR) AS path, count(pieces.text) FILTER (WHERE pieces.text <> '') AS n FROM documents LEFT JOIN pieces ON path = CAST(doc_id AS VARCHAR) GROUP BY doc_id)
+SELECT path, CASE WHEN n > 0 THEN 64 END AS dim, CASE WHEN n > 1 THEN n ELSE 0 END AS chunks, 'hashing' AS model,
+  CASE WHEN n = 0 THEN 'Cannot generate embedding for empty content' END AS error FROM counted"""
+
+
 def embed(spark, sf):
     d = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     made = ts.embed(d, created_at=F.lit("2024-01-01"))
@@ -162,13 +210,13 @@ def embed(spark, sf):
 ITEMS = {
     "latency_summary": Item(latency_summary, LATENCY_SQL),
     "bottlenecks": Item(bottlenecks, BOTTLENECKS_SQL),
-    "recommendations": Item(recommendations),
+    "recommendations": Item(recommendations, RECOMMENDATIONS_SQL),
     "task_telemetry": Item(task_telemetry, TELEMETRY_SQL),
     "activity_pressure": Item(activity_pressure, ACTIVITY_SQL),
     "settled_changes": Item(settled_changes, SETTLED_SQL),
     "outline": Item(outline, OUTLINE_SQL),
     "blocks": Item(blocks),
     "find_occurrences": Item(occurrences, OCCURRENCES_SQL),
-    "chunk": Item(chunks),
-    "embed": Item(embed),
+    "chunk": Item(chunks, CHUNKS_SQL),
+    "embed": Item(embed, EMBED_SQL),
 }

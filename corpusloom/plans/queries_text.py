@@ -107,8 +107,10 @@ def sanitized(spark, sf):
     return docs.select("doc_id", F.md5(tx.sanitize_text("text").cast("binary")).alias("clean_md5"))
 
 
+SANITIZE = q.squeeze("regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{009F}\\x{E000}-\\x{F8FF}]', ' ', 'g')")
+
 SANITIZED_SQL = f"""
-SELECT doc_id, md5({q.squeeze("regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{009F}\\x{E000}-\\x{F8FF}]', ' ', 'g')")}) AS clean_md5
+SELECT doc_id, md5({SANITIZE}) AS clean_md5
 FROM documents"""
 
 
