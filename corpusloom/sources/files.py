@@ -15,8 +15,6 @@ from corpusloom.functions.columns import trim
 from corpusloom.functions.paths import document_kind, lower_extension
 
 # Fixed values.
-MAX_TEXT_BYTES = 2_500_000
-SNIFFED_BYTES = 8192
 HIDDEN_NAMES = ["index.json", "embeddings.json"]
 # Types whose text comes from other programs; extracted text is accepted as a table instead.
 FOREIGN_KINDS = ["pdf", "image"]
@@ -40,22 +38,21 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def looks_binary(data: Column) -> Column:
-    """A NUL byte, or more than two percent of control bytes, among the first bytes."""
-    head = F.hex(F.substring(data, 1, SNIFFED_BYTES))
-    pairs = F.length(head) / 2
-    # Hex digits are read in pairs from an even offset.
-    control = F.regexp_count(head, F.lit("\\G(?:(?!0[0-8]|0[EF]|1[0-9A-F])[0-9A-F]{2})*?(?:0[0-8]|0[EF]|1[0-9A-F])"))
-    nul = F.regexp_like(head, F.lit("^(?:[0-9A-F]{2})*?00"))
-    return (pairs > 0) & (nul | (control * 100 > pairs * 2))
+def looks_binary(data: Column, sniff_bytes: int | None = None) -> Column:
+    """A NUL byte, or more than two percent of control bytes; in all of the content unless `sniff_bytes` bounds it."""
+    seen = F.decode(data if sniff_bytes is None else F.substring(data, 1, sniff_bytes), "ISO-8859-1")  # a character a byte
+    control = F.length(F.regexp_replace(seen, "[^\\x00-\\x08\\x0E-\\x1F]+", ""))
+    return (F.length(seen) > 0) & (F.contains(seen, F.lit("\x00")) | (control * 100 > F.length(seen) * 2))
 
 
-def decode_text(files: DataFrame) -> DataFrame:
-    """Text of text and table files as (path, kind, content, error, …); invalid bytes become replacement characters."""
+def decode_text(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text of text and table files as (path, kind, content, error, …); invalid bytes become replacement characters.
+
+    Files of any size are read; `max_bytes` refuses larger ones.
+    """
     too_large = F.concat(F.lit("File is too large to open in editor ("), F.col("size_bytes").cast("string"), F.lit(" bytes)."))
-    error = F.when(F.col("size_bytes") > MAX_TEXT_BYTES, too_large).when(
-        looks_binary(F.col("bytes")), "Unsupported binary file (preview is not available yet)."
-    )
+    refused = F.lit(False) if max_bytes is None else F.col("size_bytes") > max_bytes
+    error = F.when(refused, too_large).when(looks_binary(F.col("bytes")), "Unsupported binary file (preview is not available yet).")
     text = F.make_valid_utf8(F.col("bytes").cast("string"))
     return files.withColumn("error", error).withColumn("content", F.when(F.col("error").isNull(), text)).drop("bytes")
 
