@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -155,6 +154,9 @@ def fit_tree(sample: np.ndarray, shift: int, leaf: int = LEAF_SAMPLE) -> Tree:
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect what is within max_bits, found breadth first: what is reached is not compared again."""
     links, rest = [], np.arange(len(fps))
+    if 1 < len(fps) <= BLOCK:  # most shards are small and hold no link, which one comparison of all shows
+        near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits).sum(axis=1) > 1
+        rest = np.flatnonzero(near)
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         root = int(front[0])
@@ -202,12 +204,33 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, sample: int = TREE
                     [pa.array(leaves.astype(np.int64) * 2 + number), pa.array(fps[rows])], ["shard", "fp"]
                 )
 
-    def link(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        fps = np.unique(shard["fp"].to_numpy())
-        pairs = np.array(shard_links(fps.view(np.uint64), 32 * (int(key[0]) % 2), max_bits), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fps[pairs[:, 0]], "b": fps[pairs[:, 1]]})
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, fps in _shards(batches):
+            pairs = np.array(shard_links(fps.view(np.uint64), 32 * (shard % 2), max_bits), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[pairs[:, 0]]), pa.array(fps[pairs[:, 1]])], ["a", "b"])
 
-    return distinct.select("fp").mapInArrow(route, "shard long, fp long").groupBy("shard").applyInPandas(link, "a long, b long")
+    routed = distinct.select("fp").mapInArrow(route, "shard long, fp long")
+    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(link, "a long, b long")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards of a sorted partition, one at a time; a shard may span batches, and most batches hold many."""
+    open_shard, parts = None, []
+    for batch in batches:
+        shards, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for start, end in zip(edges, edges[1:]):
+            if start == end:
+                continue
+            shard = int(shards[start])
+            if parts and shard != open_shard:
+                yield open_shard, np.concatenate(parts)
+                parts = []
+            open_shard = shard
+            parts.append(fps[start:end])
+    if parts:
+        yield open_shard, np.concatenate(parts)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
