@@ -36,6 +36,8 @@ def duplicate_profile(documents: DataFrame) -> DataFrame:
 
 def exact_duplicates(profile: DataFrame) -> DataFrame:
     """Copies of equal normalized content and compatible role, each with the best copy as its target."""
+    # Grouped and joined again: the texts are normalized once, for what identifies them.
+    profile = cut_lineage(profile.select("path", "key", "state", "hash", "role"))
     kept = F.struct("key", "state")
     best = profile.groupBy("hash", "role").agg(F.min(kept).alias("best"), F.count(F.lit(1)).alias("n"))
     # At most one row for each role, so the list of a content is short however often it is copied.

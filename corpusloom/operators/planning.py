@@ -467,7 +467,7 @@ def build_plan(
     For each document the first of these applies: a structural move, a duplicate, a review, a merge, a move.
     """
     corpus = documents.filter(~pt.is_skipped_by_analysis("path") & pt.is_reorganizable("path"))
-    paths = corpus.select("path")
+    paths = cut_lineage(corpus.select("path"))
     dictionary = taxonomy(paths)
     if preferences is not None:
         dictionary = dictionary.unionByName(preferences.select("kind", "key", "inner_key", "n"))

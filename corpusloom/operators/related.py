@@ -146,7 +146,7 @@ def _unordered(candidates: DataFrame) -> DataFrame:
 
 def related_edges(features: DataFrame, vectors: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
     """The whole graph: each pair is scored once and counts for both of its ends."""
-    have = vectors.join(features.select("path"), "path", "left_semi")
+    have = cut_lineage(vectors.join(features.select("path"), "path", "left_semi"))
     neighbours = knn_candidates(have, have, NEIGHBOUR_SIMILARITY, NEIGHBOURS)
     candidates = related_candidates(features, features, neighbours, siblings=siblings)
     return top_edges(_both_ways(score_pairs(_unordered(candidates), features, vectors)))

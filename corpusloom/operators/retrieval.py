@@ -11,6 +11,7 @@ from corpusloom.functions.paths import drop_extension, file_name, is_retrievable
 from corpusloom.functions.text import best_snippet, match_snippet, query_terms
 from corpusloom.operators.scoring import best_texts
 from corpusloom.operators.vectors import semantic_topk
+from corpusloom.session import cut_lineage
 
 # Search weights and thresholds.
 PHRASE_WEIGHTS = {"name": 120.0, "path": 60.0, "content": 40.0}
@@ -64,7 +65,8 @@ def path_overlap_terms(path: ColumnLike, query: ColumnLike) -> Column:
 
 def keyword_results(queries: DataFrame, documents: DataFrame, top_k: int) -> DataFrame:
     """Keyword hits as retrieval results: (query_id, path, similarity, path_terms)."""
-    hits = keyword_topk(queries, documents, max(top_k * 4, 12))
+    # Out-of-scope documents go first, so that they take no place among the best.
+    hits = keyword_topk(queries, documents.filter(is_retrievable(normalize_path("path"))), max(top_k * 4, 12))
     by_query = Window.partitionBy("query_id")
     scored = hits.withColumn(
         "similarity", keyword_similarity(F.col("score"), F.max("score").over(by_query), F.col("rank") - 1)
@@ -72,7 +74,6 @@ def keyword_results(queries: DataFrame, documents: DataFrame, top_k: int) -> Dat
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query")
     best = (
         scored.withColumn("path", normalize_path("path"))
-        .filter(is_retrievable("path"))
         .groupBy("query_id", "path")
         .agg(F.max(F.round("similarity", 9)).alias("similarity"))
     )
@@ -240,7 +241,8 @@ def hybrid_search(queries: DataFrame, documents: DataFrame, index: DataFrame, k:
     """
     limit = max(2 * k, 8)
     with_vector = queries.filter(F.col("embedding").isNotNull())
-    semantic = semantic_topk(with_vector, index, limit).filter(is_retrievable("path"))
+    # Read by the gate and by the merge; the search behind it runs once.
+    semantic = cut_lineage(semantic_topk(with_vector, index.filter(is_retrievable("path")), limit))
     gated = keyword_gate(queries, semantic, k)
     keyword = keyword_results(gated, documents, limit)
     merged = hybrid_merge(semantic, keyword, limit)

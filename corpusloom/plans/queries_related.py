@@ -13,7 +13,7 @@ from corpusloom.session import cut_lineage
 
 
 def _inputs(spark, sf):
-    features = rl.doc_features(fx.notes(spark, sf))
+    features = cut_lineage(rl.doc_features(fx.notes(spark, sf)))  # every use below reads them, none the texts
     vectors = vx.latest_embeddings(fx.note_vectors(spark, sf)).select("path", "embedding")
     return features, vectors
 

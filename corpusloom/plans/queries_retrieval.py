@@ -9,6 +9,7 @@ from corpusloom.operators import vectors as vx
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans import sqlparts as q
 from corpusloom.plans.catalog import Item
+from corpusloom.session import cut_lineage
 
 
 def keyword_topk(spark, sf):
@@ -372,10 +373,10 @@ def route_questions(spark, sf):
     vectors = fx.search_queries(spark, sf).select("query_id", "embedding")
     asked = questions.join(vectors, "query_id")
     index = fx.note_vectors(spark, sf)
-    latest = vx.latest_embeddings(index)
+    latest = cut_lineage(vx.latest_embeddings(index))
     answers = fa.answer_from_facts(questions, fa.extract_facts(_fact_notes(spark, sf)))
-    results = rt.hybrid_search(asked, notes, index, 5)
-    plans = rt.grounding_plan(results, questions)
+    results = cut_lineage(rt.hybrid_search(asked, notes, index, 5))
+    plans = cut_lineage(rt.grounding_plan(results, questions))
     edges = vx.knn_candidates(latest, latest, 0.12, 5).withColumnRenamed("similarity", "score")
     contexts = rt.assemble_context(results, plans, notes, edges)
     routed = rt.route_questions(questions, answers, results, contexts, plans)
