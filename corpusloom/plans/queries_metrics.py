@@ -96,11 +96,12 @@ FROM r GROUP BY queue"""
 
 
 def _typing(spark, sf):
-    """Events thinned in time: seconds of the month become milliseconds, so that bursts appear."""
+    """Events as typing: seconds become milliseconds and users share documents, a thousand events each, so that bursts appear."""
     e = fx.table(spark, sf, "events")
+    writers = F.greatest(F.lit(7), F.floor(e.select(F.count(F.lit(1))).scalar() / 1000))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     base = F.lit(fx.EPOCH_2024_US)
-    return e.select("event_id", F.pmod("user_id", F.lit(7)).alias("user_id"), F.timestamp_micros(base + F.floor((us - base) / 1000)).alias("ts"), F.col("value").alias("chars"))
+    return e.select("event_id", F.pmod("user_id", writers).alias("user_id"), F.timestamp_micros(base + F.floor((us - base) / 1000)).alias("ts"), F.col("value").alias("chars"))
 
 
 def activity_pressure(spark, sf):
@@ -109,7 +110,7 @@ def activity_pressure(spark, sf):
 
 
 ACTIVITY_SQL = """
-WITH e AS (SELECT event_id, user_id % 7 AS user_id, (epoch_us(ts) - 1704067200000000) // 1000 AS us, greatest(1, least(256, CAST(floor(value + 0.5::DOUBLE) AS BIGINT))) AS chars FROM events),
+WITH e AS (SELECT event_id, user_id % (SELECT greatest(7, count(*) // 1000) FROM events) AS user_id, (epoch_us(ts) - 1704067200000000) // 1000 AS us, greatest(1, least(256, CAST(floor(value + 0.5::DOUBLE) AS BIGINT))) AS chars FROM events),
 w AS (SELECT *, sum(chars) OVER f AS c, count(*) OVER f AS n FROM e WINDOW f AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3200000 PRECEDING AND CURRENT ROW))
 SELECT event_id, user_id, CAST(c AS BIGINT) AS chars_in_window, n AS events_in_window, round(c / 3.2::DOUBLE, 6) AS chars_per_second,
   CASE WHEN c / 3.2::DOUBLE >= 8 THEN 'high' WHEN c / 3.2::DOUBLE >= 4 THEN 'medium' ELSE 'low' END AS pressure FROM w"""
@@ -129,7 +130,7 @@ def settled_changes(spark, sf):
 
 
 SETTLED_SQL = """
-WITH e AS (SELECT 'user ' || (user_id % 7) || '.md' AS path, (epoch_us(ts) - 1704067200000000) // 1000 AS us, props, event_type = 'signup' AS high FROM events),
+WITH e AS (SELECT 'user ' || (user_id % (SELECT greatest(7, count(*) // 1000) FROM events)) || '.md' AS path, (epoch_us(ts) - 1704067200000000) // 1000 AS us, props, event_type = 'signup' AS high FROM events),
 b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY path ORDER BY us) < 2200000 THEN 0 ELSE 1 END AS fresh FROM e),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY us ROWS UNBOUNDED PRECEDING) AS burst FROM b)
 SELECT path, count(*) AS edits, arg_max(props, us) AS content, CASE WHEN bool_or(high) THEN 'high' ELSE 'normal' END AS priority, (max(us) - min(us))::DOUBLE / 1000000 AS seconds
