@@ -383,6 +383,49 @@ def route_questions(spark, sf):
     return routed.withColumn("similarity", F.round("similarity", 6))
 
 
+# The questions take the place of the benchmark's texts in the parts that search.
+ROUTE_SQL = f"""
+WITH {fx.NOTE_EMBEDDINGS_SQL}, {fx.FACT_QUESTIONS_SQL}, {_FACTS_CTE}, {_ANSWERS_CTE},
+benchmark AS (SELECT query_id AS item_id, query AS text FROM fact_questions), {_hybrid_cte(5)},
+un AS (SELECT path, embedding, sqrt(list_dot_product(embedding, embedding)) AS norm FROM note_embeddings),
+lq AS (SELECT CAST(query_id AS VARCHAR) AS query_id, query, {_intent('query')} = 'lookup' AS lookup, {q.words('query', it.SYNTHESIS_WORDS)} AS synthesis,
+   (length({q.squeeze('query')}) BETWEEN 1 AND 64 AND regexp_full_match({q.squeeze('query')}, '(?i){"|".join(it.SMALL_TALK).replace(chr(39), chr(39) * 2)}')) AS small,
+   list_filter(regexp_extract_all(lower(query), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({q.quoted(it.LOOKUP_HINTS)})) AS toks FROM fact_questions),
+ra AS (SELECT m.*, lookup, toks, regexp_replace(lower(regexp_extract(m.path, '[^/]*$')), '\\.[a-z0-9]+$', '') AS title FROM merged m JOIN lq USING (query_id)),
+rb AS (SELECT *, len(list_filter(toks, lambda t: contains(title, t))) AS tn, len(list_filter(toks, lambda t: contains(lower(path), t))) AS pn FROM ra),
+rc AS (SELECT *, tn > 0 AND contains(title, array_to_string(toks, ' ')) AS ex FROM rb),
+rd AS (SELECT * REPLACE (CASE WHEN lookup THEN round(least(0.99::DOUBLE, similarity + least(0.12::DOUBLE, 0.035::DOUBLE * tn) + least(0.08::DOUBLE, 0.02::DOUBLE * pn)
+   + CASE WHEN ex THEN 0.06::DOUBLE ELSE 0 END), 9) ELSE similarity END AS similarity), lookup AND (tn > 0 OR pn > 1 OR ex) AS boosted FROM rc),
+final AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lookup THEN -similarity END, CASE WHEN lookup THEN path END, rank) AS rank
+   FROM rd QUALIFY rank <= 5),
+gp AS (SELECT query_id, max(similarity) FILTER (WHERE rank = 1) AS a, coalesce(max(similarity) FILTER (WHERE rank = 2), 0) AS b, bool_or(boosted AND rank = 1) AS direct
+   FROM final GROUP BY query_id),
+plan AS (SELECT query_id, CASE WHEN a IS NULL THEN 0 WHEN (lookup AND a >= 0.46 AND (direct OR round(a - b, 9) >= 0.08)) OR (a >= 0.78 AND round(a - b, 9) >= 0.12) THEN 1
+   WHEN synthesis OR (b >= 0.30 AND round(a - b, 9) < 0.14) THEN 2 ELSE 3 END AS rule FROM lq LEFT JOIN gp USING (query_id)),
+pr AS (SELECT f.query_id, f.path, f.similarity, row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank) AS n
+   FROM final f JOIN plan USING (query_id) WHERE similarity >= 0.22 AND path IN (SELECT path FROM notes) QUALIFY n <= CASE WHEN rule = 2 THEN 2 ELSE 1 END),
+best AS (SELECT pr.query_id, pr.path, pr.similarity, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: {q.squeeze('x')}), lambda x: x <> '') AS ls,
+   {_terms('lq.query')} AS terms FROM pr JOIN notes USING (path) JOIN lq ON lq.query_id = pr.query_id WHERE n = 1),
+sc AS (SELECT *, list_transform(ls, lambda l: coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(l), t) THEN CASE WHEN length(t) >= 5 THEN 2 ELSE 1 END ELSE 0 END)), 0)) AS scores FROM best),
+ln AS (SELECT *, ls[list_position(scores, list_max(scores))] AS line FROM sc),
+sp AS (SELECT *, list_min(list_filter(list_transform(terms, lambda t: strpos(lower(line), t)), lambda p: p > 0)) - 1 AS spot FROM ln),
+note AS (SELECT query_id, path, similarity, CASE WHEN length(line) <= 220 THEN line WHEN spot IS NULL THEN regexp_replace(left(line, 219), '{q.WS}+$', '') || '…'
+    ELSE CASE WHEN spot > 70 THEN '…' ELSE '' END || substring(line, greatest(0, spot - 70) + 1, 220) || CASE WHEN greatest(0, spot - 70) + 220 < length(line) THEN '…' ELSE '' END END AS snippet FROM sp),
+rt AS (SELECT lq.query_id, CASE WHEN small THEN 'general' WHEN f.source IS NOT NULL THEN 'fact' WHEN n.path IS NOT NULL THEN 'note' ELSE 'general' END AS source_type, rule,
+   f.source, f.similarity AS fs, f.answer, f.statement, f.match_summary, n.path, n.similarity AS ns, n.snippet
+   FROM lq LEFT JOIN answers f USING (query_id) LEFT JOIN note n USING (query_id) JOIN plan USING (query_id))
+SELECT query_id, source_type, CASE source_type WHEN 'fact' THEN source WHEN 'note' THEN path END AS source,
+  round(CASE source_type WHEN 'fact' THEN fs WHEN 'note' THEN ns ELSE 0 END, 6) AS similarity, CASE WHEN source_type = 'fact' THEN answer END AS answer,
+  CASE source_type WHEN 'fact' THEN statement WHEN 'note' THEN snippet END AS snippet,
+  CASE source_type WHEN 'fact' THEN 'grounded' WHEN 'note' THEN CASE WHEN ns >= 0.62 THEN 'grounded' ELSE 'mixed' END ELSE 'general' END AS answer_mode,
+  CASE source_type WHEN 'fact' THEN 'high' WHEN 'note' THEN CASE WHEN ns >= 0.62 THEN 'high' WHEN ns >= 0.38 THEN 'medium' ELSE 'low' END END AS confidence,
+  CASE source_type WHEN 'fact' THEN 'Grounded in extracted facts' WHEN 'note' THEN CASE WHEN ns >= 0.62 THEN 'Grounded in your notes'
+    WHEN ns >= 0.38 THEN 'Partially grounded in your notes' ELSE 'Weak note match' END END AS provenance,
+  CASE source_type WHEN 'fact' THEN match_summary WHEN 'note' THEN ['No note evidence was strong enough to build a grounded answer plan.',
+    'Focused on one strong note match to answer a direct lookup-style question.',
+    'Synthesized across multiple related notes because the question benefits from broader context.',
+    'Focused on the strongest matching note to keep the answer precise.'][rule + 1] END AS grounding_summary FROM rt"""
+
 ITEMS = {
     "keyword_topk": Item(keyword_topk, KEYWORD_SQL),
     "keyword_rerank": Item(keyword_rerank, RERANK_SQL),
@@ -394,5 +437,5 @@ ITEMS = {
     "assemble_context": Item(assemble_context, CONTEXT_SQL),
     "extract_facts": Item(extract_facts, FACTS_SQL),
     "answer_from_facts": Item(answer_from_facts, ANSWERS_SQL),
-    "route_questions": Item(route_questions),
+    "route_questions": Item(route_questions, ROUTE_SQL),
 }
