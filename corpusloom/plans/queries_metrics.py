@@ -155,6 +155,25 @@ def blocks(spark, sf):
     return ts.blocks(n)
 
 
+# A note is a heading, its text, a heading and its links; the blocks appended to it lie at known lines after its last one.
+BLOCKS_SQL = f"""
+WITH {fx.NOTES_SQL},
+l AS (SELECT path, string_split(content, chr(10)) AS ls FROM notes),
+s AS (SELECT path, ls, list_position(ls, '## Links') - 1 AS k, len(ls) AS t FROM l),
+tail(type, a, b, text, language, callout, title) AS (VALUES
+  ('todo', 1, 2, '- [ ] open' || chr(10) || '- [x] done', NULL, NULL, NULL), ('list', 4, 5, '1. one' || chr(10) || '2) two', NULL, NULL, NULL),
+  ('code', 7, 9, 'select 1', 'sql', NULL, NULL), ('callout', 10, 11, 'body', NULL, 'todo', 'Later'),
+  ('table', 13, 15, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |', NULL, NULL, NULL),
+  ('rule', 16, 16, '***', NULL, NULL, NULL), ('paragraph', 17, 17, 'end', NULL, NULL, NULL)),
+b AS (
+  SELECT path, 'heading' AS type, 0 AS x, 0 AS y, ls[1][3:] AS text, NULL AS language, NULL AS callout, NULL AS title FROM s
+  UNION ALL SELECT path, 'paragraph', 2, k - 2, array_to_string(ls[3:k - 1], chr(10)), NULL, NULL, NULL FROM s
+  UNION ALL SELECT path, 'heading', k, k, 'Links', NULL, NULL, NULL FROM s
+  UNION ALL SELECT path, 'paragraph', k + 1, t - 1, array_to_string(ls[k + 2:t], chr(10)), NULL, NULL, NULL FROM s
+  UNION ALL SELECT path, type, t + a, t + b, text, language, callout, title FROM s, tail)
+SELECT path, type, CAST(x AS INTEGER) AS start_line, CAST(y AS INTEGER) AS end_line, text, language, callout, title FROM b"""
+
+
 def occurrences(spark, sf):
     d = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return ts.find_occurrences(d, " The ")
@@ -216,7 +235,7 @@ ITEMS = {
     "activity_pressure": Item(activity_pressure, ACTIVITY_SQL),
     "settled_changes": Item(settled_changes, SETTLED_SQL),
     "outline": Item(outline, OUTLINE_SQL),
-    "blocks": Item(blocks),
+    "blocks": Item(blocks, BLOCKS_SQL),
     "find_occurrences": Item(occurrences, OCCURRENCES_SQL),
     "chunk": Item(chunks, CHUNKS_SQL),
     "embed": Item(embed, EMBED_SQL),
