@@ -498,11 +498,60 @@ SELECT path, CASE WHEN doc_id % 6 = 0 THEN 'cached' WHEN {q.uncategorized('path'
   OR (length({q.strip('content')}) >= 700 AND regexp_matches(content, '(^|\\n)#\\s+')) THEN 'needs_model' ELSE 'heuristic' END AS route FROM notes"""
 
 
+def _applied(spark, sf):
+    """A plan with all kinds of steps, carried out: names that many want, merges of two notes into a third, deletions."""
+    n = cut_lineage(fx.notes(spark, sf).select("doc_id", "path", "content"))
+    turn, d = F.col("doc_id") % 5, F.col("doc_id")
+    into = n.select(F.col("doc_id").alias("into"), F.col("path").alias("into_path"))
+    steps = n.withColumn("into", F.floor(d / 10) * 10 + 3).join(into, "into", "left")
+    target = (
+        F.when(turn == 0, F.concat(F.lit("Inbox/file "), (d % 7).cast("string"), F.lit(".md"))).when(turn == 1, F.col("into_path"))
+        .when(turn == 4, F.concat(F.lit("Moved/"), d.cast("string"), F.lit(".md")))
+    )
+    plan = steps.filter(turn != 3).select(
+        d.alias("op_id"), F.when(turn == 1, "merge").when(turn == 2, "delete").otherwise("move").alias("type"), F.col("path").alias("source_path"),
+        target.alias("target_path"), F.lit(None).cast("string").alias("issue_type"), F.lit("why").alias("reason"),
+    )
+    approved = plan.filter(F.col("op_id") % 11 > 0).select("op_id")
+    return pl.apply_plan(n.select("path", "content"), plan, approved, "run1")
+
+
 def apply_plan(spark, sf):
     """Documents after the approved operations, by digest of their text."""
-    o = operations(spark, sf)
-    after, _, _ = pl.apply_plan(fx.notes(spark, sf).select("path", "content"), cut_lineage(o), o.filter("approved").select("op_id"), "run1")
-    return after.select("path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return _applied(spark, sf)[0].select("path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def plan_trash(spark, sf):
+    return _applied(spark, sf)[1].select("trash_path", "source_path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def plan_undo(spark, sf):
+    return _applied(spark, sf)[2].select("op_id", "operation", "source_path", "target_path", "trash_path", "reason")
+
+
+_APPLIED_CTE = f"""{fx.NOTES_SQL},
+st AS (SELECT n.doc_id, n.path, n.content, CASE WHEN n.doc_id % 11 > 0 THEN n.doc_id % 5 ELSE 3 END AS turn, t.path AS into_path, t.doc_id AS into_id
+  FROM notes n LEFT JOIN notes t ON t.doc_id = n.doc_id // 10 * 10 + 3),
+ok AS (SELECT *, CASE WHEN turn = 1 AND (into_path IS NULL OR into_id % 5 <> 3) THEN 3 ELSE turn END AS act FROM st),
+mv AS (SELECT doc_id, path, content, CASE WHEN act = 4 THEN 'Moved/' || doc_id || '.md' ELSE 'Inbox/file ' || doc_id % 7
+   || CASE WHEN nth > 0 THEN '-' || (nth + 1) ELSE '' END || '.md' END AS final
+  FROM (SELECT *, row_number() OVER (PARTITION BY act, doc_id % 7 ORDER BY doc_id) - 1 AS nth FROM ok WHERE act IN (0, 4))),
+tr AS (SELECT doc_id, path, content, act, into_path, 'Trash/run1/' || CASE WHEN nth > 0 THEN regexp_replace(safe, '\\.md$', '-' || (nth + 1) || '.md') ELSE safe END AS trash_path
+  FROM (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY doc_id, path) - 1 AS nth
+    FROM (SELECT *, regexp_replace(regexp_extract(path, '[^/]*$'), '[^a-zA-Z0-9._-]', '-', 'g') AS safe FROM ok WHERE act IN (1, 2))))"""
+
+APPLY_SQL = f"""
+WITH {_APPLIED_CTE},
+added AS (SELECT into_path AS path, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS more FROM ok WHERE act = 1 GROUP BY ALL)
+SELECT path, md5(content || coalesce(chr(10) || chr(10) || '---' || chr(10) || chr(10) || more, '')) AS content_md5 FROM ok LEFT JOIN added USING (path) WHERE act = 3
+UNION ALL SELECT final, md5(content) FROM mv"""
+
+TRASH_SQL = f"WITH {_APPLIED_CTE} SELECT trash_path, path AS source_path, md5(content) AS content_md5 FROM tr"
+
+UNDO_SQL = f"""
+WITH {_APPLIED_CTE}
+SELECT doc_id AS op_id, 'move' AS operation, path AS source_path, final AS target_path, NULL AS trash_path, 'why' AS reason FROM mv
+UNION ALL SELECT doc_id, CASE act WHEN 1 THEN 'merge' ELSE 'delete' END, path, CASE act WHEN 1 THEN into_path END, trash_path, 'why' FROM tr"""
 
 
 def project_tree(spark, sf):
@@ -541,6 +590,8 @@ ITEMS = {
     "reorganization_plan": Item(reorganization_plan),
     "plan_summary": Item(plan_summary, SUMMARY_SQL),
     "analysis_routes": Item(analysis_routes, ROUTES_SQL),
-    "apply_plan": Item(apply_plan),
+    "apply_plan": Item(apply_plan, APPLY_SQL),
+    "plan_trash": Item(plan_trash, TRASH_SQL),
+    "plan_undo": Item(plan_undo, UNDO_SQL),
     "project_tree": Item(project_tree, PROJECT_SQL),
 }
