@@ -16,7 +16,6 @@ from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
 QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 # The lines with which mail programs introduce a quote.
 ATTRIBUTION = r"(?i)^[ \t>]*(?:on\b.{4,200}\bwrote|am\b.{4,200}\bschrieb\b.{0,120}|le\b.{4,200}\ba [eé]crit|el\b.{4,200}\bescribi[oó])[ \t]*:[ \t]*$"
-MIN_CHARS = 12
 
 
 def normalise(text: Column) -> Column:
@@ -48,7 +47,7 @@ def own_text(lines: str = "lines") -> Column:
 def _passages(rows: DataFrame) -> DataFrame:
     """From conv, turn, lines: conv, turn, level, words, chars; runs of neighbouring lines of one level, and the lines themselves.
 
-    A message's own text also counts as one passage, as quotes often cover all of it. Work stays within the row.
+    Passages of any length count; only those empty after normalisation go. A message's own text also counts as one passage, as quotes often cover all of it. Work stays within the row.
     """
     runs = F.aggregate(
         "lines",
@@ -63,7 +62,7 @@ def _passages(rows: DataFrame) -> DataFrame:
     out = rows.select("conv", "turn", F.explode(F.array_distinct(F.concat(runs, single, whole))).alias("p")).select(
         "conv", "turn", "p.level", normalise(F.col("p.text")).alias("words")
     )
-    return out.where(F.length("words") >= MIN_CHARS).select("conv", "turn", "level", F.sha2("words", 256).alias("hash"), F.length("words").alias("chars")).distinct()
+    return out.where(F.length("words") > 0).select("conv", "turn", "level", F.sha2("words", 256).alias("hash"), F.length("words").alias("chars")).distinct()
 
 
 def reply_links(rows: DataFrame) -> DataFrame:

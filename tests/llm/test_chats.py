@@ -45,3 +45,11 @@ def test_given_conversations_keep_their_texts(spark, sf):
     given = spark.read.parquet(f"{sf}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.text for r in chats.link_quotes(given).collect()}
     assert got == {(r.conv_id, r.turn): r.text.strip() for r in given.collect()}
+
+
+def test_short_quotes_link(spark):
+    said = ["Y", "No", "Why", "Okay", "Quite", "Thanks", "Yes, do.", "Why so?", "Not today", "Tomorrow ok", "明日は雨です。", "好"]
+    rows = [(n, 0, "u", text) for n, text in enumerate(said)] + [(n, 1, "a", f"> {text}\nreply") for n, text in enumerate(said)]
+    rows += [(90, 0, "u", "?!"), (90, 1, "a", "> ?!\nreply"), (91, 0, "u", "Yes."), (91, 1, "a", "A much longer line.\nNo."), (91, 2, "u", "> Yes.\n\n> A much longer line.\nreply")]
+    got = {(r.conv_id, r.turn): r.reply_to for r in chats.link_quotes(frame(spark, rows)).collect()}
+    assert all(got[n, 1] == 0 for n in range(len(said))) and got[90, 1] is None and got[91, 2] == 1
