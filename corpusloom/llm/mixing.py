@@ -108,10 +108,10 @@ def schedule(
     found = find_exponent(stats, max_repeat, entropy_share, budget)
     if found is None:
         found = Temperature(1.0, 1.0, 1, 0.0, 0.0, 0.0)
-    weight = F.round(F.pow(F.col("tokens") / F.lit(float(found.total)), F.lit(found.exponent)) / F.lit(found.normaliser), 12)
-    repeat = F.round(weight * F.lit(found.budget) / F.col("tokens"), 9)
+    weight = F.pow(F.col("tokens") / F.lit(float(found.total)), F.lit(found.exponent)) / F.lit(found.normaliser)
+    repeat = F.round(weight * F.lit(found.budget) / F.col("tokens"), 9)  # a whole number of epochs stays one
     sources = stats.select(
-        "key", "mask", weight.alias("weight"), F.floor(repeat).alias("whole"), ((repeat - F.floor(repeat)) * F.col("tokens")).alias("left"),
+        "key", "mask", F.round(weight, 12).alias("weight"), F.floor(repeat).alias("whole"), ((repeat - F.floor(repeat)) * F.col("tokens")).alias("left"),
         F.ceil(F.col("docs") / block_docs).alias("blocks"),
     )
     spread = sources.withColumn("salt", salts_in("mask")).drop("mask")

@@ -85,3 +85,8 @@ def test_mix_keeps_columns_and_edges(spark):
     assert set(times) == {r.doc_id for r in frame.collect()} and times[0] >= 2 and max(times.values()) <= 4
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, "a", None, 1, "t", "k")], SCHEMA)).count() == 1
+
+
+def test_thousands_of_equal_sources_lose_nothing(spark):
+    frame = spark.createDataFrame([(n, "w w w", f"s{n // 2}", 1, "t", "k") for n in range(6_000)], SCHEMA)
+    assert Counter(r.doc_id for r in mixing.mix(frame).collect()) == Counter(range(6_000))
