@@ -3,7 +3,7 @@
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, share one tree of contexts. A URL's score
 is the difference of its log-likelihoods for each character. The difference at a character is that of the longest
 context in the tree, which telescopes into a weight for every n-gram of the tree, so that scoring is one join with the
-weights and one sum. Weights are whole micro-nats: sums don't depend on their order.
+weights and one sum. The tree grows with the corpus and is joined by shuffles, hot n-grams by salt. Weights are whole micro-nats: sums don't depend on their order.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
 
 ORDER = 5
 MIN_COUNT = 5
-# The model's n-grams: the most frequent ones, whatever the size of the corpus; with their weights 3 MB at most.
-MODEL_GRAMS = 65_536
 SMOOTHING = 4.0
 ALPHABET = 256
 MICRO = 1_000_000
@@ -75,7 +73,15 @@ class Model:
     order: int
 
 
-def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, limit: int = MODEL_GRAMS, smoothing: float = SMOOTHING) -> Model:
+def _spread_join(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join rows with the one row that `groups` has for a key; a hot key's rows are spread by a hash of the column `by`."""
+    salted = rows.withColumn("__salt", salt_of(F.col(by)))
+    masks = salted.groupBy(key).agg(salt_mask("__salt").alias("__mask"))
+    spread = groups.join(masks, key).withColumn("__salt", salts_in("__mask")).drop("__mask")
+    return salted.join(spread, [key, "__salt"], how).drop("__salt")
+
+
+def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, smoothing: float = SMOOTHING) -> Model:
     """From text and accepted (boolean): the n-gram weights.
 
     Counts cover all rows. An n-gram enters the tree if it is frequent enough; as its suffixes and its context are at
@@ -84,16 +90,15 @@ def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, l
     found = labelled.select("accepted", F.explode(grams(F.col("text"), order)).alias("gram")).groupBy("gram").agg(
         F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")
     )
-    found = found.where(F.col("a") + F.col("r") >= min_count).orderBy((F.col("a") + F.col("r")).desc(), F.length("gram"), "gram").limit(limit)
-    tree = saved(found, "grams")
+    tree = saved(found.where(F.col("a") + F.col("r") >= min_count), "grams")
     whole = tree.where(F.length("gram") == 1).agg(F.lit("").alias("gram"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
     counts = tree.union(whole)
     n = F.length("gram")
     steps = tree.select("gram", F.explode(F.sequence(F.lit(1), n)).alias("k")).withColumn("end", F.expr("right(gram, k)"))
     steps = steps.withColumn("context", F.expr("left(end, k - 1)"))
-    own = F.broadcast(counts.select(F.col("gram").alias("end"), "a", "r"))  # the tree has `limit` rows at most
-    around = F.broadcast(counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr")))
-    levels = steps.join(own, "end").join(around, "context").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "r", "ca", "cr"))).alias("levels"))
+    own = counts.select(F.col("gram").alias("end"), "a", "r")
+    around = counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
+    levels = _spread_join(_spread_join(steps, own, "end", "gram"), around, "context", "gram").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "r", "ca", "cr"))).alias("levels"))
 
     def log_ratio(chain: str) -> str:  # each level is smoothed by the next shorter context, the first by equal chances
         chance = lambda c: f"aggregate({chain}, CAST({1 / ALPHABET} AS DOUBLE), (p, x) -> (x.{c} + {smoothing} * p) / (x.c{c} + {smoothing}))"
@@ -108,10 +113,14 @@ def score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add `score`: the log-likelihood of accepted less that of rejected URLs, in nats a character."""
     columns = rows.columns
     numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    parts = numbered.withColumn("__gram", F.explode(grams(F.col(text_col), model.order)))
-    weighed = parts.join(F.broadcast(model.weights.select(F.col("gram").alias("__gram"), F.col("weight").alias("__weight"))), "__gram", "left")
-    summed = weighed.groupBy("__row", *columns).agg(F.coalesce(F.sum("__weight"), F.lit(0)).alias("__sum"))
-    return summed.select(*columns, (F.col("__sum") / F.lit(float(MICRO)) / F.greatest(F.length(text_col), F.lit(1))).alias("score"))
+    texts = numbered.select(F.col(text_col).alias("__text")).distinct()  # equal texts are scored once
+    parts = texts.withColumn("__gram", F.explode(grams(F.col("__text"), model.order))).withColumn("__by", F.xxhash64("__text"))
+    parts = parts.groupBy("__text", "__by", "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    weights = model.weights.select(F.col("gram").alias("__gram"), F.col("weight").alias("__weight"))
+    weighed = _spread_join(parts, weights, "__gram", "__by")
+    sums = weighed.groupBy("__text").agg(F.sum(F.col("__n") * F.col("__weight")).alias("__sum"))
+    summed = _spread_join(numbered.withColumn("__text", F.col(text_col)), sums, "__text", "__row", "left")
+    return summed.withColumn("__sum", F.coalesce("__sum", F.lit(0))).select(*columns, (F.col("__sum") / F.lit(float(MICRO)) / F.greatest(F.length(text_col), F.lit(1))).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -97,3 +98,12 @@ def test_held_out_accuracy(spark):
 
 def test_calibration_without_both_kinds(spark):
     assert urls.calibrate(spark.createDataFrame([(0.1, True)], "score double, accepted boolean")) == float("-inf")
+
+
+def test_every_frequent_gram_has_a_weight(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0-./_", k=40)) for _ in range(1_200)]
+    want = {t[i : i + n] for t in texts for n in range(1, 6) for i in range(len(t) - n + 1)}
+    assert len(want) > 65_536
+    frame = spark.createDataFrame([(t, n % 9 > 0) for n, t in enumerate(texts)], "text string, accepted boolean")
+    assert {r.gram for r in urls.train(frame, min_count=1).weights.select("gram").collect()} == want
