@@ -41,3 +41,24 @@ def salt_mask(salt: str) -> Column:
 def salts_in(mask: str, salts: int = SALTS) -> Column:
     """The salts whose bits are set, one row each."""
     return F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(`{mask}`, s) & 1L) = 1L)"))
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until no column of the frames has it."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join rows with the one row that `groups` has for their keys.
+
+    The rows of a key are spread over salts by a hash of the column `by`, and the group's row is repeated only for the
+    salts that its rows have. `rows` has to come out the same when it is computed again, `by` included.
+    """
+    salt, mask = spare("salt", rows, groups), spare("mask", rows, groups)
+    salted = rows.withColumn(salt, salt_of(F.col(by)))
+    masks = salted.groupBy(*keys).agg(salt_mask(salt).alias(mask))
+    spread = groups.join(masks, keys).withColumn(salt, salts_in(mask)).drop(mask)
+    return salted.join(spread, [*keys, salt], how).drop(salt)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpusloom.llm import archives, chats, exact, lines, mixing, packing, pages, rules, simhash, urls
+from corpusloom.llm import archives, chats, exact, lexical, lines, mixing, multiindex, packing, pages, repair, rules, simhash, urls
 from corpusloom.llm.common import table
 from corpusloom.plans.catalog import Item
 
@@ -27,6 +27,28 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM p
 """
 
+SEARCH_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), sized AS (SELECT doc_id, words, len(words) AS n, row_number() OVER () AS doc FROM lowered WHERE len(words) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sized),
+tf AS (SELECT doc, word, count(*) AS tf FROM (SELECT doc, unnest(words) AS word FROM sized) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, doc, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN df USING (word) JOIN tf USING (word) JOIN sized USING (doc) CROSS JOIN whole
+  GROUP BY item_id, doc_id, doc
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def items() -> dict[str, Item]:
     return {
@@ -45,6 +67,9 @@ def items() -> dict[str, Item]:
                 "doc_id", *rules.COUNTS[:5], "base_failed", "kept"
             )
         ),
+        "op11_conversation_repair": Item(lambda spark, sf: repair.damaged_and_repaired(table(spark, sf, "conversations"))),
+        "op12_ranked_search": Item(lambda spark, sf: lexical.ranked_search(table(spark, sf, "benchmark"), table(spark, sf, "documents")), SEARCH_SQL),
+        "op13_embedding_near_dedup": Item(lambda spark, sf: multiindex.near_duplicate_vectors(table(spark, sf, "embeddings"))),
         "op10_main_text": Item(lambda spark, sf: pages.main_texts(table(spark, sf, "pages"))),
         "op8_warc": Item(
             lambda spark, sf: archives.archive_pages(table(spark, sf, "pages")).select(

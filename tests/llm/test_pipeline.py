@@ -72,5 +72,5 @@ def test_packing_stage(steps):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {"op4_exact_dedup", "op8_warc"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {"op4_exact_dedup", "op8_warc", "op12_ranked_search"} <= set(entry.oracle_sql())
