@@ -5,13 +5,16 @@ MinHash values; every candidate pair that no link joins yet is then compared shi
 A pair at the threshold shares one band at least with a chance of 1 - (1 - 0.8^4)^20, that is all but 3 in 100,000, and
 more alike pairs are missed less often. No shingle, document or band is left out, however common.
 
-Pairs are not made within a component that is known. A first round compares each document of a band with one leader,
-which joins large groups of copies in linear time; a second one compares what is still apart.
+Documents of one shingle set or one fingerprint are linked without a comparison. Then rounds follow in which all that a
+band holds outside its largest component is compared with one document of that component, as long as a round links
+anything: a group of n near copies falls into one component after about log n rounds of fewer than n pairs for each band.
+What bands still hold of different components after that is compared pair by pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import discard, saved, spare, spread_join
 from corpusloom.llm.components import components
-from corpusloom.llm.simhash import SEED, near_duplicates, shingle_hashes
+from corpusloom.llm.simhash import SEED, near_links, shingle_hashes, simhash
 
 SHINGLE_WORDS = 5
 # Least similarity, as a fraction: whole numbers decide, without rounding.
@@ -29,6 +32,7 @@ LEAST = (4, 5)
 BANDS, ROWS = 20, 4
 _MIXERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 _MIXERS[1] |= np.uint64(1)
+MEMBER = ["node", "digest", "size", "component"]
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -58,97 +62,121 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """From doc_id, text: doc_id, digest (of the shingle set), bands."""
+    """From doc_id, text_hash, text, in one pass: doc_id, text_hash, fp (fingerprint), digest and size of the shingle set, bands."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text or b"") for text in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(map(_digest, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands"])
+            texts = [text or b"" for text in batch.column(2).to_pylist()]
+            prints = [simhash(shingle_hashes(text)) for text in texts]
+            sets = [shingle_set(text) for text in texts]
+            columns = [
+                *batch.columns[:2], pa.array(prints, pa.int64()), pa.array(map(_digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
+                pa.array(map(bands, sets), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", "size", "bands"])
 
-    return rows.mapInArrow(sketched, "doc_id long, digest long, bands array<long>")
+    return rows.mapInArrow(sketched, "doc_id long, text_hash long, fp long, digest long, size long, bands array<long>")
+
+
+def _known_links(nodes: DataFrame) -> DataFrame:
+    """Links a, b of nodes (node, fp, digest, size) that need no comparison: one shingle set, or fingerprints within three bits."""
+    by_set = nodes.where("size > 0").groupBy("digest").agg(F.min("node").alias("b"))
+    by_print = saved(nodes.groupBy("fp").agg(F.min("node").alias("b")), "prints")
+    same_set = spread_join(nodes, by_set, ["digest"], "node").select(F.col("node").alias("a"), "b")
+    same_print = spread_join(nodes, by_print, ["fp"], "node").select(F.col("node").alias("a"), "b")
+    near = near_links(by_print).withColumnsRenamed({"a": "fp", "b": "other"}).join(by_print.withColumnRenamed("b", "a"), "fp")
+    near = near.join(by_print.withColumnRenamed("fp", "other"), "other").select("a", "b")
+    return same_set.union(same_print).union(near).where("a <> b").distinct()
 
 
 def _divided(members: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, digest, component) of the keys that more than one component has."""
-    salted = members.withColumn("salt", salt_of(F.col("doc_id"), F.col("digest")))
-    keys = salted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), salt_mask("salt").alias("mask"))
-    keys = keys.where("low < high").select("key", salts_in("mask").alias("salt"))
-    return salted.join(keys, ["key", "salt"]).select("key", "doc_id", "digest", "component")
-
-
-def _with_leaders(members: DataFrame) -> DataFrame:
-    salted = members.withColumn("salt", salt_of(F.col("doc_id"), F.col("digest")))
-    one = F.min(F.struct(F.xxhash64("doc_id", "digest").alias("at"), "doc_id", "digest", "component")).alias("x")
-    leaders = salted.groupBy("key").agg(one, salt_mask("salt").alias("mask")).select("key", "x", salts_in("mask").alias("salt"))
-    return salted.join(leaders, ["key", "salt"]).select(
-        F.struct("doc_id", "digest", "component").alias("a"), F.struct("x.doc_id", "x.digest", "x.component").alias("b")
+    """The rows (key, MEMBER) of the keys that more than one component has."""
+    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return spread_join(members, keys, ["key"], "node").select("key", *MEMBER)
+
+
+def _with_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs a, b (structs of MEMBER): of each key, all outside its largest component and one of that component."""
+    order = F.xxhash64("node", F.lit(turn))  # the same document leads in many keys, so that pairs repeat and are compared once
+    leader = F.min(F.struct(order.alias("at"), *MEMBER))
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), leader.alias("x"))
+    leaders = parts.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("first")).select("key", "first.x")
+    return spread_join(members, leaders, ["key"], "node").select(
+        F.struct(*MEMBER).alias("a"), F.struct(*(f"x.{c}" for c in MEMBER)).alias("b")
     )
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
-    a = members.select("key", F.struct("doc_id", "digest", "component").alias("a"))
+    a = members.select("key", F.struct(*MEMBER).alias("a"))
     return a.join(a.withColumnRenamed("a", "b"), "key").where("a.component < b.component").select("a", "b")
 
 
-def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """From structs a, b (doc_id, digest, component): the components a, b of the pairs that are alike."""
-    apart = pairs.where("a.component <> b.component").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    asked = saved(apart.distinct().withColumns({"sa": salt_of(F.col("b.doc_id")), "sb": salt_of(F.col("a.doc_id"))}), "asked")
-    ends = asked.select(F.col("a.doc_id").alias("doc_id"), F.col("a.digest").alias("digest"), F.col("sa").alias("salt")).union(
-        asked.select("b.doc_id", "b.digest", "sb")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """From structs a, b (MEMBER): the components a, b of the pairs that are alike."""
+    least, most = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    apart = pairs.where("a.component <> b.component").where(least * LEAST[1] >= most * LEAST[0])
+    asked = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(
+        *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in MEMBER)
     )
-    ends = ends.groupBy("doc_id", "digest").agg(salt_mask("salt").alias("mask"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text or b"") for text in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(map(_digest, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "shingles"])
-
-    wanted = rows.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    sets = wanted.mapInArrow(cut, "doc_id long, digest long, shingles binary").dropDuplicates(["doc_id", "digest"])
-    sets = saved(sets.join(ends, ["doc_id", "digest"]), "shingle-sets")
-
-    def side(name: str) -> DataFrame:
-        return sets.select(
-            F.col("doc_id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), F.col("shingles").alias(f"{name}_set"),
-            salts_in("mask").alias(f"s{name}"),
-        )
-
-    flat = asked.select(*[F.col(f"{n}.{c}").alias(f"{n}_{as_}") for n in "ab" for c, as_ in (("doc_id", "id"), ("digest", "digest"), ("component", "component"))], "sa", "sb")
-    met = flat.join(side("a"), ["a_id", "a_digest", "sa"]).join(side("b"), ["b_id", "b_digest", "sb"])
+    asked = saved(asked, "asked")
+    side = lambda name: texts.select(*(F.col(c).alias(f"{name}_{c}") for c in ("node", "digest", "text")))
+    with_a = spread_join(asked, side("a"), ["a_node", "a_digest"], "b_node")
+    with_b = spread_join(with_a, side("b"), ["b_node", "b_digest"], "a_node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(64)(shingle_set)  # the document that many are compared with is cut once
         for batch in batches:
-            found = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [alike(shingles(x), shingles(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return met.select("a_component", "b_component", "a_set", "b_set").mapInArrow(compare, "a long, b long").distinct()
+    return with_b.select("a_component", "b_component", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _joined(table: DataFrame, roots: DataFrame) -> DataFrame:
+    """The table with the roots of its components, which may hold any number of its rows."""
     named = roots.select(F.col("node").alias("component"), "root")
-    return table.join(named, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    known = spread_join(table, named, ["component"], "node", "left")
+    return known.withColumn("component", F.coalesce("root", "component")).drop("root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document with an id: doc_id, component (smallest id reachable).
 
     Links are those of SimHash (three bits) and of shared wording. Texts of fewer than five words are alike if equal
-    without regard to A-Z case and white space. Texts without words link by SimHash only.
+    without regard to A-Z case and white space. Texts without words link by SimHash only. An id's rows are one document.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    linked = near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
-    linked = saved(linked, "fingerprint-components")
-    sketched = saved(_sketches(rows).join(linked, "doc_id"), "sketches")
-    members = sketched.select(F.explode("bands").alias("key"), "doc_id", "digest", "component")
-    members = saved(_divided(members).groupBy("key", "digest", "component").agg(F.min("doc_id").alias("doc_id")), "band-members")
-    links = saved(_links(_with_leaders(members), rows), "leader-links")
-    left = saved(_divided(_joined(members, components(links))), "band-members")
-    # The components of `left` are roots of the first round's, so both rounds' links are about the same nodes.
-    roots = components(links.union(_links(_all_pairs(left), rows)))
-    return _joined(linked, roots).select("doc_id", "component")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.where("doc_id is not null")
+    sketched = saved(_sketches(rows), "sketches")
+    # Documents of one fingerprint and one shingle set are one node, named by the smallest id.
+    first = F.min(F.struct("doc_id", "text_hash")).alias("x")
+    classes = sketched.groupBy("fp", "digest").agg(first, F.min("size").alias("size"), F.min("bands").alias("bands"))
+    classes = saved(classes.select("fp", "digest", F.col("x.doc_id").alias("node"), F.col("x.text_hash").alias("text_hash"), "size", "bands"), "nodes")
+    roots = components(_known_links(classes))
+    sets = classes.groupBy("digest").agg(F.min(F.struct("node", "text_hash", "size", "bands")).alias("x")).select("digest", "x.*")
+    sets = saved(_joined(sets.withColumn("component", F.col("node")), roots), "sets")
+    left = saved(_divided(sets.select(F.explode("bands").alias("key"), *MEMBER)), "band-members")
+    asked = left.select("node", "digest").distinct().join(sets.select("node", "digest", "text_hash"), ["node", "digest"])
+    asked = asked.withColumnRenamed("node", "doc_id")
+    texts = rows.join(asked, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "digest"])
+    texts = saved(texts.select(F.col("doc_id").alias("node"), "digest", "text"), "asked-texts")
+    links, turn = [], 0
+    while not left.isEmpty():
+        found = saved(_links(_with_leaders(left, turn), texts), "leader-links")
+        if found.isEmpty():
+            break
+        links.append(found)
+        before, left = left, saved(_divided(_joined(left, components(found))), "band-members")
+        discard(before)
+        turn += 1
+    if not left.isEmpty():
+        links.append(saved(_links(_all_pairs(left), texts), "pair-links"))
+    merged = reduce(DataFrame.union, [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *links])
+    final = components(merged)
+    named = _joined(classes.select("fp", "digest", "node", F.col("node").alias("component")), final).select("fp", "digest", "component")
+    out = saved(spread_join(sketched.select("doc_id", "fp", "digest"), named, ["fp", "digest"], "doc_id").groupBy("doc_id").agg(F.min("component").alias("component")), "copies")
+    discard(sketched, classes, sets, texts, left, *links)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,5 +184,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat an id stay or go together; rows without an id stay.
     """
-    gone = near_copies(docs, id_col, text_col).where("doc_id <> component").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = spare("gone", docs)
+    found = near_copies(docs, id_col, text_col).where("doc_id <> component").select(F.col("doc_id").alias(gone))
+    return docs.join(found, F.col(id_col) == F.col(gone), "left_anti")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,48 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+# Paths that `saved` wrote inside `collected`, by session.
+_scratch: dict[str, list[str]] = {}
+_collecting: set[str] = set()
+
+
 def saved(df: DataFrame, what: str = "table") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = shared_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    application = spark.sparkContext.applicationId
+    if application in _collecting:
+        _scratch.setdefault(application, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def collected(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside belongs to one piece of work, and `clear` deletes it."""
+    application = spark.sparkContext.applicationId
+    _collecting.add(application)
+    try:
+        yield
+    finally:
+        _collecting.discard(application)
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    _delete(spark, _scratch.pop(spark.sparkContext.applicationId, []))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `saved` wrote. Nothing that is still to be computed may read it."""
+    for table in tables:
+        _delete(table.sparkSession, {name.rpartition("/")[0] for name in table.inputFiles()})
 
 
 def salt_of(*columns: Column, salts: int = SALTS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import discard, saved, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round lets every node point to the smallest root that it, or a neighbour of it, knows, and then follows that
     pointer once, so the distance to the root falls geometrically. Rounds end when no pointer changes. The state is one
-    slim row for each node, written to the shared folder in every round; only the count of changes reaches the driver.
+    slim row for each node, written to the shared folder in every round; only whether one changed reaches the driver. The
+    many links of a node, and the many nodes of a root, are spread over salts where they meet its one row.
     """
     edges = saved(
         links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
@@ -21,20 +22,18 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
-        offered = (
-            edges.join(state.select(F.col("node").alias("b"), F.col("root").alias("other")), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("other").alias("offered"))
-        )
+        known = state.select(F.col("node").alias("b"), F.col("root").alias("other"))
+        offered = spread_join(edges, known, ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("offered"))
         lower = state.join(offered, "node").select("node", F.col("root").alias("was"), F.least("root", "offered").alias("root"))
         # The root of a node also learns what the node learnt, so that trees merge and not only leaves move.
         hooked = lower.where("root < was").groupBy(F.col("was").alias("node")).agg(F.min("root").alias("hook"))
         merged = lower.join(hooked, "node", "left").select("node", "was", F.least("root", "hook").alias("root"))
         merged = saved(merged, "merged")
-        jumped = (
-            merged.join(merged.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-            .select("node", "was", F.coalesce("next", "root").alias("root"))
-        )
+        further = merged.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = spread_join(merged, further, ["root"], "node", "left").select("node", "was", F.coalesce("next", "root").alias("root"))
         after = saved(jumped, "roots")
+        discard(state, merged)
         state = after.select("node", "root")
         if after.where("root <> was").isEmpty():
+            discard(edges)
             return state

@@ -2,7 +2,7 @@
 
 The lines of all documents form one sequence of positions, with a gap between documents. Prefix doubling ranks the
 suffixes that start at repeated lines: at level k a suffix's rank is the number of suffixes whose first 2^k lines are
-smaller, so that equal ranks are one interval of the suffix array with a longest common prefix of 2^k lines or more.
+smaller (of those still in the doubling), so that equal ranks are one interval of the suffix array with a longest common prefix of 2^k lines or more.
 A suffix that is alone in its interval leaves the doubling.
 
 A run of lines is worth deleting if it has `min_words` words. Whether such a run occurs earlier follows from two
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved, spare
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,12 +74,9 @@ def double(level: DataFrame, k: int) -> DataFrame:
         ),
         "pairs",
     )
-    smaller = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), salt_mask("salt").alias("mask"))
-        .withColumn("refined", F.col("rank") + F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        .where("n > 1").select("rank", "next", "refined", salts_in("mask").alias("salt"))
-    )
+    groups = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), salt_mask("salt").alias("mask"))
+    # Numbered over the whole table: one very common line may have any number of next lines.
+    groups = running_total(groups, ["rank", "next"], "n", "refined").where("n > 1").select("rank", "next", "refined", salts_in("mask").alias("salt"))
     return pairs.join(groups, ["rank", "next", "salt"]).select("doc", "pos", F.col("refined").alias("rank"))
 
 
@@ -152,19 +149,22 @@ def delete_repeated_runs(
     document: they are changed alike. `chars_col`, where the input has it, is set to the new length. Adds n_removed, the
     number of lines deleted; an own column of that name is replaced.
     """
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    hashed, runs_of, doc, text = (spare(name, docs) for name in ("text_hash", "runs", "run_doc", "run_text"))
+    keyed = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     texts = keyed.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(hashed).alias("text_hash"), F.col(text_col).alias("text")
     )
     lines, places = repeated_lines(texts)
-    runs = later_runs(lines, min_words).groupBy("doc").agg(F.collect_list(F.struct("first_line", "last_line")).alias("__runs"))
-    gone = runs.join(places, "doc").select(F.col("d").alias("__doc"), F.col("h").alias("__text"), "__runs")
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left")
-    is_gone = lambda at: F.exists("__runs", lambda run: at.between(run.first_line, run.last_line))
+    runs = later_runs(lines, min_words).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"))
+    gone = runs.join(places, "doc").select(F.col("d").alias(doc), F.col("h").alias(text), F.col("runs").alias(runs_of))
+    joined = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(hashed) == F.col(text)), "left")
     pieces = F.split(F.col(text_col), "\n")
-    kept = F.filter(pieces, lambda line, at: ~is_gone(at))
-    changed = F.col("__runs").isNotNull() & F.col(text_col).isNotNull()
-    removed = F.aggregate("__runs", F.lit(0), lambda n, run: n + run.last_line - run.first_line + 1)
+    # What lies between the runs, which are apart and in order.
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs_of, lambda run: run.last_line + 1))
+    ends = F.concat(F.transform(runs_of, lambda run: run.first_line), F.array(F.size(pieces)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda start, end: F.slice(pieces, start + 1, F.greatest(end - start, F.lit(0)))))
+    changed = F.col(runs_of).isNotNull() & F.col(text_col).isNotNull()
+    removed = F.aggregate(runs_of, F.lit(0), lambda n, run: n + run.last_line - run.first_line + 1)
     out = joined.withColumn("n_removed", F.when(changed, removed).otherwise(F.lit(0))).withColumn(
         text_col, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     )

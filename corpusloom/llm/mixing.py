@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved, spare
 
 MAX_REPEAT = 1.5
 BLOCK_DOCS = 10_000
@@ -133,10 +133,11 @@ def schedule(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as often as they are drawn, with all their columns. With the defaults each comes once at least."""
     drawn = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = drawn.groupBy(F.col("doc_id").alias("__d"), _key(F.col("source")).alias("__s"), F.col("text_hash").alias("__h"), "epoch").agg(F.lit(1))
-    times = times.groupBy("__d", "__s", "__h").agg(F.count(F.lit(1)).alias("__times"))
+    d, s, h, n, copy = (spare(name, docs) for name in ("drawn_id", "drawn_source", "drawn_hash", "times", "copy"))
+    times = drawn.groupBy(F.col("doc_id").alias(d), _key(F.col("source")).alias(s), F.col("text_hash").alias(h), "epoch").agg(F.lit(1))
+    times = times.groupBy(d, s, h).agg(F.count(F.lit(1)).alias(n))
     same = (
-        F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (_key(F.col(source_col)) == F.col("__s"))
-        & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h"))
+        F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (_key(F.col(source_col)) == F.col(s))
+        & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(h))
     )
-    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    return docs.join(times, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)

@@ -6,6 +6,7 @@ bounded sample and comes out as ordered threshold conditions, applied to all doc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import spare
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -88,8 +89,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, prefix: str = "") -> Column:
+    words = F.col(f"{prefix}n_words")
+    return (words < min_words) | (100 * F.col(f"{prefix}n_repeat_words") > max_repeat_percent * words)
 
 
 # ---- learning
@@ -105,8 +107,8 @@ class Test:
         values = data[self.feature].to_numpy()
         return values >= self.threshold if self.above else values < self.threshold
 
-    def column(self) -> Column:
-        value = F.expr(FEATURES[self.feature])
+    def column(self, prefix: str = "") -> Column:
+        value = F.expr(_prefixed(FEATURES[self.feature], prefix))
         return value >= self.threshold if self.above else value < self.threshold
 
     def __str__(self) -> str:
@@ -193,24 +195,31 @@ def learn(sample: pd.DataFrame, min_precision: float = 0.95) -> list[Rule]:
         rest = rest[~_covers(pruned, rest)]
 
 
-def verdict(rules: list[Rule]) -> Column:
+def _prefixed(feature: str, prefix: str) -> str:
+    return re.sub(r"\b(n_\w+|word_chars)\b", rf"{prefix}\1", feature)
+
+
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """The list as one ordered conditional expression: true where no rule rejects."""
     out = F.when(F.lit(False), F.lit(True))
     for rule in rules:
         condition = F.lit(True)
         for test in rule:
-            condition = condition & test.column()
+            condition = condition & test.column(prefix)
         out = out.when(condition, F.lit(False))
     return out.otherwise(F.lit(True))
 
 
-def labelled_sample(counts: DataFrame, labels: DataFrame, limit: int = LABEL_SAMPLE) -> pd.DataFrame:
-    """Features of at most `limit` labelled documents, drawn by a hash of the id. Of several labels the lowest counts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = LABEL_SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
+    """Features of at most `limit` labelled documents, drawn by a hash of the id. Of several labels the lowest counts, of
+    several texts of one id the one of least counts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(11))
     drawn = marks.orderBy(order, "doc_id").limit(limit)
-    rows = counts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])  # the draw has `limit` slim rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = texts.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")  # `limit` slim rows at most
+    rows = features(labelled).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("x")).select("doc_id", "x.*").join(F.broadcast(drawn), "doc_id")
     return (
         rows.select("doc_id", "quality", F.pmod(order, F.lit(3)).alias("fold"), *(F.expr(c).alias(n) for n, c in FEATURES.items()))
         .toPandas().sort_values("doc_id", ignore_index=True)
@@ -224,13 +233,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     have no words and fail. Without any labels only the base rules decide. Rows that repeat an id are judged each;
     other columns are ignored; an empty table gives no rows.
     """
-    counts = saved(features(docs, id_col, text_col), "features")
-    rules = learn(labelled_sample(counts, labels, limit))
+    rules = learn(labelled_sample(docs, labels, limit, id_col, text_col))
     failed = base_failed()
-    return counts.select("*", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+    return features(docs, id_col, text_col).select("*", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with all their columns. Rows that share an id stay only if all of them may."""
-    rejected = judge(docs, labels, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents that no rule rejects, with all their columns; rows that repeat an id are judged each.
+
+    The counts of a text are put beside its row, so nothing is shuffled.
+    """
+    rules = learn(labelled_sample(docs, labels, LABEL_SAMPLE, id_col, text_col))
+    counts = spare("counts", docs)
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_counts(text or b"") for text in texts], columns=COUNTS)
+
+    named = docs.withColumn(counts, counted(F.col(text_col).cast("binary")))
+    keep = ~base_failed(prefix=f"{counts}.") & verdict(rules, f"{counts}.")
+    return named.where(keep).select(*docs.columns)

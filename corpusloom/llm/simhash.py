@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved, spare, spread_join
 from corpusloom.llm.components import components
 
 BITS = 64
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(distinct, max_bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id", salts_in("mask").alias("salt"))
+    classes = spread_join(rooted, smallest, ["root"], "fp").select("fp", "component_id", salts_in("mask").alias("salt"))
     return marked.join(classes, ["fp", "salt"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -258,5 +258,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id stay or go together; rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = spare("gone", docs)
+    found = near_duplicates(docs, id_col, text_col, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(id_col) == F.col(gone), "left_anti")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import saved, spare, spread_join
 
 ORDER = 5
 MIN_COUNT = 5
@@ -24,7 +24,7 @@ MICRO = 1_000_000
 BIN, BINS = 0.01, 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Seeds for URLs to reject: words of their hosts.
+# Seeds for URLs to reject: words of their hosts, between dots and hyphens. A parameter, as the rules are.
 SEED_WORDS = ["casino", "bets", "betting", "poker", "spam", "porn", "xxx", "viagra", "pills", "warez", "malware", "phishing", "clickbait", "lottery"]
 
 # (verdict, host, path)
@@ -73,14 +73,6 @@ class Model:
     order: int
 
 
-def _spread_join(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join rows with the one row that `groups` has for a key; a hot key's rows are spread by a hash of the column `by`."""
-    salted = rows.withColumn("__salt", salt_of(F.col(by)))
-    masks = salted.groupBy(key).agg(salt_mask("__salt").alias("__mask"))
-    spread = groups.join(masks, key).withColumn("__salt", salts_in("__mask")).drop("__mask")
-    return salted.join(spread, [key, "__salt"], how).drop("__salt")
-
-
 def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, smoothing: float = SMOOTHING) -> Model:
     """From text and accepted (boolean): the n-gram weights.
 
@@ -98,7 +90,7 @@ def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, s
     steps = steps.withColumn("context", F.expr("left(end, k - 1)"))
     own = counts.select(F.col("gram").alias("end"), "a", "r")
     around = counts.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
-    levels = _spread_join(_spread_join(steps, own, "end", "gram"), around, "context", "gram").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "r", "ca", "cr"))).alias("levels"))
+    levels = spread_join(spread_join(steps, own, ["end"], "gram"), around, ["context"], "gram").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "r", "ca", "cr"))).alias("levels"))
 
     def log_ratio(chain: str) -> str:  # each level is smoothed by the next shorter context, the first by equal chances
         chance = lambda c: f"aggregate({chain}, CAST({1 / ALPHABET} AS DOUBLE), (p, x) -> (x.{c} + {smoothing} * p) / (x.c{c} + {smoothing}))"
@@ -111,16 +103,17 @@ def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, s
 
 def score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add `score`: the log-likelihood of accepted less that of rejected URLs, in nats a character."""
-    columns = rows.columns
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    texts = numbered.select(F.col(text_col).alias("__text")).distinct()  # equal texts are scored once
-    parts = texts.withColumn("__gram", F.explode(grams(F.col("__text"), model.order))).withColumn("__by", F.xxhash64("__text"))
-    parts = parts.groupBy("__text", "__by", "__gram").agg(F.count(F.lit(1)).alias("__n"))
-    weights = model.weights.select(F.col("gram").alias("__gram"), F.col("weight").alias("__weight"))
-    weighed = _spread_join(parts, weights, "__gram", "__by")
-    sums = weighed.groupBy("__text").agg(F.sum(F.col("__n") * F.col("__weight")).alias("__sum"))
-    summed = _spread_join(numbered.withColumn("__text", F.col(text_col)), sums, "__text", "__row", "left")
-    return summed.withColumn("__sum", F.coalesce("__sum", F.lit(0))).select(*columns, (F.col("__sum") / F.lit(float(MICRO)) / F.greatest(F.length(text_col), F.lit(1))).alias("score"))
+    text, gram, by, n, own_weight, total = (spare(name, rows) for name in ("url_text", "gram", "by", "n", "weight", "total"))
+    # Salts come from the rows' own values: a task that is computed again spreads its rows alike.
+    keyed = rows.withColumns({text: F.col(text_col), by: F.xxhash64(*rows.columns)})
+    texts = keyed.select(text).distinct()  # equal texts are scored once
+    parts = texts.withColumn(gram, F.explode(grams(F.col(text), model.order))).groupBy(text, gram).agg(F.count(F.lit(1)).alias(n))
+    parts = saved(parts.withColumn(by, F.xxhash64(text)), "url-grams")
+    weights = model.weights.select(F.col("gram").alias(gram), F.col("weight").alias(own_weight))
+    sums = spread_join(parts, weights, [gram], by).groupBy(text).agg(F.sum(F.col(n) * F.col(own_weight)).alias(total))
+    # A text without a known n-gram has no sum. Texts with one come from the rows themselves, so every row finds its own.
+    summed = spread_join(keyed, sums, [text], by, "left").withColumn(total, F.coalesce(total, F.lit(0)))
+    return summed.select(*rows.columns, (F.col(total) / F.lit(float(MICRO)) / F.greatest(F.length(text_col), F.lit(1))).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -143,23 +136,27 @@ def calibrate(scored: DataFrame) -> float:
     return best[1]
 
 
+def label(seeds: list[str]) -> Column:
+    """From host and rule: false for a host with a seed word, else what the rule says; null without host or rule."""
+    seeded = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, seeds)).cast("array<string>"))
+    return F.when(F.col("host") != "", F.when(seeded, False).otherwise(F.col("rule.verdict") == "allow"))
+
+
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEED_WORDS, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict (allow or block), score.
 
-    Labels come from seeds: a URL with a seed word in its host is rejected, any other with a host is accepted. The
-    models count four fifths of the labelled URLs, by a hash of the URL, and the threshold is set on the rest. A rule
-    comes before the models. Null URLs and those without :// have an empty host and path, and no part in training.
-    Repeated rows are judged each, other columns are ignored, and an empty table gives no rows.
+    Labels come from the rules, and from seeds where these say that a host is to be rejected: a URL with a seed among the
+    words of its host is a rejected one, any other that a rule decides is what the rule says, and the rest have no label.
+    The models count the n-grams that four fifths of the labelled URLs, by a hash, hold MIN_COUNT times or more; the
+    threshold is set on the rest. A rule comes before the models. Null URLs and those without :// have an empty host and
+    path, and no part in training. Repeated rows are judged each, other columns are ignored, and an empty table gives no
+    rows.
     """
-    seeded = F.lit(False)
-    for word in seeds:
-        seeded = seeded | F.col("host").contains(word)
     split = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    rows = split.withColumns({
-        "rule": matched_rule(rules), "text": symbols(), "accepted": F.when(F.col("host") != "", ~seeded),
-        "fold": F.pmod(F.xxhash64("host", "path"), F.lit(5)),
+    rows = split.withColumns({"rule": matched_rule(rules), "text": symbols()}).withColumns({
+        "accepted": label(seeds), "fold": F.pmod(F.xxhash64("host", "path"), F.lit(5)),
     })
     model = train(rows.where("accepted is not null and fold > 0").select("text", "accepted"))
     scored = saved(score(rows, model), "url-scores")

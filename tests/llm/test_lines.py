@@ -60,3 +60,12 @@ def test_edges(spark):
     assert got == {1: "", 2: "", 3: long}
     assert lines.delete_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
     assert lines.delete_repeated_runs(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()[0].text == "a"
+
+
+def test_clashing_columns_and_hot_line(spark):
+    """A very common line with many different next lines, and columns that are named as the operator's own."""
+    rows = [(i, f"the common line\nown line {i} " + "word " * 60 + f"\nthe common line\nshared {i % 3} " + "more " * 60) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS text_hash", "8 AS runs", "9 AS run_doc", "10 AS run_text")
+    got = lines.delete_repeated_runs(frame)
+    assert {(r.doc_id, r.text) for r in got.collect()} == brute(rows, 50)
+    assert got.select("text_hash", "runs", "run_doc", "run_text").distinct().collect() == [(7, 8, 9, 10)]

@@ -90,3 +90,10 @@ def test_mix_keeps_columns_and_edges(spark):
 def test_thousands_of_equal_sources_lose_nothing(spark):
     frame = spark.createDataFrame([(n, "w w w", f"s{n // 2}", 1, "t", "k") for n in range(6_000)], SCHEMA)
     assert Counter(r.doc_id for r in mixing.mix(frame).collect()) == Counter(range(6_000))
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y")], "doc_id long, text string, source string")
+    clash = frame.selectExpr("*", *(f"5 AS {c}" for c in ("times", "copy", "drawn_id", "drawn_source", "drawn_hash", "epoch", "block", "salt", "mask")))
+    out = mixing.mix(clash)
+    assert out.columns == clash.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in clash.collect()}
