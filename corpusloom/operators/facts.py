@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,25 +99,19 @@ def prune_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return facts.join(documents.select(normalize_path("path").alias("path")), "path", "left_semi")
 
 
-def _fact_bonus(facts: pd.DataFrame, questions: pd.DataFrame) -> np.ndarray:
-    wanted = questions["asks_when"].to_numpy(dtype=float)
-    dated = 0.2 * (facts["kind"] == "date").to_numpy() + 0.12 * facts["date_like"].to_numpy(dtype=float)
-    return np.outer(dated, wanted) + 0.1 * facts["confidence"].to_numpy()[:, None]
-
-
 def best_facts(questions: DataFrame, facts: DataFrame) -> DataFrame:
     """The best matching fact of each question, with its score; the first in (path, position) order on ties."""
     asked = questions.filter(trim("query") != "").select(
         "query_id", query_terms("query", "facts").alias("tokens"), F.lower("query").alias("phrase"),
-        it.asks_when("query").alias("asks_when"),
+        F.array(F.lit(1.0), it.asks_when("query").cast("double")).alias("wants"),
     )
     keyed = facts.withColumn("key", F.concat_ws("\u0001", "path", F.format_string("%06d", "position")))
     texts = keyed.select(
         "key", F.lower("subject").alias("subject"), F.lower("statement").alias("statement"), F.lower("value").alias("value"),
-        "kind", "confidence", looks_date_like("value").alias("date_like"),
+        F.array(0.1 * F.col("confidence"), F.when(F.col("kind") == "date", 0.2).otherwise(0.0) + F.when(looks_date_like("value"), 0.12).otherwise(0.0)).alias("bonus"),
     )
     top = best_texts(
-        asked, texts, {"subject": 0.65, "statement": 0.25, "value": 0.10}, k=1, min_score=0.0, per_token=False, bonus=_fact_bonus
+        asked, texts, {"subject": 0.65, "statement": 0.25, "value": 0.10}, k=1, min_score=0.0, per_token=False
     )
     return top.join(keyed, "key").drop("key", "rank")
 

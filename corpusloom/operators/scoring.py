@@ -1,124 +1,141 @@
-"""Scoring a large table of texts against a set of queries by the query tokens each text contains.
+"""Scoring a large table of texts against many queries by the query tokens each text contains as substrings.
 
-The queries' tokens go into one automaton; each text is then read once, whatever the number of queries. A task
-keeps the k best texts of each query, so its output is bounded by queries x k and no pair is ever written out.
+A token holds no white space, so a text contains it if one of the text's words does. The texts become a posting table
+of their words, written once; tokens meet the distinct words on the token's rarest trigram (a shorter token on itself)
+and are verified there, so that texts are not read again. What a text holds of all queries' tokens is then one slim row.
 
-A query set of proven bounded size is broadcast and the texts never move. A larger one is hashed into blocks, and
-texts and queries meet in a grid of bounded cells.
+Slim rows and queries meet in a grid of bounded cells. A cell keeps inverted lists of its tokens, adds them up query by
+query and hands on k rows for each query, and further ones only where the bonus for the whole phrase could lift a text
+that has all tokens into the best k. Those alone are looked up in the texts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.columns import WS
+from corpusloom.session import cut_lineage
+
 QUERY_BLOCK_ROWS = 2048
-QUERY_BLOCK_CHARS = 32_000_000
 TEXT_BLOCK_ROWS = 16_384
-SLAB_ROWS = 1024
-SCHEMA = "query_id string, key string, score double"
-
-
-class TokenMatcher:
-    """Counts, for every query at once, how many of its tokens a text contains as substrings."""
-
-    def __init__(self, token_lists: list[list[str]]):
-        self.queries = len(token_lists)
-        self.sizes = np.array([len(tokens) for tokens in token_lists])
-        postings: dict[str, list[int]] = {}
-        for query, tokens in enumerate(token_lists):
-            for token in tokens:
-                postings.setdefault(token, []).append(query)
-        self.postings = [np.array(p, dtype=np.int64) for p in postings.values()]
-        self.automaton = ahocorasick.Automaton()
-        for number, token in enumerate(postings):
-            self.automaton.add_word(token, number)
-        if postings:
-            self.automaton.make_automaton()
-        self.known: dict[str, frozenset[int]] = {}
-
-    def counts(self, text: str) -> np.ndarray:
-        if not self.postings or not text:
-            return np.zeros(self.queries)
-        present: set[int] = set()
-        # Tokens hold no white space, so each distinct word can be looked up on its own.
-        for word in set(text.split()):
-            hit = self.known.get(word)
-            if hit is None:
-                hit = frozenset(number for _, number in self.automaton.iter(word))
-                if len(self.known) < 500_000:
-                    self.known[word] = hit
-            present |= hit
-        if not present:
-            return np.zeros(self.queries)
-        return np.bincount(
-            np.concatenate([self.postings[p] for p in present]), minlength=self.queries
-        ).astype(float)
-
-
-class TopRows:
-    """The k best keys of each query, by score and then by key, over all slabs a task sees."""
-
-    def __init__(self, query_ids: list[str], k: int, min_score: float):
-        self.query_ids, self.k, self.min_score = query_ids, k, min_score
-        self.best: list[list[tuple[float, str]]] = [[] for _ in query_ids]
-        self.bound = np.full(len(query_ids), min_score)
-
-    def offer(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        keys, scores = keys[order], scores[order]
-        for q in np.flatnonzero((scores >= self.bound).any(axis=0)):
-            column = scores[:, q]
-            picks = np.flatnonzero(column >= self.bound[q])
-            picks = picks[np.argsort(-column[picks], kind="stable")][: self.k]
-            merged = sorted(self.best[q] + [(-column[i], keys[i]) for i in picks])[: self.k]
-            self.best[q] = merged
-            if len(merged) == self.k:
-                self.bound[q] = max(self.min_score, -merged[-1][0])
-
-    def frame(self) -> pd.DataFrame:
-        rows = [(self.query_ids[q], key, -neg) for q, found in enumerate(self.best) for neg, key in found]
-        return pd.DataFrame(rows, columns=["query_id", "key", "score"])
-
-
-def _scan(
-    queries: pd.DataFrame,
-    slabs: Iterator[pd.DataFrame],
-    token_weights: dict[str, float],
-    phrase_weights: dict[str, float],
-    per_token: bool,
-    bonus: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None,
-    k: int,
-    min_score: float,
-) -> pd.DataFrame:
-    matcher = TokenMatcher([list(t) for t in queries["tokens"]])
-    phrases = queries["phrase"].tolist()
-    share = np.ones(len(queries)) if per_token else 1.0 / np.maximum(matcher.sizes, 1)
-    top = TopRows(queries["query_id"].tolist(), k, min_score)
-    for frame in slabs:
-        for low in range(0, len(frame), SLAB_ROWS):
-            slab = frame.iloc[low : low + SLAB_ROWS]
-            scores = np.zeros((len(slab), len(queries)))
-            for field, weight in token_weights.items():
-                phrase_weight = phrase_weights.get(field, 0.0)
-                for row, text in enumerate(slab[field]):
-                    counts = matcher.counts(text)
-                    scores[row] += weight * share * counts
-                    if phrase_weight:
-                        # A text can only hold the whole query if it holds all of its tokens.
-                        for q in np.flatnonzero((counts == matcher.sizes) & (matcher.sizes > 0)):
-                            if phrases[q] in text:
-                                scores[row, q] += phrase_weight
-            if bonus is not None:
-                scores += bonus(slab, queries)
-            top.offer(slab["key"].to_numpy(), np.round(scores, 9))
-    return top.frame()
+GRAM = 3
+# A frequent trigram's or word's rows are spread over so many salts.
+SALTS = 8
+SCHEMA = "query_id string, key string, score double, whole int"
+
+
+# ---- postings
+
+
+def word_postings(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """word, key, fields (a bit for each field, in order): the distinct words of each text."""
+    def of_field(bit: int) -> Column:
+        return F.transform(F.array_distinct(F.split(F.col(fields[bit]), WS + "+")), lambda word: F.struct(word.alias("word"), F.lit(1 << bit).alias("bit")))
+
+    words = F.flatten(F.array(*map(of_field, range(len(fields)))))
+    rows = texts.select("key", F.explode(words).alias("w")).select("w.word", "key", "w.bit").where(F.col("word") != "")
+    return rows.groupBy("word", "key").agg(F.bit_or("bit").alias("fields"))
+
+
+def _grams(word: Column, size: int) -> Column:
+    """The distinct substrings of one length."""
+    starts = F.sequence(F.lit(1), F.length(word) - size + 1)
+    found = F.transform(starts, lambda i: F.substring(word, i, size))
+    return F.when(F.length(word) >= size, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
+def token_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """From distinct tokens (token, id) and distinct words (word): the pairs id, word where the word contains the token."""
+    # Rows of a frequent gram are salted on the side of the words; a token's one row is repeated for the salts.
+    of_words = words.select("word", F.explode(F.concat(*[_grams(F.col("word"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    asked = tokens.select("token", "id", F.explode(_grams(F.col("token"), GRAM)).alias("gram")).union(
+        tokens.where(F.length("token") < GRAM).select("token", "id", F.col("token").alias("gram"))
+    )
+    counts = of_words.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A token with a gram that no word has is in no word.
+    rare = asked.join(counts, "gram", "left").groupBy("token", "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
+    spread = rare.where("x.n > 0").select("token", "id", F.col("x.gram").alias("gram"), _every_salt().alias("salt"))
+    met = of_words.withColumn("salt", _salt("word")).join(spread, ["gram", "salt"])
+    return met.where(F.contains("word", F.col("token"))).select("id", "word")
+
+
+def token_postings(postings: DataFrame, matches: DataFrame) -> DataFrame:
+    """key, found (an array of token id and fields): what each text holds of the tokens."""
+    named = matches.groupBy("word").agg(F.collect_list("id").alias("ids")).withColumn("salt", _every_salt())  # tokens, not texts
+    held = postings.withColumn("salt", _salt("key")).join(named, ["word", "salt"]).select("key", F.explode("ids").alias("id"), "fields")
+    by_token = held.groupBy("key", "id").agg(F.bit_or("fields").alias("fields"))
+    return by_token.groupBy("key").agg(F.collect_list(F.struct("id", "fields")).alias("found"))
+
+
+# ---- scores
+
+
+class Block:
+    """A bounded block of texts as inverted lists: of each token the texts that hold it, and in which fields."""
+
+    def __init__(self, keys: list[str], found: list, bonus: np.ndarray | None, fields: int):
+        self.order = np.argsort(np.array(keys, dtype=object), kind="stable")
+        self.keys = [keys[i] for i in self.order]
+        self.bonus = None if bonus is None else bonus[self.order]
+        lists = [found[i] if found[i] is not None else () for i in self.order]
+        texts = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        ids = np.array([e["id"] for x in lists for e in x], dtype=np.int64)
+        masks = np.array([e["fields"] for x in lists for e in x], dtype=np.int64)
+        by_id = np.argsort(ids, kind="stable")
+        self.texts, self.masks = texts[by_id], masks[by_id]
+        self.tokens, starts = np.unique(ids[by_id], return_index=True)
+        self.starts = np.append(starts, len(ids))
+        self.fields = fields
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """counts[field, text]: how many of a query's tokens the field of a text holds."""
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens)] if len(self.tokens) else at[:0]
+        out = np.zeros((self.fields, len(self.keys)))
+        if len(at):
+            spans = [slice(self.starts[i], self.starts[i + 1]) for i in at]
+            texts, masks = np.concatenate([self.texts[s] for s in spans]), np.concatenate([self.masks[s] for s in spans])
+            for field in range(self.fields):
+                out[field] = np.bincount(texts[(masks >> field) & 1 == 1], minlength=len(self.keys))
+        return out
+
+
+def _cell(queries: pd.DataFrame, block: Block, weights: np.ndarray, phrase: np.ndarray, k: int, min_score: float, per_token: bool) -> Iterator[tuple]:
+    """query_id, key, score, whole: the best k texts of each query, and those that the phrase bonus could lift there.
+
+    whole has a bit for each field that holds all tokens, and whose text is to be looked up for the phrase.
+    """
+    for query_id, found, wants, tokens_n in zip(queries["query_id"], queries["ids"], queries["wants"], queries["size"]):
+        counts = block.counts(np.array(found, dtype=np.int64))
+        share = 1.0 if per_token else 1.0 / max(1, tokens_n)
+        scores = (weights * share) @ counts
+        if block.bonus is not None:
+            scores = scores + block.bonus @ np.array(wants)
+        scores = np.round(scores, 9)
+        whole = (counts == tokens_n) & (phrase > 0)[:, None] & (tokens_n > 0)
+        most = scores + phrase @ whole  # what the phrase could make of it
+        able = np.flatnonzero((most >= min_score) & ((scores > 0) | (min_score <= 0)))
+        if len(able) > k:
+            least = np.partition(scores[able], len(able) - k)[len(able) - k]
+            sure = able[scores[able] >= least]
+            sure = sure[np.argsort(-scores[sure], kind="stable")][:k]  # texts are in the order of their keys
+            able = np.union1d(sure, able[(most[able] >= least) & whole[:, able].any(axis=0)])
+        for i in able.tolist():
+            yield query_id, block.keys[i], float(scores[i]), int(sum(1 << f for f in range(block.fields) if whole[f, i]))
 
 
 def best_texts(
@@ -129,37 +146,58 @@ def best_texts(
     k: int = 40,
     min_score: float = 1e-9,
     per_token: bool = True,
-    bonus: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
     query_block_rows: int = QUERY_BLOCK_ROWS,
     text_block_rows: int = TEXT_BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` best texts of each query: (query_id, key, score, rank), ties by key.
 
-    ``queries`` has query_id, tokens and phrase; ``texts`` has a unique key and the weighted fields, all lower case.
+    ``queries`` has query_id, tokens and phrase; ``texts`` has a unique key and the weighted fields, all lower case. A
+    token counts as often as the query repeats it. ``texts`` may have an array ``bonus`` and ``queries`` an array
+    ``wants`` of the same length, whose product is added to the score.
     """
-    queries = queries.withColumn("query_id", F.col("query_id").cast("string"))
-    phrase_weights = phrase_weights or {}
-    rows, chars = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
-    blocks = max(1, math.ceil(rows / query_block_rows), math.ceil(chars / QUERY_BLOCK_CHARS))
-    if blocks == 1:
-        small = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield _scan(small.value, frames, token_weights, phrase_weights, per_token, bonus, k, min_score)
-
-        found = texts.mapInPandas(scan, SCHEMA)
-    else:
-        text_blocks = max(1, math.ceil(texts.count() / text_block_rows))
-        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "tb", F.explode(F.sequence(F.lit(0), F.lit(text_blocks - 1)))
+    fields, phrase_weights = list(token_weights), phrase_weights or {}
+    weights, phrase = np.array([token_weights[f] for f in fields]), np.array([float(phrase_weights.get(f, 0.0)) for f in fields])
+    asked = cut_lineage(
+        queries.select(
+            F.col("query_id").cast("string").alias("query_id"), "tokens", "phrase",
+            F.col("wants") if "wants" in queries.columns else F.lit(None).cast("array<double>").alias("wants"),
         )
-        right = texts.withColumn("tb", F.pmod(F.xxhash64("key"), F.lit(text_blocks)).cast("int")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-        )
-
-        def cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-            return _scan(q, iter([t]), token_weights, phrase_weights, per_token, bonus, k, min_score)
-
-        found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(cell, SCHEMA)
+    )
+    tokens = asked.select(F.explode("tokens").alias("token")).distinct()
+    tokens = cut_lineage(tokens.withColumn("id", F.monotonically_increasing_id()))
+    postings = cut_lineage(word_postings(texts, fields))
+    held = token_postings(postings, token_words(tokens, postings.select("word").distinct()))
+    bonus = "bonus" in texts.columns
+    if bonus:  # a text without any token may still be the best
+        held = texts.select("key", "bonus").join(held, "key", "left")
+    held = cut_lineage(held)
+    numbered = asked.select("query_id", F.explode("tokens").alias("token")).join(tokens, "token").groupBy("query_id").agg(F.collect_list("id").alias("ids"))
+    numbered = asked.select("query_id", "wants", F.size("tokens").alias("size")).join(numbered, "query_id", "left")
+    query_blocks = max(1, math.ceil(asked.count() / query_block_rows))
+    text_blocks = max(1, math.ceil(held.count() / text_block_rows))
+    block_of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = numbered.withColumn("qb", block_of("query_id", query_blocks)).withColumn("tb", every(text_blocks))
+    right = held.withColumn("tb", block_of("key", text_blocks)).withColumn("qb", every(query_blocks))
+
+    def cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame([], columns=["query_id", "key", "score", "whole"])
+        q["ids"] = [() if x is None else x for x in q["ids"]]
+        extra = np.array(t["bonus"].tolist(), dtype=float) if bonus else None
+        block = Block(t["key"].tolist(), t["found"].tolist(), extra, len(fields))
+        return pd.DataFrame(_cell(q, block, weights, phrase, k, min_score, per_token), columns=["query_id", "key", "score", "whole"])
+
+    found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(cell, SCHEMA)
+    if phrase_weights:
+        found = cut_lineage(found)
+        plain = found.where("whole = 0").select("query_id", "key", "score")
+        lifted = found.where("whole > 0").join(asked.select("query_id", "phrase"), "query_id").join(texts.select("key", *fields), "key")
+        gain = sum(
+            (F.when(((F.col("whole") / (1 << bit)).cast("int") % 2 == 1) & F.contains(F.col(f), F.col("phrase")), float(phrase[bit])).otherwise(0.0)
+             for bit, f in enumerate(fields)), F.lit(0.0),
+        )
+        found = plain.union(lifted.select("query_id", "key", (F.col("score") + gain).alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    found = found.where(F.col("score") >= min_score).select("query_id", "key", "score")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

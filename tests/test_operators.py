@@ -340,3 +340,33 @@ def test_failing_chunks_are_halved_not_cut(spark):
     chunks = spark.createDataFrame([("p", 0, 0, 8000, "x" * 8000), ("p", 1, 0, 5, "short")], ts.CHUNK_SCHEMA)
     got = {r.chunk_index: r for r in ts.embed_chunks(chunks, short_only).collect()}
     assert (got[0].parts, got[0].embedding, got[0].error) == (4, [2000.0, 1.0], None) and got[1].parts == 1
+
+
+def test_ten_thousand_keyword_queries_equal_brute_force(spark):
+    """Substrings, repeated tokens, phrases and ties, with cells of a few texts and all queries in several blocks."""
+    from corpusloom.operators import scoring
+
+    rng = random.Random(11)
+    parts = ["pl", "an", "a", "bud", "get", "met", "rics", "é", "x1", "-"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 3)))
+    vocabulary = [word() for _ in range(60)]
+    docs = [(f"f{i % 3}/{rng.choice(vocabulary)} {i:02d}.md", " ".join(rng.choices(vocabulary, k=8))) for i in range(45)]
+    queries = [(i, " ".join(rng.choices(vocabulary + parts, k=rng.randint(1, 3)))) for i in range(10_000)]
+    d = spark.createDataFrame(docs, "path string, content string")
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    got = {}
+    asked = q.select("query_id", rt.search_tokens("query").alias("tokens"), F.lower(F.trim("query")).alias("phrase"))
+    texts = d.select(F.col("path").alias("key"), F.lower(F.substring_index("path", "/", -1)).alias("name"), F.lower("path").alias("path"), F.lower("content").alias("content"))
+    top = scoring.best_texts(asked, texts, rt.TOKEN_WEIGHTS, rt.PHRASE_WEIGHTS, 5, query_block_rows=3000, text_block_rows=20)
+    for r in top.collect():
+        got.setdefault(int(r.query_id), []).append((r["rank"], r.key, int(r.score)))
+    lowered = [(p, p.split("/")[-1].lower(), p.lower(), c.lower()) for p, c in docs]
+    for qid, query in queries:
+        phrase, tokens = query.lower(), query.lower().split()
+        scores = []
+        for p, name, where, text in lowered:
+            s = 120 * (phrase in name) + 60 * (phrase in where) + 40 * (phrase in text)
+            s += sum(20 * (t in name) + 10 * (t in where) + 4 * (t in text) for t in tokens)
+            if s:
+                scores.append((-s, p))
+        assert [(p, s) for _, p, s in sorted(got.get(qid, []))] == [(p, -s) for s, p in sorted(scores)[:5]], query
