@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,17 +14,24 @@ from corpusloom.functions.duplicates import jaccard
 from corpusloom.functions.paths import file_name, normalize_path, parent, second_level, top_level
 from corpusloom.functions.text import entities, related_tokens, top_keywords
 from corpusloom.functions.vectors import dot
-from corpusloom.operators.vectors import knn_candidates
+from corpusloom.operators.positions import number_rows
 from corpusloom.session import cut_lineage
 
-# Candidate counts, edge count and score thresholds.
-NEIGHBOURS = 40
-NEIGHBOUR_SIMILARITY = 0.12
-SIBLINGS = 36
-ENOUGH = 8
+# Weights of the signals, what being near adds, the gates of a score, edge count and least score.
+WEIGHTS = {"semantic": 0.56, "keyword": 0.16, "title": 0.08, "entity": 0.20}
+NEAR = {"folder": 0.09, "second": 0.05, "top": 0.02}
+STRONG = {"semantic": 0.48, "entity": 0.22, "keyword": 0.24, "title": 0.38}
+FOLDER_STRONG = {"semantic": 0.2, "entity": 0.14, "keyword": 0.18}
 EDGES = 5
 MIN_SCORE = 0.30
 
+# The threshold join (see related_pairs). Vectors this alike meet whatever their words are; a choice that moves work
+# between the vectors and the words, and never the result.
+MEET = 0.30
+# Documents with a common word, or of a block of vectors, that meet in one task.
+WORD_BLOCK, VECTOR_BLOCK = 1024, 4096
+SLACK = 1e-9
+
 
 def doc_features(documents: DataFrame) -> DataFrame:
     """Title words, keywords and entities of each document, and where it lies."""
@@ -34,45 +45,181 @@ def doc_features(documents: DataFrame) -> DataFrame:
     )
 
 
-def _first_siblings(paths: DataFrame, limit: int) -> DataFrame:
-    """For each document the first ``limit`` other documents of its folder, by path.
+@dataclass(frozen=True)
+class Least:
+    """The least entity and keyword similarities, one of which a pair needs that no other join finds."""
+
+    entity: float
+    keyword: float
 
-    Only ``limit + 1`` paths of a folder are kept, whatever its size, and the group limit prunes before the shuffle.
+
+def least_words(vector: bool, folder: bool) -> Least:
+    """Derived from the weights and gates for a document with or without a vector, inside its folder or anywhere.
+
+    With a vector: a pair that is less alike than the semantic gate, and has less of the title than its gate, passes
+    the gates only by one of these. Without one: a title counts its weight at most and being near what it adds, and
+    entities and keywords must make up the rest.
     """
-    foldered = paths.select("path", parent("path").alias("folder")).filter(F.col("folder") != "")
-    order = Window.partitionBy("folder").orderBy("path")
-    heads = (
-        foldered.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= limit + 1)
-        .groupBy("folder")
-        .agg(F.sort_array(F.collect_list("path")).alias("heads"))
-    )
-    others = F.slice(F.filter("heads", lambda p: p != F.col("path")), 1, limit)
-    return foldered.join(heads, "folder").select(F.col("path").alias("source"), F.explode(others).alias("target"))
-
-
-def related_candidates(
-    sources: DataFrame, paths: DataFrame, neighbours: DataFrame, existing: DataFrame | None = None,
-    siblings: int = SIBLINGS, enough: int = ENOUGH,
-) -> DataFrame:
-    """Pairs (source, target) worth scoring: known edges, nearest vectors, first siblings; for documents
-    with fewer than ``enough`` of these also the first paths of all."""
-    wanted = sources.select(F.col("path").alias("source"))
-    found = neighbours.select("source", "target").unionByName(
-        _first_siblings(paths, siblings).join(wanted, "source", "left_semi")
-    )
-    if existing is not None:
-        found = found.unionByName(existing.select("source", "target"))
-    # Read twice below; the neighbour search behind it should run once.
-    found = cut_lineage(found.join(wanted, "source", "left_semi").filter("source <> target").distinct())
-    few = wanted.join(found.groupBy("source").count(), "source", "left").filter(F.coalesce("count", F.lit(0)) < enough)
-    # At most siblings + 1 paths, carried as one array.
-    first = paths.select("path").orderBy("path").limit(siblings + 1).agg(F.sort_array(F.collect_list("path"))).scalar()
-    filler = few.select("source", first.alias("first")).select(
-        "source", F.explode(F.slice(F.filter("first", lambda p: p != F.col("source")), 1, siblings)).alias("target")
-    )
-    known = paths.select(F.col("path").alias("target"))
-    return found.unionByName(filler).distinct().join(known, "target", "left_semi").select("source", "target")
+    if vector:
+        gate = FOLDER_STRONG if folder else STRONG
+        return Least(gate["entity"], gate["keyword"])
+    rest = MIN_SCORE - WEIGHTS["title"] - (NEAR["folder"] if folder else NEAR["second"])
+    share = rest / (WEIGHTS["entity"] + WEIGHTS["keyword"])
+    return Least(share, share)
+
+
+def least_semantic_in_folder() -> float:
+    """How alike vectors of one folder have to be when no word passes its gate."""
+    words = sum(WEIGHTS[s] * FOLDER_STRONG[s] for s in ("entity", "keyword")) + WEIGHTS["title"] * STRONG["title"]
+    return max(FOLDER_STRONG["semantic"], (MIN_SCORE - NEAR["folder"] - words) / WEIGHTS["semantic"])
+
+
+KINDS = {"entity": "entities", "keyword": "keywords", "title": "title_tokens"}
+
+
+def _coded(features: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each document with its words as numbers, the rarest first: path, place, vector, and for each kind an array of
+    (number, count of documents)."""
+    kinds = F.concat(*(F.transform(F.array_distinct(column), _named(kind)) for kind, column in KINDS.items()))
+    words = features.select("path", F.explode(kinds).alias("w")).select("path", "w.kind", "w.word")
+    counts = words.groupBy("kind", "word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    numbered = number_rows(counts, "n", "kind", "word").select("kind", "word", F.struct(F.col("position").cast("int").alias("at"), "n").alias("code"))
+    salted = words.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(8)))
+    codes = salted.join(numbered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["kind", "word", "salt"])
+    lists = codes.groupBy("path").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("code")))).alias(k) for k in KINDS))
+    place = features.select("path", "folder", "top", "second")
+    has = vectors.select("path").distinct().withColumn("vector", F.lit(True))
+    coded = place.join(lists, "path", "left").join(has, "path", "left")
+    empty = F.array().cast("array<struct<at:int,n:int>>")
+    return coded.select(
+        "path", F.struct("folder", "top", "second").alias("place"), F.coalesce("vector", F.lit(False)).alias("vector"),
+        *(F.coalesce(k, empty).alias(k) for k in KINDS),
+    )
+
+
+def _named(kind: str):
+    return lambda word: F.struct(F.lit(kind).alias("kind"), word.alias("word"))
+
+
+def _prefix(codes: Column, least: Column) -> Column:
+    """The rarest words, of which two sets share one if their Jaccard similarity is `least` or more."""
+    n = F.size(codes)
+    return F.slice(codes, 1, F.greatest(n - F.ceil(least * n - SLACK).cast("int") + 1, F.lit(0)))
+
+
+def _word_postings(coded: DataFrame) -> DataFrame:
+    """One row for each word under which a document meets others: meet (what to meet on), n, and the document."""
+    doc = F.struct("path", "place", "vector", *(F.transform(k, lambda c: c["at"]).alias(k) for k in KINDS)).alias("doc")
+    by_vector = lambda with_, without: F.when(F.col("vector"), with_).otherwise(without)
+    entry = lambda level, low, high: lambda c: F.struct(level.alias("level"), c["at"].alias("at"), low.alias("low"), high.alias("high"), c["n"].alias("n"))
+    zero, everywhere, folder = F.lit(0), F.lit(""), F.concat(F.lit("/"), F.col("place.folder"))
+    lists = []
+    for kind in ("entity", "keyword"):
+        for level, inside in ((everywhere, False), (folder, True)):
+            least = by_vector(getattr(least_words(True, inside), kind), getattr(least_words(False, inside), kind))
+            found = F.transform(_prefix(F.col(kind), least), entry(level, zero, zero))
+            lists.append(F.when(F.col("place.folder") != "", found).otherwise(F.array().cast("array<struct<level:string,at:int,low:int,high:int,n:int>>")) if inside else found)
+    # Titles are short, so they meet by their sizes as well: the shared words that two sizes need leave few rare ones.
+    n, t = F.size("title"), STRONG["title"]
+    sizes = F.sequence(F.greatest(F.ceil(n * t).cast("int"), F.lit(1)), F.greatest(F.floor(n / t).cast("int"), F.lit(1)))
+    shared = lambda m: F.ceil((n + m) * (t / (1 + t)) - SLACK).cast("int")
+    titles = F.flatten(F.transform(sizes, lambda m: F.transform(F.slice("title", 1, F.greatest(n - shared(m) + 1, F.lit(0))), entry(everywhere, F.least(n, m), F.greatest(n, m)))))
+    lists.append(F.when(F.col("vector") & (n > 0), titles).otherwise(F.array().cast("array<struct<level:string,at:int,low:int,high:int,n:int>>")))
+    return coded.select(F.explode(F.concat(*lists)).alias("e"), doc).select(F.struct("e.level", "e.at", "e.low", "e.high").alias("meet"), "e.n", "doc")
+
+
+def _near(x: str, y: str) -> Column:
+    same = lambda part: (F.col(f"{x}.place.{part}") != "") & (F.col(f"{x}.place.{part}") == F.col(f"{y}.place.{part}"))
+    return choose(
+        (same("folder"), F.lit(NEAR["folder"])), (same("top") & same("second"), F.lit(NEAR["second"])), (same("top"), F.lit(NEAR["top"])), otherwise=F.lit(0.0)
+    )
+
+
+def _word_pairs(coded: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """Pairs a < b whose words and places leave no more to their vectors than less alike ones than MEET can add.
+
+    A common word's documents meet in blocks. The words are compared where they meet, so that no pair is shuffled that
+    they do not make likely.
+    """
+    postings = _word_postings(coded)
+    if changed is not None:
+        postings = postings.join(changed.select("path", F.lit(True).alias("is_changed")), F.col("doc.path") == F.col("path"), "left").drop("path")
+        asked = postings.where("is_changed").select("meet").distinct()
+        postings = postings.join(asked, "meet", "left_semi")
+    postings = cut_lineage(postings.withColumn("blocks", F.ceil(F.col("n") / WORD_BLOCK).cast("int")))
+    x = postings.withColumn("block", F.pmod(F.xxhash64("doc.path"), F.col("blocks")).cast("int")).withColumnRenamed("doc", "x")
+    y = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("doc", "y")
+    if changed is not None:
+        x, y = x.withColumnRenamed("is_changed", "x_changed"), y.withColumnRenamed("is_changed", "y_changed")
+    met = x.drop("n", "blocks").join(y.drop("n", "blocks"), ["meet", "block"]).where("x.path < y.path")
+    if changed is not None:
+        met = met.where("x_changed or y_changed")
+    met = met.where((F.col("meet.high") == 0) | (F.size("x.title") + F.size("y.title") == F.col("meet.low") + F.col("meet.high")))
+    words = sum((WEIGHTS[k] * jaccard(f"x.{k}", f"y.{k}") for k in KINDS), F.lit(0.0)) + _near("x", "y")
+    left = F.when(F.col("x.vector") & F.col("y.vector"), WEIGHTS["semantic"] * MEET).otherwise(0.0)
+    return met.where(words + left >= MIN_SCORE - SLACK).select(F.col("x.path").alias("a"), F.col("y.path").alias("b"))
+
+
+def similar_pairs(vectors: DataFrame, least: float, changed: DataFrame | None = None, block_rows: int = VECTOR_BLOCK) -> DataFrame:
+    """Pairs a < b of paths of one group whose vectors have a cosine of `least` or more: ``vectors(path, group, unit)``.
+
+    A group is cut into blocks; each pair of blocks is one matrix product, which emits what it finds.
+    """
+    rows = vectors.select("path", "group", F.size("unit").alias("dim"), "unit", F.lit(True).alias("old")) if changed is None else (
+        vectors.join(changed.select("path", F.lit(False).alias("old")), "path", "left").select("path", "group", F.size("unit").alias("dim"), "unit", F.coalesce("old", F.lit(True)).alias("old"))
+    )
+    rows = cut_lineage(rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(16))))
+    groups = rows.groupBy("group", "dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    sized = rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["group", "dim", "salt"])
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("path", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = sized.select("group", "dim", "path", "unit", "old", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("group", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "path", "unit", "old")
+
+    both_old = changed is not None  # pairs of old ends are not asked for
+
+    def product(tile: pa.Table) -> pa.Table:
+        paths, old = np.array(tile["path"].to_pylist(), dtype=object), tile["old"].to_numpy()
+        units = tile["unit"].combine_chunks().flatten().to_numpy().reshape(len(paths), -1)
+        i, j, block = tile["i"][0].as_py(), tile["j"][0].as_py(), tile["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for low in range(0, len(left), 512):
+            rows_ = left[low : low + 512]
+            hits = np.argwhere(units[rows_] @ units[right].T >= least - SLACK)
+            x, y = rows_[hits[:, 0]], right[hits[:, 1]]
+            fit = (x < y) if i == j else np.ones(len(x), bool)
+            if both_old:
+                fit &= ~(old[x] & old[y])
+            a += paths[x[fit]].tolist()
+            b += paths[y[fit]].tolist()
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    found = dealt.groupBy("group", "dim", "i", "j").applyInArrow(product, "a string, b string")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def related_pairs(features: DataFrame, vectors: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """All pairs a < b that may score MIN_SCORE or more; with `changed` (path) those with a changed end.
+
+    An exact threshold join over several signals. Vectors meet from MEET on, and inside a folder from where the folder's
+    gate can be passed by the vectors alone. Any other pair has to pass a gate by its entities, keywords or title:
+    each kind has a least similarity for that (`least_words`), and documents meet on the rarest words that sets of such a
+    similarity must share. No pair is left out: what meets nowhere scores less.
+    """
+    placed = cut_lineage(
+        vectors.select("path", _unit(F.col("embedding")).alias("unit")).where("unit is not null").join(features.select("path", "folder"), "path")
+    )
+    coded = cut_lineage(_coded(features, placed))
+    anywhere = similar_pairs(placed.select("path", F.lit("").alias("group"), "unit"), MEET, changed)
+    folders = placed.where("folder <> ''").select("path", F.col("folder").alias("group"), "unit")
+    inside = similar_pairs(folders, least_semantic_in_folder(), changed)
+    return anywhere.union(inside).union(_word_pairs(coded, changed)).distinct()
+
+
+def related_candidates(features: DataFrame, vectors: DataFrame) -> DataFrame:
+    """All pairs (source, target) that score MIN_SCORE or more."""
+    scored = score_pairs(related_pairs(features, vectors), features, vectors)
+    return _both_ways(scored.where(F.col("score") >= MIN_SCORE)).select("source", "target")
 
 
 def _unit(vector: Column) -> Column:
@@ -86,11 +233,12 @@ def score_columns(semantic: Column, keyword: Column, title: Column, entity: Colu
     same_folder = (c(a, "folder") != "") & (c(a, "folder") == c(b, "folder"))
     same_top = (c(a, "top") != "") & (c(a, "top") == c(b, "top"))
     same_second = same_top & (c(a, "second") != "") & (c(a, "second") == c(b, "second"))
-    near = choose((same_folder, F.lit(0.09)), (same_second, F.lit(0.05)), (same_top, F.lit(0.02)), otherwise=F.lit(0.0))
-    total = clamp01(0.56 * semantic + 0.16 * keyword + 0.08 * title + 0.20 * entity + near)
+    near = choose((same_folder, F.lit(NEAR["folder"])), (same_second, F.lit(NEAR["second"])), (same_top, F.lit(NEAR["top"])), otherwise=F.lit(0.0))
+    w, gate, inside = WEIGHTS, STRONG, FOLDER_STRONG
+    total = clamp01(w["semantic"] * semantic + w["keyword"] * keyword + w["title"] * title + w["entity"] * entity + near)
     strong = (
-        (semantic >= 0.48) | (entity >= 0.22) | (keyword >= 0.24) | (title >= 0.38)
-        | (same_folder & ((semantic >= 0.2) | (entity >= 0.14) | (keyword >= 0.18)))
+        (semantic >= gate["semantic"]) | (entity >= gate["entity"]) | (keyword >= gate["keyword"]) | (title >= gate["title"])
+        | (same_folder & ((semantic >= inside["semantic"]) | (entity >= inside["entity"]) | (keyword >= inside["keyword"])))
     )
     faint = (semantic < 0.12) & (keyword < 0.12) & (title < 0.18) & (entity < 0.12)
     loose = same_top & ~same_folder & (semantic < 0.22) & (entity < 0.18) & (keyword < 0.2)
@@ -140,16 +288,9 @@ def _both_ways(scored: DataFrame) -> DataFrame:
     )
 
 
-def _unordered(candidates: DataFrame) -> DataFrame:
-    return candidates.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-
-
-def related_edges(features: DataFrame, vectors: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
-    """The whole graph: each pair is scored once and counts for both of its ends."""
-    have = cut_lineage(vectors.join(features.select("path"), "path", "left_semi"))
-    neighbours = knn_candidates(have, have, NEIGHBOUR_SIMILARITY, NEIGHBOURS)
-    candidates = related_candidates(features, features, neighbours, siblings=siblings)
-    return top_edges(_both_ways(score_pairs(_unordered(candidates), features, vectors)))
+def related_edges(features: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The whole graph: the best EDGES of all pairs that score MIN_SCORE or more; each is scored once for both ends."""
+    return top_edges(_both_ways(score_pairs(related_pairs(features, vectors), features, vectors)))
 
 
 def confidence(score: Column) -> Column:
@@ -216,15 +357,22 @@ def explain_edge(tags: Column, reason: Column, semantic: Column, entity: Column,
 
 
 def update_related(edges: DataFrame, changed: DataFrame, features: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Edges after some paths changed: theirs are computed anew, and their neighbours' edges to them replaced."""
-    paths = changed.select("path")
-    neighbours = knn_candidates(vectors.join(paths, "path", "left_semi"), vectors, NEIGHBOUR_SIMILARITY, NEIGHBOURS)
-    mine = edges.join(paths.withColumnRenamed("path", "source"), "source", "left_semi")
-    candidates = related_candidates(paths, features, neighbours, mine)
-    touched = candidates.unionByName(candidates.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    kept = edges.join(paths.withColumnRenamed("path", "source"), "source", "left_anti").join(touched, ["source", "target"], "left_anti")
-    fresh = _both_ways(score_pairs(_unordered(candidates), features, vectors))
-    return top_edges(kept.drop("rank").unionByName(fresh))
+    """Edges after some paths were added, edited or deleted; as if all were computed anew.
+
+    ``features`` and ``vectors`` are the new ones. A list that was full and loses a target is opened again, as what it
+    left out may now belong to it; a shorter list held all there was.
+    """
+    known = features.select("path")
+    ends = edges.select(F.col("source").alias("path")).union(edges.select(F.col("target").alias("path")))
+    moved = cut_lineage(changed.select("path").union(ends.join(known, "path", "left_anti")).distinct())
+    lost = edges.join(moved.withColumnRenamed("path", "target"), "target", "left_semi").select("source").distinct()
+    full = edges.groupBy("source").count().where(F.col("count") >= EDGES).join(lost, "source", "left_semi")
+    opened = cut_lineage(moved.union(full.select(F.col("source").alias("path"))).distinct().join(known, "path", "left_semi"))
+    source, target = opened.withColumnRenamed("path", "source"), moved.withColumnRenamed("path", "target")
+    stay = edges.join(source, "source", "left_anti").join(target, "target", "left_anti").join(target.withColumnRenamed("target", "source"), "source", "left_anti")
+    fresh = _both_ways(score_pairs(related_pairs(features, vectors, opened), features, vectors))
+    both = stay.drop("rank").unionByName(fresh.where(F.col("score") >= MIN_SCORE).select(*stay.drop("rank").columns))
+    return top_edges(both.dropDuplicates(["source", "target"]))
 
 
 def prune_related(features: DataFrame, edges: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -44,25 +44,7 @@ SELECT path, title, folder, top, second,
 
 
 def related_candidates(spark, sf):
-    features, vectors = _inputs(spark, sf)
-    have = vectors.join(features.select("path"), "path", "left_semi")
-    return rl.related_candidates(features, features, vx.knn_candidates(have, have))
-
-
-CANDIDATES_CTE = """
-vecs AS (SELECT path, embedding AS e, sqrt(list_dot_product(embedding, embedding)) AS norm FROM note_embeddings WHERE path IN (SELECT path FROM notes)),
-knn AS (SELECT a.path AS source, b.path AS target, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 9) AS s FROM vecs a CROSS JOIN vecs b
-  WHERE a.path <> b.path AND s >= 0.12 QUALIFY row_number() OVER (PARTITION BY a.path ORDER BY s DESC, b.path) <= 40),
-fold AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM notes),
-sib AS (SELECT a.path AS source, b.path AS target FROM fold a JOIN fold b ON a.folder = b.folder AND a.folder <> '' AND a.path <> b.path
-  QUALIFY row_number() OVER (PARTITION BY a.path ORDER BY b.path) <= 36),
-base AS (SELECT source, target FROM knn UNION SELECT source, target FROM sib),
-few AS (SELECT path FROM notes LEFT JOIN base ON source = path GROUP BY path HAVING count(target) < 8),
-filler AS (SELECT few.path AS source, n.path AS target FROM few CROSS JOIN notes n WHERE n.path <> few.path
-  QUALIFY row_number() OVER (PARTITION BY few.path ORDER BY n.path) <= 36),
-cands AS (SELECT * FROM base UNION SELECT * FROM filler)"""
-
-CANDIDATES_SQL = f"WITH {fx.NOTE_EMBEDDINGS_SQL}, {CANDIDATES_CTE} SELECT source, target FROM cands"
+    return rl.related_candidates(*_inputs(spark, sf))
 
 
 def related_edges(spark, sf):
@@ -80,12 +62,14 @@ def _jac(c: str) -> str:
     return f"CASE WHEN len(x.{c}) = 0 OR len(y.{c}) = 0 THEN 0::DOUBLE ELSE {both}::DOUBLE / (len(x.{c}) + len(y.{c}) - {both}) END"
 
 
+# All pairs of notes, whatever they share.
 EDGES_CTE = f"""
-und AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM cands),
-sig AS (SELECT a, b, greatest(0::DOUBLE, least(1::DOUBLE, round(coalesce(list_dot_product(v.e, w.e) / (v.norm * w.norm), 0), 9))) AS semantic,
+vecs AS (SELECT path, embedding AS e, sqrt(list_dot_product(embedding, embedding)) AS norm FROM note_embeddings WHERE path IN (SELECT path FROM notes)),
+nv AS (SELECT f.*, e, norm FROM feats f LEFT JOIN vecs USING (path)),
+sig AS (SELECT x.path AS a, y.path AS b, greatest(0::DOUBLE, least(1::DOUBLE, round(coalesce(list_dot_product(x.e, y.e) / (x.norm * y.norm), 0), 9))) AS semantic,
   {_jac('keywords')} AS keyword, {_jac('title_tokens')} AS title, {_jac('entities')} AS entity,
   x.folder <> '' AND x.folder = y.folder AS sf, x.top = y.top AS st, x.top = y.top AND x.second <> '' AND x.second = y.second AS ss
-  FROM und JOIN feats x ON x.path = a JOIN feats y ON y.path = b LEFT JOIN vecs v ON v.path = a LEFT JOIN vecs w ON w.path = b),
+  FROM nv x JOIN nv y ON x.path < y.path),
 tot AS (SELECT *, least(1::DOUBLE, 0.56::DOUBLE * semantic + 0.16::DOUBLE * keyword + 0.08::DOUBLE * title + 0.2::DOUBLE * entity
   + CASE WHEN sf THEN 0.09::DOUBLE WHEN ss THEN 0.05::DOUBLE WHEN st THEN 0.02::DOUBLE ELSE 0 END) AS t FROM sig),
 sco AS (SELECT *, round(CASE WHEN NOT (semantic >= 0.48 OR entity >= 0.22 OR keyword >= 0.24 OR title >= 0.38 OR (sf AND (semantic >= 0.2 OR entity >= 0.14 OR keyword >= 0.18))) THEN 0
@@ -94,8 +78,11 @@ sco AS (SELECT *, round(CASE WHEN NOT (semantic >= 0.48 OR entity >= 0.22 OR key
 two AS (SELECT a AS source, b AS target, * EXCLUDE (a, b) FROM sco UNION ALL SELECT b, a, * EXCLUDE (a, b) FROM sco),
 edges AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM two WHERE score >= 0.30 QUALIFY rank <= 5)"""
 
+CANDIDATES_SQL = f"""
+WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {EDGES_CTE} SELECT source, target FROM two WHERE score >= 0.30"""
+
 EDGES_SQL = f"""
-WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {CANDIDATES_CTE}, {EDGES_CTE},
+WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {EDGES_CTE},
 sh AS (SELECT e.*, list_filter(x.keywords, lambda t: list_contains(y.keywords, t))[1:3] AS sk, list_filter(x.entities, lambda t: list_contains(y.entities, t))[1:3] AS se
   FROM edges e JOIN feats x ON x.path = source JOIN feats y ON y.path = target),
 tg AS (SELECT *, list_filter([CASE WHEN semantic >= 0.78 THEN 'same topic' WHEN semantic >= 0.58 THEN 'similar topic' END,
@@ -118,17 +105,16 @@ FROM rs"""
 
 
 def update_related(spark, sf):
-    """The edges after the notes of the export folders changed; nothing else did, so the graph stays the same."""
+    """A stored graph of the notes outside the export folders, after those inside were added."""
     features, vectors = _inputs(spark, sf)
-    # The stored graph, as an update would find it.
-    edges = cut_lineage(rl.related_edges(features, vectors))
     changed = features.filter(F.contains("path", F.lit("/exports/")))
-    have = vectors.join(features.select("path"), "path", "left_semi")
-    return rl.update_related(edges, changed, features, have).select("source", "target", "rank", F.round("score", 6).alias("score"))
+    before = features.join(changed.select("path"), "path", "left_anti")
+    edges = cut_lineage(rl.related_edges(before, vectors))
+    return rl.update_related(edges, changed, features, vectors).select("source", "target", "rank", F.round("score", 6).alias("score"))
 
 
 UPDATE_SQL = f"""
-WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {CANDIDATES_CTE}, {EDGES_CTE}
+WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {EDGES_CTE}
 SELECT source, target, rank, round(score, 6) AS score FROM edges"""
 
 
@@ -140,7 +126,7 @@ def prune_related(spark, sf):
 
 
 PRUNE_SQL = f"""
-WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {CANDIDATES_CTE}, {EDGES_CTE}
+WITH {fx.NOTE_EMBEDDINGS_SQL}, {FEATURES_CTE}, {EDGES_CTE}
 SELECT (SELECT count(*) FROM feats WHERE contains(path, '/exports/')) AS removed_records,
   (SELECT count(*) FROM edges WHERE contains(source, '/exports/') OR contains(target, '/exports/')) AS removed_edges"""
 

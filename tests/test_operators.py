@@ -370,3 +370,82 @@ def test_ten_thousand_keyword_queries_equal_brute_force(spark):
             if s:
                 scores.append((-s, p))
         assert [(p, s) for _, p, s in sorted(got.get(qid, []))] == [(p, -s) for s, p in sorted(scores)[:5]], query
+
+
+def brute_edges(docs, vectors):
+    """The five best of all pairs of documents (path -> title words, keywords, entities) by the score's definition."""
+    import numpy as np
+
+    def jac(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    out = {}
+    for a, x in docs.items():
+        scores = []
+        for b, y in docs.items():
+            if a == b:
+                continue
+            s = 0.0
+            if a in vectors and b in vectors:
+                u, v = np.array(vectors[a]), np.array(vectors[b])
+                s = round(max(0.0, min(1.0, float(u @ v) / float(np.linalg.norm(u) * np.linalg.norm(v)))), 9)
+            t, k, e = (jac(p, q) for p, q in zip(x, y))
+            fa, fb = a.rpartition("/")[0], b.rpartition("/")[0]
+            ta, tb = a.split("/"), b.split("/")
+            top = len(ta) > 1 and len(tb) > 1 and ta[0] == tb[0]
+            folder = fa != "" and fa == fb
+            second = top and len(ta) > 2 and len(tb) > 2 and ta[1] == tb[1]
+            total = min(1.0, 0.56 * s + 0.16 * k + 0.08 * t + 0.2 * e + (0.09 if folder else 0.05 if second else 0.02 if top else 0.0))
+            strong = s >= 0.48 or e >= 0.22 or k >= 0.24 or t >= 0.38 or folder and (s >= 0.2 or e >= 0.14 or k >= 0.18)
+            if not strong or (s < 0.12 and k < 0.12 and t < 0.18 and e < 0.12):
+                total = 0.0
+            elif top and not folder and s < 0.22 and e < 0.18 and k < 0.2:
+                total = min(total, 0.26)
+            if round(total, 9) >= 0.3:
+                scores.append((-round(total, 9), b))
+        out |= {(a, b): (rank, -s) for rank, (s, b) in enumerate(sorted(scores)[:5], 1)}
+    return out
+
+
+def test_related_edges_equal_all_pairs_and_updates_equal_recomputation(spark, monkeypatch):
+    from corpusloom.operators import related as rl
+
+    monkeypatch.setattr(rl, "WORD_BLOCK", 16)
+    monkeypatch.setattr(rl, "VECTOR_BLOCK", 50)
+    rng = random.Random(4)
+
+    def sets(n, least, most):
+        return ["all", *{f"w{int(rng.random() ** 2 * n)}" for _ in range(rng.randint(least, most))}]
+
+    docs = {f"{'f/' * rng.randint(0, 1)}g{rng.randint(0, 2)}/{'h/' * rng.randint(0, 1)}d{i}": (sets(8, 0, 2), sets(30, 0, 12), sets(40, 0, 14)) for i in range(150)}
+    docs |= {f"root{i}": ([], sets(9, 0, 6), []) for i in range(12)}
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    vectors = {p: [c + rng.gauss(0, 0.7) for c in rng.choice(centres)] for p in docs if rng.random() < 0.6}
+
+    def frames(docs, vectors):
+        rows = [(p, p, *x, p.rpartition("/")[0], p.split("/")[0] if "/" in p else "", p.split("/")[1] if p.count("/") > 1 else "") for p, x in docs.items()]
+        f = spark.createDataFrame(rows, "path string, title string, title_tokens array<string>, keywords array<string>, entities array<string>, folder string, top string, second string")
+        return f, spark.createDataFrame(list(vectors.items()), "path string, embedding array<double>")
+
+    def got(edges):
+        return {(r.source, r.target): (r["rank"], r.score) for r in edges.collect()}
+
+    f, v = frames(docs, vectors)
+    edges = rl.related_edges(f, v)
+    want = brute_edges(docs, vectors)
+    assert got(edges) == want and len(want) > 200
+    stored = spark.createDataFrame(edges.collect(), edges.schema)
+    later, moved = dict(docs), dict(vectors)
+    gone = sorted(docs)[::17]
+    for p in gone:
+        later.pop(p), moved.pop(p, None)
+    edited = sorted(later)[::13]
+    for p in edited:
+        later[p] = (sets(8, 0, 2), sets(30, 0, 12), sets(40, 0, 14))
+        moved[p] = [c + rng.gauss(0, 0.7) for c in rng.choice(centres)]
+    added = {f"g1/new{i}": (sets(8, 0, 2), sets(30, 2, 12), sets(40, 2, 14)) for i in range(5)}
+    later |= added
+    f, v = frames(later, moved)
+    changed = spark.createDataFrame([(p,) for p in [*edited, *added]], "path string")
+    assert got(rl.update_related(stored, changed, f, v)) == brute_edges(later, moved)
