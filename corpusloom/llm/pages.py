@@ -1,8 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-A first pass scores the containers of every page and names each by its generalised path of tags and classes. The pages
-of a host vote in Spark; a second pass extracts from the container on the host's winning path, and from the page's own
-best container where a page does not have that path.
+A first pass scores the containers of every page by the share of its unlinked text that they hold, and names each by its
+generalised path of tags and classes. The pages of a host vote in Spark; a second pass extracts from the container on
+the host's winning path, and from the page's own best container where a page does not have that path.
+
+Tags and roles say what is not part of an article. A word of a class or id says so only if enough of the page's text
+lies outside the element: a wrapper of everything is not a sidebar, whatever it is called.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ INLINE = {
     "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "dd", "li"}
+# Raw elements that may stand inside a paragraph without ending it.
+SILENT = {"script", "style", "noscript", "template"}
+HEADINGS = {"h1"}
 # Elements that an opening tag ends where their own end tag is left out.
 ENDS_PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "dt"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,7 +46,16 @@ ASIDE_WORDS = {
     "notice", "notices", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "skip",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+# Of these, words for what readers write; any text outside such an element is enough.
+COMMENT_WORDS = {"comment", "comments", "discussion", "disqus", "replies", "respond"}
 MAIN_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
+# Words that turn the next or the last one around: has-sidebar, comments-open.
+BEFORE, AFTER = {"has", "hide", "no", "not", "with", "without"}, {"closed", "disabled", "enabled", "none", "off", "on", "open"}
+
+# An element is no aside by its words if less than this share of the page's text lies outside of it.
+REST = 0.15
+# The best container is the innermost one with this share of the page's text.
+COVER = 0.85
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\"'=]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))", re.S)
@@ -53,7 +68,8 @@ class Element:
     path: str
     aside: bool
     parent: int
-    words: frozenset[str] = frozenset()
+    suspect: int = 0  # by its words: 1; as reader comments: 2
+    cells: int = 0  # table cells in it so far
 
 
 @dataclass
@@ -84,6 +100,21 @@ def _names(attributes: str) -> tuple[list[str], str]:
     return names, role
 
 
+def _suspect(names: list[str], in_article: bool) -> int:
+    """Whether the words of classes and ids speak of something other than the article: 1, of comments: 2."""
+    found: set[str] = set()
+    spared = in_article
+    for name in names:
+        words = [w.lower() for w in WORDS.findall(name)]
+        spared |= bool(MAIN_WORDS.intersection(words))
+        for i, word in enumerate(words):
+            if word in ASIDE_WORDS and not (i and words[i - 1] in BEFORE) and not (i + 1 < len(words) and words[i + 1] in AFTER):
+                found.add(word)
+    if spared:
+        found.discard("header")
+    return 2 if found & COMMENT_WORDS else int(bool(found))
+
+
 def _general(name: str) -> str:
     """A class without its numbers; one that is mostly number or hash says nothing."""
     found = re.sub(r"\d+", "#", name.lower())
@@ -135,8 +166,9 @@ def parse(html: str) -> Page:
             if tag == "hr":
                 flush()
             continue
-        flush()
-        links = 0
+        if tag not in SILENT:
+            flush()
+            links = 0
         if tag in RAW:
             if not ends:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -152,34 +184,68 @@ def parse(html: str) -> Page:
             close(SAME_ENDS[tag], {"ul", "ol", "dl", "table", "select"})
         parent = page.elements[stack[-1]]
         names, role = _names(match[3])
-        words = frozenset(w.lower() for name in names for w in WORDS.findall(name))
         in_article = "/article" in parent.path or "/main" in parent.path or tag in ("article", "main")
-        aside = (
-            parent.aside or tag in ASIDE_TAGS or role in ASIDE_ROLES or (tag == "header" and not in_article)
-            or (tag not in ("body", "main") and bool(words & ASIDE_WORDS))
-        )
+        aside = parent.aside or tag in ASIDE_TAGS or role in ASIDE_ROLES or (tag == "header" and not in_article)
+        suspect = 0 if tag in ("body", "main") else _suspect(names, in_article)
         general = sorted({g for g in map(_general, names) if g})
-        page.elements.append(Element(tag, f"{parent.path}/{'.'.join([tag, *general])}", aside, stack[-1], words))
+        if tag in ("td", "th"):  # the columns of a layout table are places of their own
+            parent.cells += 1
+            general.append(str(parent.cells))
+        page.elements.append(Element(tag, f"{parent.path}/{'.'.join([tag, *general])}", aside, stack[-1], suspect))
         stack.append(len(page.elements) - 1)
     flush()
+    _settle(page)
     return page
 
 
-def container_scores(page: Page) -> dict[str, float]:
-    """Path -> score of the page's containers: unlinked text, whole for the container next to a block, less further up."""
-    scores: dict[str, float] = {}
+def _weights(page: Page) -> list[int]:
+    """Characters of unlinked text below each element, without what is aside."""
+    held = [0] * len(page.elements)
     for block in page.blocks:
-        if page.elements[block.owner].aside:
+        if not page.elements[block.owner].aside:
+            held[block.owner] += max(0, len(block.text) - block.linked)
+    for number in range(len(held) - 1, 0, -1):  # children come after their parents
+        held[page.elements[number].parent] += held[number]
+    return held
+
+
+def _settle(page: Page) -> None:
+    """Let suspect elements be asides where enough of the page's text lies outside of them and of other suspects."""
+    held = _weights(page)
+    ends = list(range(1, len(held) + 1))  # an element and all below it are neighbours
+    for number in range(len(held) - 1, 0, -1):
+        parent = page.elements[number].parent
+        ends[parent] = max(ends[parent], ends[number])
+    suspects = [i for i, e in enumerate(page.elements) if e.suspect and not e.aside]
+    for number in suspects:
+        if page.elements[number].aside:
             continue
-        worth = len(block.text) - 2.0 * block.linked
-        at, level = block.owner, 0
-        while at >= 0 and level < 4:
-            element = page.elements[at]
-            if element.tag in CONTAINERS:
-                factor = 3.0 if element.tag in ("article", "main") else 1.3 if element.words & MAIN_WORDS else 0.7 if element.tag in ("li", "td", "dd", "body") else 1.0
-                scores[element.path] = scores.get(element.path, 0.0) + worth * factor / (1 + level)
-                level += 1
-            at = element.parent
+        # Other suspects, but for those that hold this one: what lies before it and after it.
+        around = [i for i in suspects if i != number and not (number < i < ends[number]) and not (i < number < ends[i])]
+        others, at = 0, 0
+        for i in around:
+            if i >= at:
+                others, at = others + held[i], ends[i]
+        rest = held[0] - held[number] - others
+        if rest >= REST * held[0] or (rest > 0 and page.elements[number].suspect == 2):
+            for below in range(number, ends[number]):
+                page.elements[below].aside = True
+
+
+def container_scores(page: Page) -> dict[str, float]:
+    """Path -> score of the page's containers: the innermost ones with most of the text; an article or main around it first."""
+    held, scores = _weights(page), {}
+    if not held[0]:
+        return scores
+    depth = [0] * len(held)
+    inside = [-1] * len(held)  # the outermost article or main around an element
+    for number, element in enumerate(page.elements):
+        if number:
+            depth[number] = depth[element.parent] + 1
+            inside[number] = inside[element.parent] if inside[element.parent] >= 0 else number if element.tag in ("article", "main") else -1
+        if element.tag in CONTAINERS and not element.aside and held[number] >= COVER * held[0]:
+            chosen = page.elements[inside[number] if inside[number] >= 0 else number].path
+            scores[chosen] = max(scores.get(chosen, 0.0), 1.0 + depth[number])
     return scores
 
 
@@ -188,11 +254,22 @@ def best_path(scores: dict[str, float]) -> str | None:
 
 
 def text_on(page: Page, path: str) -> str:
-    """All text inside the elements on a path, without the parts that are not article."""
+    """All text inside the elements on a path, without what is aside, and the page's main headings if it has none."""
     inside = [element.path == path for element in page.elements]
     for number, element in enumerate(page.elements):  # parents come before their children
         inside[number] |= element.parent >= 0 and inside[element.parent]
-    return "\n".join(b.text for b in page.blocks if inside[b.owner] and not page.elements[b.owner].aside)
+    blocks = [b for b in page.blocks if not page.elements[b.owner].aside]
+    taken = [inside[b.owner] for b in blocks]
+    heading = [page.elements[b.owner].tag in HEADINGS for b in blocks]
+    headed = any(t and h for t, h in zip(taken, heading))
+    return "\n".join(b.text for b, t, h in zip(blocks, taken, heading) if t or (h and not headed and any(taken)))
+
+
+def page_text(page: Page, path: str | None) -> str:
+    """The text on the host's path; without any, that on the page's own best one, or else all that is not aside."""
+    text = text_on(page, path) if path else ""
+    own = best_path(container_scores(page)) if not text else None
+    return text or (text_on(page, own) if own else "\n".join(b.text for b in page.blocks if not page.elements[b.owner].aside))
 
 
 def host_of(url: Column) -> Column:
@@ -201,7 +278,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, weight: each page gives its best container one vote and the runners-up a share of one."""
+    """host, path, weight: each page gives its best container one vote, and shares of one to those around it."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +287,7 @@ def page_votes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 scores = container_scores(parse(html or ""))
                 top = max(scores.values(), default=0.0)
                 for path, score in scores.items():
-                    if score > 0 and score >= top / 4:
+                    if score > 0:
                         hosts.append(host)
                         paths.append(path)
                         weights.append(int(1000 * score / top))
@@ -243,12 +320,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                page = parse(html or "")
-                text = text_on(page, path) if path else ""
-                own = best_path(container_scores(page)) if not text else None
-                texts.append(text or (text_on(page, own) if own else "\n".join(b.text for b in page.blocks if not page.elements[b.owner].aside)))
+            texts = [page_text(parse(html or ""), path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
