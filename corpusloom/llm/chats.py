@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import salt_mask, salt_of, salts_in, saved
+from corpusloom.llm.common import discard, salt_mask, salt_of, salts_in, saved, spread_join
 
 QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 # The lines with which mail programs introduce a quote.
@@ -47,19 +47,22 @@ def own_text(lines: str = "lines") -> Column:
 def _passages(rows: DataFrame) -> DataFrame:
     """From conv, turn, lines: conv, turn, level, words, chars; runs of neighbouring lines of one level, and the lines themselves.
 
-    Passages of any length count; only those empty after normalisation go. A message's own text also counts as one passage, as quotes often cover all of it. Work stays within the row.
+    Passages of any length count; only those empty after normalisation go. A message's own text also counts as one
+    passage, as quotes often cover all of it. Work stays within the row and grows with its length.
     """
-    runs = F.aggregate(
-        "lines",
-        F.expr("CAST(array() AS array<struct<level:int,text:string>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).level == x.level) & (F.trim(x.content) != ""),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x.level.alias("level"), F.concat(F.try_element_at(acc, F.lit(-1)).text, F.lit("\n"), x.content).alias("text")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.level.alias("level"), x.content.alias("text"))))),
-    )
+    line = lambda i: F.get("lines", i)
+    n = F.size("lines")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (line(i).level != line(i - 1).level) | (F.trim(line(i).content) == ""))
+    rows = rows.where(n > 0).select("conv", "turn", "lines", "own", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, n), F.array(n))
+
+    def run(start: Column, end: Column) -> Column:
+        text = F.array_join(F.transform(F.slice("lines", start + 1, end - start), lambda x: x.content), "\n")
+        return F.struct(line(start).level.alias("level"), text.alias("text"))
+
     single = F.transform("lines", lambda x: F.struct(x.level.alias("level"), x.content.alias("text")))
     whole = F.array(F.struct(F.lit(0).alias("level"), F.col("own").alias("text")))
-    out = rows.select("conv", "turn", F.explode(F.array_distinct(F.concat(runs, single, whole))).alias("p")).select(
+    out = rows.select("conv", "turn", F.explode(F.concat(F.zip_with("starts", ends, run), single, whole)).alias("p")).select(
         "conv", "turn", "p.level", normalise(F.col("p.text")).alias("words")
     )
     return out.where(F.length("words") > 0).select("conv", "turn", "level", F.sha2("words", 256).alias("hash"), F.length("words").alias("chars")).distinct()
@@ -78,35 +81,37 @@ def reply_links(rows: DataFrame) -> DataFrame:
     return votes.groupBy("conv", "turn").agg(best).select("conv", "turn", F.col("best.original").alias("reply_to"))
 
 
-def reply_paths(links: DataFrame) -> DataFrame:
-    """From conv, turn, reply_to: conv, turn, thread (turns from the first message of the thread to this one).
+def reply_roots(links: DataFrame) -> DataFrame:
+    """From conv, turn, reply_to: conv, turn, thread (the turn of the thread's first message), depth (replies from there).
 
-    Pointer doubling: each round a message takes over the path of the furthest message it knows of. A message answers
-    earlier ones only, so there are no circles, and rounds are the logarithm of the longest chain of replies.
+    Pointer doubling: each round a message asks the furthest message that it knows of for the furthest that this one
+    knows. A message answers earlier ones only, so there are no circles, and rounds are the logarithm of the longest
+    chain of replies.
     """
-    state = saved(links.select("conv", "turn", F.col("reply_to").alias("ahead"), F.array("turn").alias("thread")), "threads")
-    while not state.where("ahead is not null").isEmpty():
-        other = state.select("conv", F.col("turn").alias("ahead"), F.col("ahead").alias("further"), F.col("thread").alias("start"))
-        joined = state.join(other, ["conv", "ahead"], "left")
-        state = saved(
-            joined.select(
-                "conv", "turn", F.col("further").alias("ahead"),
-                F.when(F.col("start").isNotNull(), F.concat("start", "thread"))
-                .when(F.col("ahead").isNotNull(), F.concat(F.array("ahead"), "thread")).otherwise(F.col("thread")).alias("thread"),
+    state = saved(links.select("conv", "turn", F.col("reply_to").alias("thread"), F.lit(1).alias("depth"), F.lit(False).alias("done")), "threads")
+    while not state.where("not done").isEmpty():
+        known = state.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
+        asked = spread_join(state.withColumn("by", F.xxhash64("turn")), known, ["conv", "thread"], "by", "left")
+        after = saved(
+            asked.select(
+                "conv", "turn", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.col("further").isNull().alias("done"),
             ),
             "threads",
         )
-    return state
+        discard(state)
+        state = after
+    return state.drop("done")
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
     """One row for each message: conv_id, turn, role, text (own words), reply_to, thread, depth, n_quoted.
 
-    Messages are linked within their conversation. Order by conv_id, thread for the conversation in reply order: each
-    message comes after the one that it answers and that one's earlier replies. A message that quotes nothing known
-    starts a thread at its own turn. A message without conversation or turn is not linked, and its thread is empty. A
-    null text is empty; a message that only quotes keeps an empty text. Rows that repeat a turn count as one message
-    when linked and are all returned. Other columns are ignored.
+    Messages are linked within their conversation. Order by conv_id, thread, turn for the conversation in reply order:
+    each thread in one piece, and each message after the one that it answers. `thread` is the turn of the thread's first
+    message; a message that quotes nothing known starts a thread at its own turn. A message without conversation or turn
+    is not linked, and has no thread. A null text is empty; a message that only quotes keeps an empty text. Rows that
+    repeat a turn count as one message when linked and are all returned. Other columns are ignored.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
@@ -114,11 +119,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     rows = rows.withColumns({"own": own_text(), "n_quoted": F.size(F.filter("lines", lambda x: x.level > 0))})
     placed = rows.where("conv is not null and turn is not null")
-    links = reply_links(placed)
-    paths = reply_paths(links.select("conv", "turn", "reply_to"))
-    answered = links.join(paths.select("conv", "turn", "thread"), ["conv", "turn"])
-    return rows.join(answered, ["conv", "turn"], "left").select(
+    links = saved(reply_links(placed), "replies")
+    answered = links.join(reply_roots(links), ["conv", "turn"])
+    slim = rows.select("conv", "turn", "role", "own", "n_quoted", F.xxhash64("role", "own").alias("by"))
+    return spread_join(slim, answered, ["conv", "turn"], "by", "left").select(
         F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("text"), "reply_to",
-        F.coalesce("thread", F.when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), F.array("turn")).otherwise(F.array().cast("array<bigint>"))).alias("thread"),
-        F.greatest(F.size("thread") - 1, F.lit(0)).alias("depth"), "n_quoted",
+        F.coalesce("thread", F.when(F.col("conv").isNotNull(), F.col("turn"))).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted",
     )
