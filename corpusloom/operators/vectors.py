@@ -1,9 +1,10 @@
-"""Vector search over tables of any size.
+"""Exact vector search over tables of any size.
 
-Nearest neighbours are found by a grid of blocks: queries and index are hashed into blocks of bounded size, each
-(query block, index block) cell is one matrix product in Arrow, and a cell emits no more than k rows for each query.
-Neither side is broadcast or collected, and no pair is ever written out. The last step merges the
-cells' lists by a ranked window, whose group limit runs before its shuffle.
+The index is parted into the cells of sampled pivots: a vector lies in the cell of its nearest pivot, and a cell knows
+the least and the greatest angle of its members to it. A query first searches its home cell; by the triangle inequality
+on angles the similarity of its k-th path there tells which other cells may still hold a better one, and only those are
+visited. Cells are cut into tiles of bounded size; a tile is one matrix product in Arrow and emits no more than k rows
+for each query. Neither side is collected and no pair is ever written out; pivots are a bounded sample.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import is_retrievable, normalize_path
+from corpusloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
+# A cell has about so many vectors, as long as MAX_PIVOTS pivots (and PIVOT_NUMBERS numbers in them) are enough.
+CELL_ROWS, MAX_PIVOTS, PIVOT_NUMBERS = 4096, 1024, 1_000_000
+# Cosines this close to a bound are visited, whatever rounding says.
+SLACK = 1e-7
 # Similarities are compared after rounding, so that summation order never decides a tie.
 TIE_DIGITS = 9
 
@@ -43,14 +49,6 @@ def _doubles(name: str):
     return F.transform(name, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("embedding")
 
 
-def _big(value: int):
-    return F.lit(value).cast("bigint")
-
-
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
-
-
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=np.float64).reshape(-1, dim)
@@ -61,14 +59,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms[:, None], out=np.zeros_like(m), where=norms[:, None] > 0)
 
 
-RESULT_SCHEMA = "query_id string, path string, similarity double, excerpt string"
+RESULT_SCHEMA = "query_id string, path string, chunk_index int, similarity double, excerpt string"
 _ARROW_RESULT = pa.schema(
-    [("query_id", pa.string()), ("path", pa.string()), ("similarity", pa.float64()), ("excerpt", pa.string())]
+    [("query_id", pa.string()), ("path", pa.string()), ("chunk_index", pa.int32()), ("similarity", pa.float64()), ("excerpt", pa.string())]
 )
 
 
-def _cell(k: int, min_similarity: float, exclude_self: bool):
-    """Function scoring one cell: best vector of each path, then the k best paths of each query."""
+def _tile(k: int, min_similarity: float, exclude_self: bool):
+    """Function scoring one tile: best vector of each path, then the k best paths of each query."""
 
     def score(queries: pa.Table, index: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or index.num_rows == 0:
@@ -78,6 +76,7 @@ def _cell(k: int, min_similarity: float, exclude_self: bool):
         dim = index.column("dim")[0].as_py()
         paths = index.column("path").to_numpy(zero_copy_only=False)
         excerpts = index.column("excerpt").to_numpy(zero_copy_only=False)
+        chunks = index.column("chunk_index").to_numpy(zero_copy_only=False)
         firsts = np.flatnonzero(np.r_[True, paths[1:] != paths[:-1]])
         ends = np.r_[firsts[1:], len(paths)]
         names = paths[firsts]
@@ -102,6 +101,7 @@ def _cell(k: int, min_similarity: float, exclude_self: bool):
                     at = firsts[j] + int(np.argmax(sims[row, firsts[j] : ends[j]]))
                     out["query_id"].append(query_id)
                     out["path"].append(names[j])
+                    out["chunk_index"].append(int(chunks[at]))
                     out["similarity"].append(float(scores[j]))
                     out["excerpt"].append(excerpts[at])
         return pa.table(out, schema=_ARROW_RESULT)
@@ -109,43 +109,150 @@ def _cell(k: int, min_similarity: float, exclude_self: bool):
     return score
 
 
-def grid_topk(
+def _pivots(index: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
+    """Unit pivots by dimension: a bounded sample of the index, drawn by a hash."""
+    rows = index.where(F.exists("embedding", lambda v: v != 0))
+    count, longest = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
+    if not count:
+        return {}
+    wanted = max(1, min(math.ceil(count / cell_rows), MAX_PIVOTS, PIVOT_NUMBERS // longest))
+    drawn = rows.select("dim", "embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(wanted).collect()
+    by_dim: dict[int, list] = {}
+    for row in drawn:
+        by_dim.setdefault(row.dim, []).append(row.embedding)
+    return {dim: _unit(np.array(vectors, dtype=np.float64)) for dim, vectors in by_dim.items()}
+
+
+def _angles(batch: pa.RecordBatch, pivots: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """Row numbers of one dimension, their angles to its pivots (None without pivots), and whether they have a direction."""
+    dims = batch.column("dim").to_numpy()
+    column = batch.column("embedding")
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        unit = _unit(values[offsets[at][:, None] + np.arange(dim)].astype(np.float64))
+        known = pivots.get(int(dim))
+        yield at, None if known is None else np.arccos(np.clip(unit @ known.T, -1, 1)), unit.any(axis=1)
+
+
+def _in_cells(index: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Adds cell (the nearest pivot; -1 without one or without a direction) and angle (to that pivot)."""
+    shared = index.sparkSession.sparkContext.broadcast(pivots)  # MAX_PIVOTS vectors at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, angle = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            for at, angles, directed in _angles(batch, shared.value):
+                if angles is not None:
+                    cell[at] = np.where(directed, angles.argmin(axis=1), -1)
+                    angle[at] = angles.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    return index.mapInArrow(place, f"{schema}, cell int, angle double")
+
+
+def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], ranges: dict[tuple[int, int], tuple[float, float]], home: bool) -> DataFrame:
+    """query_id, dim, embedding and a cell each: the home cell, or all others that the query's bound does not exclude.
+
+    ``bound`` is the similarity that a path of another cell has to reach. A query without a direction visits all cells.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, ranges))  # one row for each cell
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, spans = shared.value
+        cells_of: dict[int, list[int]] = {}
+        for dim, cell in sorted(spans):
+            cells_of.setdefault(dim, []).append(cell)
+        for batch in batches:
+            rows, cells = [], []
+            dims, bounds = batch.column("dim").to_numpy(), batch.column("bound").to_numpy()
+            for at, angles, directed in _angles(batch, known):
+                there = np.array(cells_of.get(int(dims[at[0]]), []), dtype=np.int64)
+                if not len(there):
+                    continue
+                if angles is None:
+                    near, low = np.full(len(at), there[0]), np.zeros((len(at), len(there)))
+                else:
+                    placed = there >= 0
+                    to_cell = np.where(placed, angles[:, np.maximum(there, 0)], 0.0)
+                    least, most = (np.array([spans[int(dims[at[0]]), int(c)][side] for c in there]) for side in (0, 1))
+                    low = np.where(placed & directed[:, None], np.maximum(np.maximum(to_cell - most, least - to_cell), 0.0), 0.0)
+                    near = there[np.where(placed, to_cell, np.where(placed.any(), np.inf, 0.0)).argmin(axis=1)]
+                if home:
+                    pick = there[None, :] == near[:, None]
+                else:
+                    pick = (np.cos(low) >= bounds[at][:, None] - SLACK) & (there[None, :] != near[:, None])
+                i, j = np.nonzero(pick)
+                rows += at[i].tolist()
+                cells += there[j].tolist()
+            taken = batch.select(["query_id", "dim", "embedding"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32())], ["query_id", "dim", "embedding", "cell"])
+
+    return queries.mapInArrow(visit, "query_id string, dim int, embedding array<double>, cell int")
+
+
+def _search(visits: DataFrame, placed: DataFrame, blocks: DataFrame, score, block_rows: int) -> DataFrame:
+    """What the visited cells hold, tile by tile."""
+    counts = visits.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("qs"))
+    tiles = cut_lineage(blocks.join(counts, ["dim", "cell"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = visits.join(tiles, ["dim", "cell"]).withColumn("q", block("query_id", "qs")).withColumn("m", every("ms"))
+    right = placed.join(tiles, ["dim", "cell"]).withColumn("m", block("path", "ms")).withColumn("q", every("qs"))
+    keys = ["dim", "cell", "q", "m"]
+    wanted = right.select(*keys, "path", "chunk_index", "excerpt", "embedding")
+    return left.select(*keys, "query_id", "embedding").groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(score, RESULT_SCHEMA)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best paths of each query; of a path's equally near vectors the first."""
+    first = F.max(F.struct("similarity", (-F.col("chunk_index")).alias("place"), "excerpt")).alias("x")
+    paths = found.groupBy("query_id", "path").agg(first).select("query_id", "path", "x.similarity", (-F.col("x.place")).alias("chunk_index"), "x.excerpt")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "path")
+    return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def pivot_topk(
     queries: DataFrame,
     index: DataFrame,
     k: int,
     min_similarity: float,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The k most similar paths of each query: ``queries(query_id, embedding)``, ``index(path, chunk_index, excerpt, embedding)``.
 
-    Only vectors of equal dimension meet. The counts that set the grid are footer reads on columnar sources.
+    Only vectors of equal dimension meet. The result is exact whatever the pivots and blocks are.
     """
-    query_blocks = _blocks(queries.count(), block_rows)
-    index_blocks = _blocks(index.count(), block_rows)
-    left = (
-        queries.filter(F.size("embedding") > 0)
-        .select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding"))
-        .withColumn("dim", F.size("embedding"))
-        .withColumn("qb", F.pmod(F.xxhash64("query_id"), _big(query_blocks)))
-        .withColumn("ib", F.explode(F.sequence(_big(0), _big(index_blocks - 1))))
-    )
-    right = (
-        index.withColumn("dim", F.size("embedding"))
-        .withColumn("ib", F.pmod(F.xxhash64("path"), _big(index_blocks)))
-        .withColumn("qb", F.explode(F.sequence(_big(0), _big(query_blocks - 1))))
+    score = _tile(k, min_similarity, exclude_self)
+    sized = index.filter(F.size("embedding") > 0).select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "excerpt", "embedding", F.size("embedding").alias("dim"))
+    sized = cut_lineage(sized)
+    asked = queries.filter(F.size("embedding") > 0).select(
+        F.col("query_id").cast("string").alias("query_id"), F.size("embedding").alias("dim"), "embedding", F.lit(float(min_similarity)).alias("bound")
     )
-    keys = ["dim", "qb", "ib"]
-    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _cell(k, min_similarity, exclude_self), RESULT_SCHEMA
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "path")
-    return cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = cut_lineage(asked)
+    pivots = _pivots(sized, cell_rows)
+    placed = cut_lineage(_in_cells(sized, pivots))
+    cells = placed.groupBy("dim", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(cells)  # one row for each pivot, and one for each dimension
+    ranges = {(r.dim, r.cell): (r.low, r.high) for r in cells.collect()}
+    blocks = cells.select("dim", "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("ms"))
+    at_home = cut_lineage(_best(_search(cut_lineage(_visits(asked, pivots, ranges, True)), placed, blocks, score, block_rows), k))
+    if len(ranges) == 1:
+        return at_home.select("query_id", "path", "similarity", "excerpt", "rank")
+    # A query with k paths has to find better ones; it may also find as good ones that come first by path.
+    reached = at_home.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("reached"))
+    bounded = asked.join(reached, "query_id", "left").select("query_id", "dim", "embedding", F.greatest("bound", F.coalesce("reached", "bound")).alias("bound"))
+    others = _search(cut_lineage(_visits(bounded, pivots, ranges, False)), placed, blocks, score, block_rows)
+    found = others.union(at_home.select(*others.columns))
+    return _best(found, k).select("query_id", "path", "similarity", "excerpt", "rank")
 
 
 def semantic_topk(queries: DataFrame, index: DataFrame, k: int = 12, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best ``k`` (1..200) paths of each query; a path scores by its best base or chunk vector."""
-    return grid_topk(queries, index_vectors(index), max(1, min(200, k)), 0.0, block_rows=block_rows)
+    return pivot_topk(queries, index_vectors(index), max(1, min(200, k)), 0.0, block_rows=block_rows)
 
 
 def knn_candidates(
@@ -156,7 +263,7 @@ def knn_candidates(
     base = index.filter(F.size("embedding") > 0).select(
         "path", F.lit(-1).alias("chunk_index"), F.lit(None).cast("string").alias("excerpt"), _doubles("embedding")
     )
-    found = grid_topk(queries, base, max(1, limit), max(0.0, min_similarity), True, block_rows)
+    found = pivot_topk(queries, base, max(1, limit), max(0.0, min_similarity), True, block_rows)
     return found.select(F.col("query_id").alias("source"), F.col("path").alias("target"), "similarity", "rank")
 
 

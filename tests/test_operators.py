@@ -449,3 +449,37 @@ def test_related_edges_equal_all_pairs_and_updates_equal_recomputation(spark, mo
     f, v = frames(later, moved)
     changed = spark.createDataFrame([(p,) for p in [*edited, *added]], "path string")
     assert got(rl.update_related(stored, changed, f, v)) == brute_edges(later, moved)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_pivot_search_equals_brute_force(spark, kind, monkeypatch):
+    """Many cells of few vectors, ties, a direction that is missing, repeated paths and a second dimension."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 10))
+    rows = []
+    for i in range(400):
+        v = rng.normal(size=10) if kind == "uniform" else centres[i % 12] + 0.1 * rng.normal(size=10)
+        rows.append((f"p{i % 350:03d}", int(i >= 350), None if i < 350 else f"chunk {i}", v.tolist()))
+    rows += [("p001", 5, "again", rows[1][3]), ("twin", -1, None, rows[2][3]), ("zero", -1, None, [0.0] * 10)]
+    rows += [(f"s{i}", -1, None, rng.normal(size=3).tolist()) for i in range(5)]
+    index = spark.createDataFrame(rows, "path string, chunk_index int, excerpt string, embedding array<double>").repartition(4)
+    asked = [(f"p{i:03d}", rows[i][3]) for i in range(0, 350, 7)] + [("none", [0.0] * 10), ("s0", rows[-5][3]), ("odd", [1.0, 2.0])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    visited = []
+    real = vx._visits
+    monkeypatch.setattr(vx, "_visits", lambda *a: visited.append(real(*a)) or visited[-1])
+    for k, least, alone in [(3, 0.0, False), (8, 0.3, True), (1000, -1.0, False)]:
+        got = {}
+        for r in vx.pivot_topk(queries, index, k, least, alone, block_rows=16, cell_rows=20).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.path, round(r.similarity, 7), r.excerpt))
+        for qid, q in asked:
+            best = {}
+            for path, chunk, excerpt, v in rows:
+                if len(v) == len(q) and not (alone and path == qid):
+                    norm = np.linalg.norm(q) * np.linalg.norm(v)
+                    s = round(float(np.dot(q, v) / norm), 9) if norm else 0.0
+                    best[path] = max(best.get(path, (-2.0, 0, None)), (s, -chunk, excerpt), key=lambda x: x[:2])
+            want = sorted((-s, p, e) for p, (s, _, e) in best.items() if s >= least)[:k]
+            assert [(p, s, e) for _, p, s, e in sorted(got.get(qid, []))] == [(p, round(-s, 7), e) for s, p, e in want], (qid, k)
+    if kind == "clustered":  # most cells are left out
+        assert visited[1].count() < 0.5 * len(asked) * 20
