@@ -140,39 +140,73 @@ def _literal(text: Column) -> Column:
     return F.concat(F.lit("(?i)" + WORD_START), escaped, F.lit(WORD_END))
 
 
+WORD = "[a-z0-9_]+"
+# The rows of a title that very many texts mention are spread over so many salts.
+TITLE_SALTS = 16
+
+
+def _shape(title: Column) -> Column:
+    """How many words a title has, and how many characters stand before the first and after the last one."""
+    between = F.split(title, WORD)
+    return F.struct(
+        (F.size(between) - 1).alias("words"), F.length(F.element_at(between, 1)).alias("lead"), F.length(F.element_at(between, -1)).alias("tail")
+    )
+
+
+def _shingles(words: int, lead: int, tail: int) -> Column:
+    """From arrays w (words) and s (what stands before, between and after them): the texts of one shape, as they are.
+
+    A text that begins or ends outside a word counts only if no word touches it there.
+    """
+    n = F.size("w")
+    at = lambda name, i: F.get(F.col(name), i)
+
+    def text(i: Column) -> Column:
+        parts = [F.right(at("s", i), F.lit(lead))] if lead else []
+        for j in range(words):
+            parts += [at("w", i + j)] + ([at("s", i + j + 1)] if j + 1 < words else [])
+        return F.concat(*parts, *([F.left(at("s", i + words), F.lit(tail))] if tail else []))
+
+    def fits(i: Column) -> Column:
+        before, after = F.length(at("s", i)), F.length(at("s", i + words))
+        left = (before > lead) | ((before == lead) & (i == 0)) if lead else F.lit(True)
+        right = (after > tail) | ((after == tail) & (i + words == n)) if tail else F.lit(True)
+        return left & right
+
+    starts = F.when(n >= words, F.sequence(F.lit(0), n - words)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(starts, fits), lambda i: F.unhex(F.md5(text(i).cast("binary"))))
+
+
 def mention_backlinks(documents: DataFrame, limit: int = BACKLINKS) -> DataFrame:
     """Documents that mention the title of another one as whole words: (path, source, score, rank).
 
-    A text that holds a title holds all its words, so the two meet on the title's rarest word; only true mentions
-    are scored. Equal titles are looked up once.
+    Runs of as many words as titles have are cut from each text, with what stands between the words, and meet the titles
+    by their digests; texts themselves never move. A text that mentions a title holds all its words, so what the text adds
+    to the score follows from the title. Equal titles are looked up once. A title without an ASCII word is not looked up.
     """
     display = F.regexp_replace(file_name(strip_notes_root("path")), "(?i)\\.md$", "")
-    titled = documents.select("path", trim(display).alias("title")).filter(F.length("title") >= 2)
-    titles = titled.select(F.lower("title").alias("title")).distinct()
-    words = documents.select("path", F.explode(F.array_distinct(matches(F.lower("content"), "[a-z0-9_]+"))).alias("word"))
-    title_words = titles.select("title", F.explode(F.array_distinct(matches("title", "[a-z0-9_]+"))).alias("word"))
-    frequency = words.join(title_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    # A word that occurs nowhere has frequency 0 and is chosen first: its title meets no text.
-    counted = title_words.join(frequency, "word", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    rarest = counted.groupBy("title").agg(F.min_by("word", F.struct("f", "word")).alias("word"))
-    meetings = words.join(rarest, "word").select("title", F.col("path").alias("source"))
-    texts = documents.select(F.col("path").alias("source"), F.lower("content").alias("content"))
-    found = meetings.join(texts, "source").filter(F.regexp_like("content", _literal(F.col("title"))))
+    titled = documents.select("path", F.lower(trim(display)).alias("title")).filter(F.length("title") >= 2)
+    titles = titled.select("title").distinct().withColumn("shape", _shape(F.col("title"))).filter("shape.words > 0")
+    # A few: as many as titles differ in their numbers of words and in the characters around them.
+    shapes = sorted((r.shape.words, r.shape.lead, r.shape.tail) for r in titles.select("shape").distinct().collect())
+    if not shapes:
+        return documents.sparkSession.createDataFrame([], "path string, source string, score int, rank int")
+    lowered = documents.select(F.col("path").alias("source"), F.lower("content").alias("c"))
+    cut = lowered.select("source", matches(F.col("c"), WORD).alias("w"), F.split("c", WORD).alias("s"))
+    rows = cut.select("source", F.explode(F.concat(*(_shingles(*shape) for shape in shapes))).alias("digest"))
+    asked = titles.select("title", F.unhex(F.md5(F.col("title").cast("binary"))).alias("digest"), F.explode(F.sequence(F.lit(0), F.lit(TITLE_SALTS - 1))).alias("salt"))
+    found = rows.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(TITLE_SALTS)).cast("int")).join(asked, ["digest", "salt"]).select("title", "source").distinct()
     name, where = F.lower(file_name("source")), F.lower("source")
     tokens = F.filter(F.split("title", "\\s+"), lambda t: t != "")
     count = lambda field: F.size(F.filter(tokens, lambda t: F.contains(field, t)))
     whole = lambda field, weight: F.when(F.contains(field, F.col("title")), weight).otherwise(0)
-    score = (
-        whole(name, 120) + whole(where, 60) + whole(F.col("content"), 40)
-        + 20 * count(name) + 10 * count(where) + 4 * count(F.col("content"))
-    )
+    score = whole(name, 120) + whole(where, 60) + 40 + 20 * count(name) + 10 * count(where) + 4 * F.size(tokens)
     # One more than the limit, since a document may mention itself.
     best = Window.partitionBy("title").orderBy(F.desc("score"), "source")
     top = found.select("title", "source", score.alias("score")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit + 1)
     order = Window.partitionBy("path").orderBy("n")
     return (
-        titled.withColumn("title", F.lower("title"))
-        .join(top, "title")
+        titled.join(top, "title")
         .filter(F.col("source") != F.col("path"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)

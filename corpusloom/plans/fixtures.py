@@ -13,6 +13,8 @@ from corpusloom.functions.columns import choose, one_of
 
 EPOCH_2024_US = 1704067200000000
 MINUTE_US = 60000000
+# Numbers from here on belong to the texts whose own number has a made question.
+TEXT_QUESTIONS = 1_000_000
 
 # File name words that exercise the classification rules.
 NAME_WORDS = [
@@ -144,17 +146,17 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions about deadlines (by number), names and the conversation turns as they are."""
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        choose(
-            (F.col("item_id") % 4 == 0, F.format_string("When is the deadline 2024-%02d-%02d?", F.lit(1) + F.col("item_id") % 12, F.lit(1) + F.col("item_id") % 28)),
-            (F.col("item_id") % 4 == 1, F.format_string("What is my deadline in 2024-%02d?", F.lit(1) + F.col("item_id") % 12)),
-            (F.col("item_id") % 4 == 2, F.format_string("How do we compare plan %d?", F.col("item_id"))),
-            otherwise=F.col("text"),
-        ).alias("query"),
+    """Every benchmark text as a question, and for three in four also a question about deadlines or plans, by number."""
+    item = F.col("item_id")
+    shaped = choose(
+        (item % 4 == 0, F.format_string("When is the deadline 2024-%02d-%02d?", F.lit(1) + item % 12, F.lit(1) + item % 28)),
+        (item % 4 == 1, F.format_string("What is my deadline in 2024-%02d?", F.lit(1) + item % 12)),
+        (item % 4 == 2, F.format_string("How do we compare plan %d?", item)),
+        otherwise=F.col("text"),
     )
-    return asked
+    texts = table(spark, sf_dir, "benchmark")
+    plain = texts.where(item % 4 != 3).select((item + TEXT_QUESTIONS).alias("query_id"), F.col("text").alias("query"))
+    return texts.select(item.alias("query_id"), shaped.alias("query")).union(plain)
 
 
 # The same views for the reference SQL.
@@ -218,6 +220,7 @@ fact_questions AS (
     WHEN 2 THEN 'How do we compare plan ' || item_id || '?'
     ELSE text END AS query
   FROM benchmark
+  UNION ALL SELECT item_id + 1000000, text FROM benchmark WHERE item_id % 4 <> 3
 )"""
 
 

@@ -483,3 +483,28 @@ def test_pivot_search_equals_brute_force(spark, kind, monkeypatch):
             assert [(p, s, e) for _, p, s, e in sorted(got.get(qid, []))] == [(p, round(-s, 7), e) for s, p, e in want], (qid, k)
     if kind == "clustered":  # most cells are left out
         assert visited[1].count() < 0.5 * len(asked) * 20
+
+
+def test_mentions_equal_a_scan_of_all_texts(spark):
+    """Titles of several words, with signs around and between them, that overlap, repeat and occur everywhere."""
+    import re
+
+    rng = random.Random(12)
+    names = ["Plan", "the plan", "Plan B", "plan b2", "(draft)", "x-ray", "a_b", "v1.2 notes", "+1", "日本", "plan  b", "notes (old)", "the"]
+    pieces = ["plan", "b", "the", "(draft)", "x-ray", "x ray", "xx-ray", "a_b", "v1.2", "notes", "(old)", "+1", "é", "plan  b", "\n", ".", "PLAN B", "日本", "draft"]
+    docs = [(f"f{i % 4}/{names[i % len(names)]}.md", " ".join(rng.choices(pieces, k=rng.randint(0, 14))) + rng.choice(["", ")", "("])) for i in range(52)]
+    d = spark.createDataFrame(docs, "path string, content string")
+    got = {(r.path, r.source): (r.score, r["rank"]) for r in lk.mention_backlinks(d, 6).collect()}
+    want = {}
+    for path, _ in docs:
+        title = path.split("/")[1][:-3].strip().lower()
+        if len(title) < 2 or not re.search("[a-z0-9_]", title):
+            continue
+        scores = []
+        for source, content in docs:
+            text, name, where = content.lower(), source.split("/")[1].lower(), source.lower()
+            if source != path and re.search(r"(?<![A-Za-z0-9_])" + re.escape(title) + r"(?![A-Za-z0-9_])", text):
+                count = sum(20 * (t in name) + 10 * (t in where) + 4 * (t in text) for t in title.split())
+                scores.append((-(120 * (title in name) + 60 * (title in where) + 40 + count), source))
+        want |= {(path, source): (-s, rank) for rank, (s, source) in enumerate(sorted(scores)[:6], 1)}
+    assert got == want and len(want) > 100
