@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, saved, spare, spread_join
+from corpusloom.llm.common import FEW_SALTS, discard, every_salt, salt_of, saved, spare, spread_join
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import SEED, near_links, shingle_hashes, simhash
 
@@ -132,6 +132,18 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a_component", "b_component", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _nearest_roots(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node within two links, which is the same for all that link with one document.
+
+    Enough between rounds, where a component that is still in parts only costs comparisons.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = saved(both.withColumn("salt", salt_of(F.col("a"), salts=FEW_SALTS)), "links")
+    one = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
+    two = both.join(every_salt(one.select(F.col("a").alias("b"), "root")), ["b", "salt"]).groupBy("a").agg(F.min("root").alias("root"))
+    return two.select(F.col("a").alias("node"), F.least("a", "root").alias("root"))
+
+
 def _joined(table: DataFrame, roots: DataFrame) -> DataFrame:
     """The table with the roots of its components, which may hold any number of its rows."""
     named = roots.select(F.col("node").alias("component"), "root")
@@ -166,7 +178,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if found.isEmpty():
             break
         links.append(found)
-        before, left = left, saved(_divided(_joined(left, components(found))), "band-members")
+        before, left = left, saved(_divided(_joined(left, _nearest_roots(found))), "band-members")
         discard(before)
         turn += 1
     if not left.isEmpty():

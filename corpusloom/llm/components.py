@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, saved, spread_join
+from corpusloom.llm.common import FEW_SALTS, discard, every_salt, salt_of, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,21 +16,20 @@ def components(links: DataFrame) -> DataFrame:
     slim row for each node, written to the shared folder in every round; only whether one changed reaches the driver. The
     many links of a node, and the many nodes of a root, are spread over salts where they meet its one row.
     """
-    edges = saved(
-        links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "links",
-    )
+    both = links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = saved(both.withColumn("salt", salt_of(F.col("a"), salts=FEW_SALTS)), "links")
     state = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
-        known = state.select(F.col("node").alias("b"), F.col("root").alias("other"))
-        offered = spread_join(edges, known, ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("offered"))
+        known = every_salt(state.select(F.col("node").alias("b"), F.col("root").alias("other")))
+        offered = edges.join(known, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("offered"))
         lower = state.join(offered, "node").select("node", F.col("root").alias("was"), F.least("root", "offered").alias("root"))
         # The root of a node also learns what the node learnt, so that trees merge and not only leaves move.
         hooked = lower.where("root < was").groupBy(F.col("was").alias("node")).agg(F.min("root").alias("hook"))
         merged = lower.join(hooked, "node", "left").select("node", "was", F.least("root", "hook").alias("root"))
-        merged = saved(merged, "merged")
-        further = merged.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = spread_join(merged, further, ["root"], "node", "left").select("node", "was", F.coalesce("next", "root").alias("root"))
+        merged = saved(merged.withColumn("salt", salt_of(F.col("node"), salts=FEW_SALTS)), "merged")
+        # Only a node whose root has moved on tells those that point to it.
+        further = every_salt(merged.where("root < node").select(F.col("node").alias("root"), F.col("root").alias("next")))
+        jumped = merged.join(further, ["root", "salt"], "left").select("node", "was", F.coalesce("next", "root").alias("root"))
         after = saved(jumped, "roots")
         discard(state, merged)
         state = after.select("node", "root")
