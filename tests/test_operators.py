@@ -508,3 +508,46 @@ def test_mentions_equal_a_scan_of_all_texts(spark):
                 scores.append((-(120 * (title in name) + 60 * (title in where) + 40 + count), source))
         want |= {(path, source): (-s, rank) for rank, (s, source) in enumerate(sorted(scores)[:6], 1)}
     assert got == want and len(want) > 100
+
+
+def _stream(spark, frame, checkpoint, name):
+    """Run what is there to its end and return the rows that the sink holds."""
+    out = frame.writeStream.format("parquet").option("path", f"{checkpoint}-out").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{checkpoint}-out")
+
+
+def test_keyed_streams_go_on_after_a_restart(spark, tmp_path):
+    import json
+
+    from corpusloom.streaming import keyed
+
+    for key, value in keyed.STATE_STORE.items():
+        spark.conf.set(key, value)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        src = tmp_path / "in"
+        src.mkdir()
+        at = lambda s: f"2024-01-01 00:{int(s) // 60:02d}:{s % 60:06.3f}"
+
+        def feed(n, rows):
+            (src / f"{n}.json").write_text("".join(json.dumps({"path": p, "content": c, "priority": q, "ts": at(t), "user_id": u}) + "\n" for p, c, q, t, u in rows))
+
+        stream = spark.readStream.schema("path string, content string, priority string, ts timestamp, user_id long").option("maxFilesPerTrigger", 1).json(str(src))
+        feed(1, [("a", "one", "normal", 2.0, 1), ("a", "two", "high", 1.0, 1), ("b", "x", "normal", 1.0, 2), ("a", "three", "normal", 10.0, 1)])
+        changed = lambda: _stream(spark, keyed.changed_bursts(stream), str(tmp_path / "changed"), "c")
+        idle = lambda: _stream(spark, keyed.idle_users(stream), str(tmp_path / "idle"), "i")
+        changed(), idle()
+        feed(2, [("a", "three again", "normal", 9.0, 1), ("b", "x", "normal", 40.0, 2), ("c", "late", "normal", 70.0, 3)])  # the first row joins a burst
+        changed(), idle()
+        feed(3, [("d", "end", "normal", 200.0, 4)])
+        changed(), idle()
+        feed(4, [("d", "end", "normal", 300.0, 4)])
+        rows = sorted((r.path, r.content, r.edits, r.priority) for r in changed().collect())
+        assert rows == [("a", "one", 2, "high"), ("a", "three", 2, "normal"), ("b", "x", 1, "normal"), ("c", "late", 1, "normal"), ("d", "end", 1, "normal")][: len(rows)]
+        assert len(rows) >= 4 and [r for r in rows if r[0] == "b"] == [("b", "x", 1, "normal")]  # the second burst of b changed nothing
+        stops = sorted((r.user_id, r.last_at.second + 60 * r.last_at.minute) for r in idle().collect())
+        assert stops[:5] == [(1, 2), (1, 10), (2, 1), (2, 40), (3, 70)] and len(stops) == len(set(stops))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
