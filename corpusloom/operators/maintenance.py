@@ -9,6 +9,7 @@ from corpusloom.functions.columns import ColumnLike, col, trim
 from corpusloom.functions.paths import is_indexable, is_retrievable, normalize_path
 from corpusloom.functions.text import content_hash
 from corpusloom.operators.vectors import latest_embeddings
+from corpusloom.session import cut_lineage
 
 
 def normalize_model(model: ColumnLike) -> Column:
@@ -188,6 +189,32 @@ def incremental_embed(documents: DataFrame, embeddings: DataFrame, model: str, e
     return merged, summary
 
 
+# What is recorded of a document that gave no vector.
+EMPTY_MESSAGE = "Note is empty, so no embedding was generated."
+FAILED_MESSAGE = "Embedding failed"
+
+
+def repair_embeddings(candidates: DataFrame, documents: DataFrame, embeddings: DataFrame, failures: DataFrame, embed, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Embed the candidates (path) anew, whatever the index says of them: the new index, and the failures (path, at, message).
+
+    Candidates are the failed, stale or missing paths of an index, or any others; each counts once, and only in scope. A
+    success replaces the records of its path and clears its failure; an empty document, one that is not there, or an
+    error of ``embed`` replaces the failure and leaves the index as it is.
+    """
+    wanted = candidates.select(normalize_path("path").alias("path")).filter(is_retrievable("path")).distinct()
+    texts = documents.select(normalize_path("path").alias("path"), "content")
+    asked = wanted.join(texts, "path", "left").withColumn("content_hash", content_hash("content"))
+    filled = asked.filter(trim("content") != "")
+    made = cut_lineage(embed(filled.select("path", "content")).join(filled.select("path", "content_hash"), "path"))
+    good = made.filter(F.col("error").isNull()).drop("error")
+    said = asked.select("path", F.when(F.col("content").isNull(), FAILED_MESSAGE).when(trim("content") == "", EMPTY_MESSAGE).alias("message")).filter(F.col("message").isNotNull())
+    failed = said.union(made.filter(F.col("error").isNotNull()).select("path", "error"))
+    columns = [c for c in good.columns if c in embeddings.columns]
+    kept = embeddings.withColumn("path", normalize_path("path")).join(good.select("path"), "path", "left_anti").select(*columns)
+    left = failures.select("path", "at", "message").join(wanted, "path", "left_anti")
+    return kept.unionByName(good.select(*columns)), left.unionByName(failed.select("path", at.alias("at"), "message"))
+
+
 def retry_state(task_log: DataFrame, as_of: Column, cooldown_seconds: int = 60) -> DataFrame:
     """Whether each path may be tried again: its last failure is older than the cool-down, or a success followed it."""
     last = task_log.groupBy("path").agg(

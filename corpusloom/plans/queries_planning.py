@@ -393,20 +393,24 @@ prefs AS (SELECT kind, key, inner_key, count(*) AS n FROM pf GROUP BY ALL)"""
 PREFS_SQL = f"WITH {OPERATIONS_CTE}, {PREFS_CTE} SELECT * FROM prefs"
 
 
-def folder_fit(spark, sf):
-    """Fit and decision for every note against a move within or across its source folder."""
+def _moves(spark, sf):
+    """Every note against a move within or across its source folder, and what is known of folders and decisions."""
     o = operations(spark, sf)
     dictionary = cut_lineage(pl.taxonomy(fx.notes(spark, sf)).unionByName(pl.learn_preferences(o)))
     target = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("src1/en/"), F.regexp_replace("path", "^.*/", ""))).otherwise(F.concat(F.lit("Work/Research/"), F.regexp_replace("path", "^.*/", "")))
     moves = fx.notes(spark, sf).select("path", F.col("path").alias("current"), target.alias("target"), F.lit("Clear reason to move").alias("reason"), "doc_id")
-    fitted = pl.folder_fit(moves, dictionary)
+    return moves, dictionary
+
+
+def folder_fit(spark, sf):
+    """Fit of and decision on every move."""
+    fitted = pl.folder_fit(*_moves(spark, sf))
     move = pl.should_move(pl.pt.is_structured("current"), F.lit(False), F.col("doc_id") % 5 == 0)
     return fitted.select("path", "current_fit", "target_fit", move.alias("move"))
 
 
 _CNT = lambda kind, key, inner="''": f"coalesce((SELECT max(n) FROM dict d WHERE d.kind = '{kind}' AND d.key = {key} AND d.inner_key = {inner}), 0)"
-FIT_SQL = f"""
-WITH {OPERATIONS_CTE}, {PREFS_CTE}, {TAXONOMY_CTE},
+FIT_CTE = f"""{OPERATIONS_CTE}, {PREFS_CTE}, {TAXONOMY_CTE},
 dict AS (SELECT * FROM prefs UNION ALL SELECT kind, key, '', n FROM tax),
 m AS (SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'src1/en/' ELSE 'Work/Research/' END || regexp_extract(path, '[^/]*$') AS target FROM notes),
 k AS (SELECT *, lower({q.parts('path')}[1]) AS ht, lower({q.parts('target')}[1]) AS tt, lower({_FOLD('path')}) AS hp, lower({_FOLD('target')}) AS tp,
@@ -417,12 +421,51 @@ s AS (SELECT k.*, coalesce(hs, 0) AS hs, coalesce(tsu, 0) AS tsu, {_CNT('top', '
   {_CNT('accepted_parent', 'hp')} AS ho, {_CNT('accepted_parent', 'tp')} AS to_, {_CNT('denied_parent', 'tp')} AS tno, {_CNT('accepted_top', "ht || '=>' || tt")} AS mo, {_CNT('denied_top', "ht || '=>' || tt")} AS mn,
   {q.structured('path')} AS st, {q.uncategorized('path')} AS unc, {q.level('path', 'target')} AS lv FROM k LEFT JOIN ts USING (path)),
 f AS (SELECT *, CASE WHEN kht THEN 2 ELSE 0 END + CASE WHEN khs THEN 3 ELSE 0 END + least(3, CASE WHEN hp <> '' THEN ho ELSE 0 END) + least(3, hs) AS cf,
-  CASE WHEN ktt THEN 2 ELSE -2 END + CASE WHEN kts THEN 3 WHEN ktt THEN -1 ELSE 0 END + CASE WHEN ht = tt THEN 1 ELSE 0 END + least(3, mo) - least(3, mn) + least(4, to_) - least(4, tno) + least(4, tsu) AS tf FROM s)
+  CASE WHEN ktt THEN 2 ELSE -2 END + CASE WHEN kts THEN 3 WHEN ktt THEN -1 ELSE 0 END + CASE WHEN ht = tt THEN 1 ELSE 0 END + least(3, mo) - least(3, mn) + least(4, to_) - least(4, tno) + least(4, tsu) AS tf FROM s)"""
+
+FIT_SQL = f"""
+WITH {FIT_CTE}
 SELECT path, cf AS current_fit, tf AS target_fit, CASE WHEN unc THEN true WHEN target = path THEN false WHEN (mn >= 2 AND mn > mo) OR (tno >= 2 AND tno > to_) THEN false
   WHEN st AND ht <> tt AND NOT ktt THEN false WHEN hp = tp THEN doc_id % 5 = 0 WHEN st AND (lv = 'optional' OR ht <> tt) THEN tf - cf >= 3 WHEN st THEN tf - cf >= 2 ELSE tf - cf > 0 END AS move
 FROM f"""
 
 
+def learned_targets(spark, sf):
+    """Where learnt folders and the taxonomy direct every move."""
+    moves, dictionary = _moves(spark, sf)
+    return pl.align_to_taxonomy(pl.apply_learned_parent(moves, dictionary), dictionary).select("path", "target")
+
+
+LEARNED_SQL = f"""
+WITH {FIT_CTE},
+lp AS (SELECT path, inner_key AS learned, sum(n) AS score FROM tk JOIN dict ON kind = 'token_parent' AND key = t GROUP BY ALL),
+bp AS (SELECT path, learned FROM lp QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, learned) = 1 AND score >= 2),
+tops AS (SELECT DISTINCT key FROM dict WHERE kind = 'top'),
+t1 AS (SELECT k.path, ht, CASE WHEN learned IS NOT NULL AND (NOT EXISTS (SELECT 1 FROM tops) OR string_split(learned, '/')[1] IN (SELECT key FROM tops))
+  THEN learned || '/' || regexp_extract(target, '[^/]*$') ELSE target END AS t, {q.structured('k.path')} AS st FROM k LEFT JOIN bp ON bp.path = k.path)
+SELECT path, CASE WHEN lower(string_split(t, '/')[1]) NOT IN (SELECT key FROM tops) AND ht IN (SELECT key FROM tops) AND st THEN path ELSE t END AS target FROM t1"""
+
+
+def explained_moves(spark, sf):
+    moves, dictionary = _moves(spark, sf)
+    return pl.explain_move(cut_lineage(pl.folder_fit(moves, dictionary)), dictionary).select("path", "reason")
+
+
+EXPLAINED_SQL = f"""
+WITH {FIT_CTE},
+pa AS (SELECT path, string_agg(t || ' (' || n || ')', ', ' ORDER BY n DESC, i) AS patterns FROM (
+  SELECT path, t, i, n FROM (SELECT path, unnest(toks) AS t, generate_subscripts(toks, 1) AS i, tp FROM k) JOIN dict ON kind = 'token_parent' AND key = t AND inner_key = tp
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, i) <= 2) GROUP BY path),
+b AS (SELECT f.path, lv, list_filter([CASE WHEN unc THEN 'root or uncategorized note' END, CASE WHEN ktt THEN 'matches existing vault category structure' END,
+  CASE WHEN ht <> tt AND mo > 0 THEN 'similar top-level move approved ' || mo || CASE WHEN mo = 1 THEN ' time' ELSE ' times' END END,
+  CASE WHEN to_ > 0 THEN 'target folder approved ' || to_ || CASE WHEN to_ = 1 THEN ' time' ELSE ' times' END END,
+  CASE WHEN patterns IS NOT NULL THEN 'similar approved note patterns: ' || patterns END,
+  CASE WHEN tf - cf >= 3 THEN 'target folder is a much stronger fit than the current location' WHEN tf - cf >= 2 THEN 'target folder is a better fit than the current location' END],
+  lambda x: x IS NOT NULL) AS bits FROM f LEFT JOIN pa ON pa.path = f.path)
+SELECT path, CASE WHEN len(bits) > 0 THEN 'Clear reason to move (' || array_to_string(bits, ' • ') || ')' WHEN lv = 'optional' THEN 'Clear reason to move (low-confidence refinement)'
+  ELSE 'Clear reason to move' END AS reason FROM b"""
+
+
 def move_outcomes(spark, sf):
     o = operations(spark, sf).filter(F.col("target_path").isNotNull())
     d = F.col("op_id")
@@ -585,6 +628,8 @@ ITEMS = {
     "confidence_counts": Item(confidence_counts, CONFIDENCE_SQL),
     "learn_preferences": Item(learn_preferences, PREFS_SQL),
     "folder_fit": Item(folder_fit, FIT_SQL),
+    "learned_targets": Item(learned_targets, LEARNED_SQL),
+    "explained_moves": Item(explained_moves, EXPLAINED_SQL),
     "move_outcomes": Item(move_outcomes, OUTCOME_SQL),
     "strategies": Item(strategies, STRATEGY_SQL),
     "reorganization_plan": Item(reorganization_plan),
