@@ -35,7 +35,8 @@ def exact_duplicates(
     it has the group's largest id, kept. A group whose ids are all null keeps null ids (keep_id null, kept true); null
     ids lose to any other. Other columns of the input are ignored. An empty table gives no rows.
 
-    `digest` only brings equal texts together: texts that share a digest by accident are told apart by content.
+    `digest` only brings equal texts together: texts that share a digest by accident are told apart by content. The
+    default is the SHA-256 that the result names texts by, and two texts that shared it would be one there in any case.
     """
     if not 1 <= salts <= SALTS:
         raise ValueError(f"salts must be between 1 and {SALTS}")
