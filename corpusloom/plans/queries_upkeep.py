@@ -1,8 +1,11 @@
 """Registered queries: upkeep of vectors, facts and files, and the small decisions behind plans."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import naming as nm
+from corpusloom.functions.paths import normalize_path
 from corpusloom.operators import facts as fa
 from corpusloom.operators import maintenance as mt
 from corpusloom.operators import planning as pl
@@ -11,8 +14,9 @@ from corpusloom.plans import fixtures as fx
 from corpusloom.plans.catalog import Item
 from corpusloom.plans.queries_retrieval import _FACTS_CTE, _fact_notes
 from corpusloom.plans.queries_vectors import EMBEDDING_WORK_SQL
-from corpusloom.sources import embeddings as se
 from corpusloom.sources import files as fl
+from corpusloom.sources.record_log import RecordLog
+from corpusloom.session import ensure_checkpoint_dir
 
 
 def decode_text(spark, sf):
@@ -32,12 +36,25 @@ SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN md
   CASE WHEN doc_id % 10 IN (1, 2) THEN 'Unsupported binary file (preview is not available yet).' END AS error FROM documents"""
 
 
+def _stored(spark, sf):
+    """The vectors of the notes as a record log with one base."""
+    log = RecordLog(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}", "path string, embedding array<double>, model string, vec_id long")
+    log.upsert(fx.note_vectors(spark, sf).select("path", "embedding", "model", "vec_id"))
+    log.compact()
+    return log
+
+
 def upsert_embeddings(spark, sf):
-    old = fx.note_vectors(spark, sf).select("path", "embedding", "model", "vec_id")
+    """Every fourth note's vector replaced, in three changes with a compaction between them."""
+    log = _stored(spark, sf)
     new = fx.notes(spark, sf).filter("doc_id % 4 = 0").select(
         "path", F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), F.lit("m2").alias("model"), (-F.col("doc_id")).alias("vec_id")
     )
-    return se.upsert_embeddings(old, new).select("path", "model", "vec_id", F.size("embedding").alias("dim"))
+    for part in (0, 4, 8):
+        log.upsert(new.filter(-F.col("vec_id") % 12 == part))
+        if part == 4:
+            log.compact()
+    return log.read().select("path", "model", "vec_id", F.size("embedding").alias("dim"))
 
 
 UPSERT_SQL = f"""
@@ -48,8 +65,11 @@ UNION ALL SELECT path, model, vec_id, len(embedding) FROM note_embeddings WHERE
 
 
 def delete_embeddings(spark, sf):
+    """Every third note's vector deleted, under another spelling of its path."""
+    log = _stored(spark, sf)
     gone = fx.notes(spark, sf).filter("doc_id % 3 = 0").select(F.replace("path", F.lit("/"), F.lit("\\")).alias("path"))
-    return se.delete_embeddings(fx.note_vectors(spark, sf), gone).select("path", "vec_id")
+    log.delete(gone.select(normalize_path("path").alias("path")))
+    return log.read().select("path", "vec_id")
 
 
 DELETE_SQL = f"""

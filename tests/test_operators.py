@@ -551,3 +551,59 @@ def test_keyed_streams_go_on_after_a_restart(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_record_log_merges_when_read(spark, tmp_path):
+    from corpusloom.sources.record_log import RecordLog
+
+    log = RecordLog(spark, str(tmp_path / "log"), "path string, model string, embedding array<double>", buckets=8)
+    assert log.read().count() == 0 and log.versions() == []
+    rng, want, snapshots = random.Random(5), {}, {}
+
+    def frame(rows):
+        return spark.createDataFrame(rows, log.schema)
+
+    def check():
+        got = [(r.path, r.model, tuple(r.embedding)) for r in log.read().collect()]
+        assert sorted(got) == sorted((p, m, tuple(v)) for p, (m, v) in want.items())
+
+    for step in range(8):
+        keys = [f"p{rng.randrange(40)}" for _ in range(rng.choice([3, 25]))]
+        if step % 3 == 2:
+            log.delete(spark.createDataFrame([(k,) for k in keys], "path string"))
+            for k in keys:
+                want.pop(k, None)
+        else:
+            rows = [(k, f"m{step}", [float(i)]) for i, k in enumerate(keys)]
+            log.upsert(frame(rows))
+            for k, m, v in rows:
+                want[k] = max(want[k], (m, v)) if want.get(k, ("", []))[0] == m else (m, v)
+        snapshots[log.versions()[-1]] = dict(want)
+        check()
+        if step == 4:
+            before = {r.folder for r in log._manifest(None)}
+            log.compact()
+            check()
+            assert all(r.kind == "base" for r in log._manifest(None)) and not before & {r.folder for r in log._manifest(None)}
+    # A change of one key rewrites one bucket; the others stay in their folder.
+    log.compact()
+    folders = {r.bucket: r.folder for r in log._manifest(None)}
+    log.upsert(frame([("p1", "last", [1.0])]))
+    want["p1"] = ("last", [1.0])
+    log.compact()
+    after = {r.bucket: r.folder for r in log._manifest(None)}
+    assert sum(folders.get(b) != f for b, f in after.items()) == 1
+    check()
+    # A write that fails leaves the snapshot; so does a manifest without its end mark.
+    version = log.versions()[-1]
+    with pytest.raises(Exception):
+        log.upsert(frame([("p2", "bad", [0.0])]).withColumn("model", F.raise_error(F.lit("broken")).cast("string")))
+    (tmp_path / "log" / "manifests" / f"{version + 1:012d}").mkdir()
+    assert log.versions()[-1] == version
+    check()
+    for old, state in snapshots.items():  # earlier snapshots stay readable
+        assert {r.path for r in log.read(old).collect()} == set(state)
+    assert log.vacuum() > 5 and log.versions() == [version]
+    check()
+    log.clear()
+    assert log.read().count() == 0
