@@ -371,7 +371,7 @@ def route_questions(spark, sf):
     """Every benchmark question through facts, hybrid search, grounding and routing."""
     notes, questions = fx.notes(spark, sf), fx.fact_questions(spark, sf)
     vectors = fx.search_queries(spark, sf).select("query_id", "embedding")
-    asked = questions.join(vectors, "query_id")
+    asked = questions.join(vectors, "query_id", "left")
     index = fx.note_vectors(spark, sf)
     latest = cut_lineage(vx.latest_embeddings(index))
     answers = fa.answer_from_facts(questions, fa.extract_facts(_fact_notes(spark, sf)))
