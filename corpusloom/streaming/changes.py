@@ -22,12 +22,13 @@ COOLDOWN = timedelta(seconds=60)
 def settled_changes(changes: DataFrame, gap: str = POST_PROCESS_GAP, watermark: str = WATERMARK) -> DataFrame:
     """One row for each burst of edits of a path: ``changes(path, content, priority, ts)``.
 
-    A burst ends when nothing happens for ``gap``. The latest content wins (of several at one time, the greatest); the burst is of high priority if any edit
+    A burst ends when nothing happens for ``gap``: an edit exactly that much later begins the next. The latest content wins (of several at one time, the greatest); the burst is of high priority if any edit
     was. Works on batch and streaming tables; a stream emits a burst once, after the watermark has passed it.
     """
     source = changes.withWatermark("ts", watermark) if changes.isStreaming else changes
+    # Session windows that touch are merged, so they are the least step shorter than the gap.
     return (
-        source.groupBy(F.session_window("ts", gap).alias("s"), "path")
+        source.groupBy(F.session_window("ts", f"{gap} -1 microseconds").alias("s"), "path")
         .agg(
             F.max_by("content", F.struct("ts", "content")).alias("content"),
             F.max(F.col("priority") == "high").alias("high"),

@@ -309,6 +309,15 @@ def test_ties_do_not_depend_on_partitions(spark, partitions):
     assert ch.settled_changes(edits).first().content == "c19"
 
 
+def test_a_burst_ends_after_exactly_the_gap(spark):
+    from corpusloom.streaming import changes as ch
+
+    times = [0, 2_199_999, 4_399_999, 6_599_998, 8_799_999]  # microseconds; the second and the last step are 2.2 s or more
+    edits = spark.createDataFrame([("a.md", f"c{t}", "normal", t) for t in times], "path string, content string, priority string, us long")
+    got = ch.settled_changes(edits.selectExpr("path", "content", "priority", "timestamp_micros(1700000000000000 + us) ts")).orderBy("first_at").collect()
+    assert [(r.content, r.edits) for r in got] == [("c2199999", 2), ("c6599998", 2), ("c8799999", 1)]
+
+
 def test_every_document_is_a_note(spark, sf):
     from corpusloom.plans import fixtures as fx
 
