@@ -11,7 +11,7 @@ from corpusloom.functions.paths import drop_extension, file_name, is_retrievable
 from corpusloom.functions.text import best_snippet, match_snippet, query_terms
 from corpusloom.operators.scoring import best_texts
 from corpusloom.operators.vectors import semantic_topk
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, stored
 
 # Search weights and thresholds.
 PHRASE_WEIGHTS = {"name": 120.0, "path": 60.0, "content": 40.0}
@@ -41,10 +41,10 @@ def keyword_topk(queries: DataFrame, documents: DataFrame, limit: int = 40) -> D
 
 
 def with_snippets(hits: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Title and snippet of keyword hits. The hits are the small side; the planner picks the join from run-time sizes."""
+    """Title and snippet of keyword hits. The hits are stored first, so that the planner picks the join by their size."""
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query")
     return (
-        hits.join(asked, "query_id")
+        stored(hits.join(asked, "query_id"))
         .join(documents.select("path", "content"), "path")
         .withColumn("title", drop_extension(file_name("path")))
         .withColumn("snippet", match_snippet("content", "query"))

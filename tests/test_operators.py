@@ -381,6 +381,24 @@ def test_ten_thousand_keyword_queries_equal_brute_force(spark):
         assert [(p, s) for _, p, s in sorted(got.get(qid, []))] == [(p, -s) for s, p in sorted(scores)[:5]], query
 
 
+def shuffled(spark):
+    """Bytes shuffled since the session began."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_keyword_search_shuffles_texts_once(spark):
+    """Frequent short tokens are in nearly all words; neither words nor what they hold are shuffled, only the texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    docs = [(f"f/{i}.md", " ".join(word() for _ in range(400))) for i in range(500)]
+    size = sum(len(c) for _, c in docs)
+    d = spark.createDataFrame(docs, "path string, content string")
+    q = spark.createDataFrame([(f"q{i}", f"{a} {b}") for i, (a, b) in enumerate(zip("abcdefgh", "hgfedcba"))], "query_id string, query string")
+    before = shuffled(spark)
+    hits = rt.with_snippets(rt.keyword_topk(q, d, 3), q, d).collect()
+    assert len(hits) == 24 and shuffled(spark) - before < 1.5 * size
+
+
 def brute_edges(docs, vectors):
     """The five best of all pairs of documents (path -> title words, keywords, entities) by the score's definition."""
     import numpy as np
