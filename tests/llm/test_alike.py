@@ -53,3 +53,23 @@ def test_threshold_is_exact():
     numbers = np.arange(100, dtype=np.uint64)
     assert alike.alike(numbers[:80], numbers) and not alike.alike(numbers[:79], numbers)
     assert alike.alike(numbers[:90], numbers[10:]) is True and alike.alike(numbers[:88], numbers[12:]) is False
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    """Rounds of many small queries would fill the disk before the driver collects garbage."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.common import saved
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    data = lambda: {name for f in disk.getAllFiles().mkString("\n").split("\n") if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+    before, counts = data(), spark.range(20_000).groupBy((F.col("id") % 977).alias("k")).count()
+    table = saved(counts)
+    for _ in range(50):
+        if not data() - before:
+            break
+        time.sleep(0.1)
+    assert not data() - before
+    assert table.count() == counts.count() == 977
