@@ -560,6 +560,28 @@ def test_pivot_search_equals_brute_force(spark, kind, monkeypatch):
         assert visited[1].count() < 0.5 * len(asked) * 20
 
 
+def test_vectors_go_to_a_few_cells(spark, monkeypatch):
+    """Uniform vectors, of which no cell can be left out: what moves grows with the vectors, and a tile gives one row for each query."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1500, 8))
+    index = spark.createDataFrame([(f"p{i:04d}", v.tolist()) for i, v in enumerate(vectors)], "path string, embedding array<double>")
+    visited, tiles = [], []
+    visits, search = vx._visits, vx._search
+    monkeypatch.setattr(vx, "_visits", lambda *a: visited.append(visits(*a)) or visited[-1])
+    monkeypatch.setattr(vx, "_search", lambda *a: tiles.append(search(*a)) or tiles[-1])
+    queries = index.select(F.col("path").alias("query_id"), "embedding")
+    found = vx.pivot_topk(queries, vx.index_vectors(index), 4, 0.0, True, cell_rows=10).collect()
+    n = [v.count() for v in visited]
+    assert n[0] == 1500 and n[1] <= 1500 * (vx.CELLS - 1)
+    assert [t.count() for t in tiles][0] == 1500 and tiles[1].count() <= n[1]
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    got = {(int(r.query_id[1:]), r["rank"]): int(r.path[1:]) for r in found}
+    want = np.argsort(-sims, axis=1)[:, :4]
+    assert len(found) == 6000 and all(got[i, n + 1] == want[i, n] for i in range(1500) for n in range(4))
+
+
 def test_mentions_equal_a_scan_of_all_texts(spark):
     """Titles of several words, with signs around and between them, that overlap, repeat and occur everywhere."""
     import re
