@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.columns import WORD_END, WORD_START, choose, matches, trim
 from corpusloom.functions.paths import file_name, normalize_path, parent, relative_path, strip_notes_root
 from corpusloom.operators.positions import number_rows
+from corpusloom.session import stored
 
 # Link syntax, and the extensions a link may leave out, in order of precedence.
 WIKI_LINK = "\\[\\[([^\\]|]+)(?:\\|([^\\]]+))?\\]\\]"
@@ -22,17 +23,22 @@ LINK_SUGGESTIONS = 3
 
 
 def extract_links(documents: DataFrame) -> DataFrame:
-    """One row for each wiki or markdown link: (path, kind, full, target, label, nth)."""
-    zipped = lambda pattern, full, target, label: F.arrays_zip(
-        matches("content", pattern, full).alias("full"), matches("content", pattern, target).alias("target"),
-        matches("content", pattern, label).alias("label"),
+    """One row for each wiki or markdown link: (path, kind, full, target, label, nth).
+
+    A text is gone through once for each kind; target and label are taken from the link itself.
+    """
+    part = lambda link, pattern, group: F.regexp_extract(link, pattern, group)
+    found = lambda kind, pattern, target, label: F.transform(
+        matches("content", pattern, 0),
+        lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("nth"), m.alias("full"), part(m, pattern, target).alias("target"), part(m, pattern, label).alias("label")
+        ),
     )
-    wiki = documents.select("path", F.lit("wiki").alias("kind"), F.posexplode(zipped(WIKI_LINK, 0, 1, 2)).alias("nth", "l"))
-    markdown = documents.select("path", F.lit("markdown").alias("kind"), F.posexplode(zipped(MARKDOWN_LINK, 0, 2, 1)).alias("nth", "l"))
+    both = F.concat(found("wiki", WIKI_LINK, 1, 2), found("markdown", MARKDOWN_LINK, 2, 1))
     outside = F.regexp_like("target", F.lit("(?i)^https?://")) | F.startswith("target", F.lit("#"))
     return (
-        wiki.unionByName(markdown)
-        .select("path", "kind", "nth", F.col("l.full").alias("full"), trim("l.target").alias("target"), trim("l.label").alias("label"))
+        documents.select("path", F.explode(both).alias("l"))
+        .select("path", "l.kind", "l.nth", "l.full", trim("l.target").alias("target"), trim("l.label").alias("label"))
         .filter((F.col("target") != "") & ((F.col("kind") == "wiki") | ~outside))
     )
 
@@ -91,7 +97,7 @@ def resolve_targets(targets: DataFrame, paths: DataFrame, strip_anchor: bool = T
 
 def broken_references(documents: DataFrame, paths: DataFrame, strip_anchor: bool = True) -> DataFrame:
     """Links that lead nowhere or to several documents."""
-    links = extract_links(documents)
+    links = stored(extract_links(documents))  # read again for the distinct targets
     resolved = resolve_targets(links, paths, strip_anchor)
     return links.join(resolved.filter(F.col("resolved").isNull()), "target").select(
         "path", "kind", "nth", "target", "reason", "candidates"
@@ -99,18 +105,23 @@ def broken_references(documents: DataFrame, paths: DataFrame, strip_anchor: bool
 
 
 def _replace_all(documents: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Documents with literal replacements (path, full, new) carried out; others are left out."""
+    """Documents with literal replacements (path, full, new) of links carried out; others are left out.
+
+    A document tries its own links only: where many documents have one path, they share its list.
+    """
     lists = replacements.groupBy("path").agg(
-        F.sort_array(F.collect_set(F.struct("full", "new"))).alias("swaps"), F.sum("times").alias("replaced")
+        F.map_from_entries(F.collect_set(F.struct("full", "new"))).alias("swaps"), F.sum("times").alias("replaced")
     )
+    own = F.array_sort(F.array_distinct(F.concat(matches("content", WIKI_LINK, 0), matches("content", MARKDOWN_LINK, 0))))
+    swapped = lambda text, full: F.replace(text, full, F.try_element_at("swaps", full))
     return documents.join(lists, "path").withColumn(
-        "content", F.aggregate("swaps", F.col("content"), lambda text, s: F.replace(text, s["full"], s["new"]))
+        "content", F.aggregate(own, F.col("content"), lambda text, full: F.coalesce(swapped(text, full), text))
     ).drop("swaps")
 
 
 def repair_references(documents: DataFrame, paths: DataFrame, strip_anchor: bool = True) -> DataFrame:
     """Documents whose links resolve only by title, rewritten to name the file: (…, content, replaced)."""
-    links = extract_links(documents)
+    links = stored(extract_links(documents))  # read again for the distinct targets
     by_title = resolve_targets(links, paths, strip_anchor).filter(F.col("reason") == "title").select("target", "resolved")
     found = links.join(by_title, "target")
     wiki = F.when(F.col("label") == "", F.concat(F.lit("[["), "resolved", F.lit("]]"))).otherwise(

@@ -7,6 +7,7 @@ from corpusloom.operators import links as lk
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans import sqlparts as q
 from corpusloom.plans.catalog import Item
+from corpusloom.session import stored
 
 
 def linked_notes(spark, sf):
@@ -74,7 +75,7 @@ SELECT path, kind, target, reason, coalesce(array_to_string(candidates, '|'), ''
 
 def repair_references(spark, sf):
     n = linked_notes(spark, sf)
-    fixed = lk.repair_references(n, n)
+    fixed = stored(lk.repair_references(n, n))
     broken_after = lk.broken_references(fixed, n).groupBy("path").count()
     return (
         fixed.join(broken_after, "path", "left")

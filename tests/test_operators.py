@@ -582,6 +582,32 @@ def test_vectors_go_to_a_few_cells(spark, monkeypatch):
     assert len(found) == 6000 and all(got[i, n + 1] == want[i, n] for i in range(1500) for n in range(4))
 
 
+def test_links_are_cut_out_of_a_text_once(spark):
+    """Each kind's pattern goes through the text once; target and label come from the link."""
+    d = spark.createDataFrame([("a.md", "[[x#y| l ]] [[ z ]] ![p](q r) [w](https://e.f) [[[k]] [](e) [h](#t) [[b|]]"), ("b.md", None)], "path string, content string")
+    links = lk.extract_links(d)
+    got = sorted((r.kind, r.nth, r.full, r.target, r.label) for r in links.collect())
+    assert got == [
+        ("markdown", 0, "![p](q r)", "q r", "![p]"), ("markdown", 2, "[](e)", "e", "[]"),
+        ("wiki", 0, "[[x#y| l ]]", "x#y", "l"), ("wiki", 1, "[[ z ]]", "z", ""), ("wiki", 2, "[[[k]]", "[k", ""),
+    ]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_documents_of_one_path_try_their_own_links_only(spark):
+    """Many documents of one path: each has its own link replaced, and none is compared with the links of the others."""
+    n = 300
+    files = spark.createDataFrame([(f"deep/Note {i}.md",) for i in range(n)], "path string")
+    d = spark.createDataFrame([("a/index.md", f"see [[note {i}]] and [[note {i}|again]] or [[gone]]") for i in range(n)], "path string, content string")
+    fixed = lk.repair_references(d, files.union(d.select("path")))
+    got = sorted(r.content for r in fixed.collect())
+    assert got == sorted(f"see [[deep/Note {i}.md]] and [[deep/Note {i}.md|again]] or [[gone]]" for i in range(n))
+    assert {r.replaced for r in fixed.select("replaced").collect()} == {2 * n}
+    plan = fixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(array_sort(array_distinct(concat(regexp_extract_all" in plan
+
+
 def test_mentions_equal_a_scan_of_all_texts(spark):
     """Titles of several words, with signs around and between them, that overlap, repeat and occur everywhere."""
     import re
