@@ -20,6 +20,7 @@ from corpusloom.operators import retrieval as rt
 from corpusloom.operators import texts as ts
 from corpusloom.operators import vectors as vx
 from corpusloom.operators.positions import number_rows
+from corpusloom.plans import queries_retrieval
 
 
 def vectors(n, dim, seed=1):
@@ -730,3 +731,17 @@ def test_record_log_merges_when_read(spark, tmp_path):
     check()
     log.clear()
     assert log.read().count() == 0
+
+
+def test_neighbours_are_searched_once_and_for_found_notes_only(spark, sf, monkeypatch):
+    asked, search = [], vx.knn_candidates
+
+    def counted(sources, index, *limits):
+        asked.append((sources.count(), index.count()))
+        return search(sources, index, *limits)
+
+    monkeypatch.setattr(vx, "knn_candidates", counted)
+    queries_retrieval.assemble_context(spark, sf)
+    assert len(asked) == 1
+    queries_retrieval.route_questions(spark, sf)
+    assert len(asked) == 2 and asked[1][0] < asked[1][1]
