@@ -78,32 +78,35 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketched, "doc_id long, text_hash long, fp long, digest long, size long, bands array<long>")
 
 
+def _salted_join(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join slim rows (node) with the one slim row of their key. Salts that are the same for all keys take two shuffles,
+    where `spread_join` takes four."""
+    salted = rows.withColumn("salt", salt_of(F.col("node"), salts=FEW_SALTS))
+    return salted.join(every_salt(groups), [key, "salt"], how).drop("salt")
+
+
 def _known_links(nodes: DataFrame) -> DataFrame:
     """Links a, b of nodes (node, fp, digest, size) that need no comparison: one shingle set, or fingerprints within three bits."""
+    nodes = nodes.select("node", "fp", "digest", "size")
     by_set = nodes.where("size > 0").groupBy("digest").agg(F.min("node").alias("b"))
     by_print = saved(nodes.groupBy("fp").agg(F.min("node").alias("b")), "prints")
-    same_set = spread_join(nodes, by_set, ["digest"], "node").select(F.col("node").alias("a"), "b")
-    same_print = spread_join(nodes, by_print, ["fp"], "node").select(F.col("node").alias("a"), "b")
+    same_set = _salted_join(nodes, by_set, "digest").select(F.col("node").alias("a"), "b")
+    same_print = _salted_join(nodes, by_print, "fp").select(F.col("node").alias("a"), "b")
     near = near_links(by_print).withColumnsRenamed({"a": "fp", "b": "other"}).join(by_print.withColumnRenamed("b", "a"), "fp")
     near = near.join(by_print.withColumnRenamed("fp", "other"), "other").select("a", "b")
-    return same_set.union(same_print).union(near).where("a <> b").distinct()
-
+    return saved(same_set.union(same_print).union(near).where("a <> b").distinct(), "known-links")
 
-def _divided(members: DataFrame) -> DataFrame:
-    """The rows (key, MEMBER) of the keys that more than one component has."""
-    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return spread_join(members, keys, ["key"], "node").select("key", *MEMBER)
 
-
-def _with_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs a, b (structs of MEMBER): of each key, all outside its largest component and one of that component."""
+def _divided(members: DataFrame, turn: int) -> DataFrame:
+    """The rows (key, MEMBER) of the keys that more than one component has, each with its key's leader (a struct of MEMBER):
+    one of the largest component."""
     order = F.xxhash64("node", F.lit(turn))  # the same document leads in many keys, so that pairs repeat and are compared once
-    leader = F.min(F.struct(order.alias("at"), *MEMBER))
-    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), leader.alias("x"))
-    leaders = parts.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("first")).select("key", "first.x")
-    return spread_join(members, leaders, ["key"], "node").select(
-        F.struct(*MEMBER).alias("a"), F.struct(*(f"x.{c}" for c in MEMBER)).alias("b")
-    )
+    first = F.min(F.struct(order.alias("at"), *MEMBER))
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), first.alias("x"))
+    largest = F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("first")
+    keys = parts.groupBy("key").agg(largest, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    leaders = keys.select("key", F.struct(*(F.col(f"first.x.{c}").alias(c) for c in MEMBER)).alias("leader"))
+    return _salted_join(members, leaders, "key").select("key", *MEMBER, "leader")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """From structs a, b (MEMBER): the components a, b of the pairs that are alike."""
+    """From structs a, b (MEMBER): the components a, b of the pairs that are alike, saved."""
     least, most = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     apart = pairs.where("a.component <> b.component").where(least * LEAST[1] >= most * LEAST[0])
     asked = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(
@@ -129,7 +132,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             found = [alike(shingles(x), shingles(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return with_b.select("a_component", "b_component", "a_text", "b_text").mapInArrow(compare, "a long, b long").distinct()
+    compared = with_b.select("a_component", "b_component", "a_text", "b_text").mapInArrow(compare, "a long, b long")
+    found = saved(compared.distinct(), "found-links")
+    discard(asked)
+    return found
 
 
 def _nearest_roots(links: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def _nearest_roots(links: DataFrame) -> DataFrame:
 def _joined(table: DataFrame, roots: DataFrame) -> DataFrame:
     """The table with the roots of its components, which may hold any number of its rows."""
     named = roots.select(F.col("node").alias("component"), "root")
-    known = spread_join(table, named, ["component"], "node", "left")
+    known = _salted_join(table, named, "component", "left")
     return known.withColumn("component", F.coalesce("root", "component")).drop("root")
 
 
@@ -167,22 +173,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = components(_known_links(classes))
     sets = classes.groupBy("digest").agg(F.min(F.struct("node", "text_hash", "size", "bands")).alias("x")).select("digest", "x.*")
     sets = saved(_joined(sets.withColumn("component", F.col("node")), roots), "sets")
-    left = saved(_divided(sets.select(F.explode("bands").alias("key"), *MEMBER)), "band-members")
+    left = saved(_divided(sets.select(F.explode("bands").alias("key"), *MEMBER), 0), "band-members")
     asked = left.select("node", "digest").distinct().join(sets.select("node", "digest", "text_hash"), ["node", "digest"])
     asked = asked.withColumnRenamed("node", "doc_id")
     texts = rows.join(asked, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "digest"])
     texts = saved(texts.select(F.col("doc_id").alias("node"), "digest", "text"), "asked-texts")
     links, turn = [], 0
     while not left.isEmpty():
-        found = saved(_links(_with_leaders(left, turn), texts), "leader-links")
+        found = _links(left.select(F.struct(*MEMBER).alias("a"), F.col("leader").alias("b")), texts)
         if found.isEmpty():
             break
         links.append(found)
-        before, left = left, saved(_divided(_joined(left, _nearest_roots(found))), "band-members")
-        discard(before)
         turn += 1
+        # Saved, as two shuffles read it.
+        before, moved = left, saved(_joined(left.drop("leader"), _nearest_roots(found)), "moved-members")
+        left = saved(_divided(moved, turn), "band-members")
+        discard(before, moved)
     if not left.isEmpty():
-        links.append(saved(_links(_all_pairs(left), texts), "pair-links"))
+        links.append(_links(_all_pairs(left), texts))
     merged = reduce(DataFrame.union, [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *links])
     final = components(merged)
     named = _joined(classes.select("fp", "digest", "node", F.col("node").alias("component")), final).select("fp", "digest", "component")

@@ -73,3 +73,30 @@ def test_a_saved_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not data() - before
     assert table.count() == counts.count() == 977
+
+
+def test_a_round_divides_its_keys_in_few_shuffles(spark):
+    from corpusloom.llm.common import saved
+
+    rng = random.Random(3)
+    rows = [(key, node, node, 9, rng.choice([1, 1, 1, 5, 7])) for key in range(40) for node in range(rng.choice([1, 2, 30]))]
+    rows += [(99, node, node, 9, 4) for node in range(20)]  # one component: nothing to compare
+    members = saved(spark.createDataFrame(rows, "key long, node long, digest long, size long, component long"))
+    found = alike._divided(members, 0)
+    held = {}
+    for key, node, _, _, component in rows:
+        held.setdefault(key, {})[node] = component
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.key, set()).add(r.node)
+        own = list(held[r.key].values())
+        assert held[r.key][r.leader.node] == r.leader.component
+        assert own.count(r.leader.component) == max(map(own.count, own))
+    assert got == {key: set(nodes) for key, nodes in held.items() if len(set(nodes.values())) > 1}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = alike._divided(members, 0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange ") <= 4
