@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -366,6 +368,18 @@ def apply_strategy(moves: DataFrame, strategy: str, dictionary: DataFrame) -> Da
     )
 
 
+def apply_strategies(moves: DataFrame, strategies: list[str], dictionary: DataFrame) -> DataFrame:
+    """The same moves under each of some strategies, named in ``strategy``; see apply_strategy.
+
+    What the moves hold is worked out once for all strategies, and the texts are left behind.
+    """
+    if "timeline" in strategies and "timeline" not in moves.columns:
+        moves = moves.withColumn("timeline", timeline_date("current", "content", "modified_at"))
+    slim, dictionary = cut_lineage(moves.drop("content")), cut_lineage(dictionary)
+    bent = [apply_strategy(slim, name, dictionary).withColumn("strategy", F.lit(name)) for name in strategies]
+    return reduce(DataFrame.unionByName, bent)
+
+
 # Decisions on single documents.
 
 

@@ -493,8 +493,7 @@ def strategies(spark, sf):
         "content", F.timestamp_micros(F.lit(fx.EPOCH_2024_US) + F.col("doc_id") * fx.MINUTE_US).alias("modified_at"), "folder.category", "folder.subcategory", "plan_title",
     )
     dictionary = n.select(F.explode(F.array(F.lit("src1"), F.lit("work"), F.lit("career"))).alias("key")).distinct().select(F.lit("top").alias("kind"), "key", F.lit("").alias("inner_key"), F.lit(1).cast("bigint").alias("n"))
-    out = [pl.apply_strategy(moves, s, dictionary).select("doc_id", F.lit(s).alias("strategy"), "target", "rationale") for s in ("type", "timeline", "project")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return pl.apply_strategies(moves, ["type", "timeline", "project"], dictionary).select("doc_id", "strategy", "target", "rationale")
 
 
 STRATEGY_SQL = f"""

@@ -789,3 +789,40 @@ def test_neighbours_are_searched_once_and_for_found_notes_only(spark, sf, monkey
     assert len(asked) == 1
     queries_retrieval.route_questions(spark, sf)
     assert len(asked) == 2 and asked[1][0] < asked[1][1]
+
+
+def test_strategies_go_through_the_texts_once(spark):
+    """All strategies together, each as by itself; every text is read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(content):
+        read.add(1)
+        return content
+
+    rows = [(f"src1/en/n{i}.md", f"New/Deep/n{i}.md", f"due 2024-{1 + i % 12:02d}-05 {'x' * i}", "Work", "Data", f"Plan {i}") for i in range(9)]
+    moves = spark.createDataFrame(rows, "current string, target string, content string, category string, subcategory string, plan_title string")
+    moves = moves.withColumn("path", F.col("current")).withColumn("modified_at", F.lit(None).cast("timestamp"))
+    known = spark.createDataFrame([("top", "work", "", 1)], "kind string, key string, inner_key string, n long")
+    names = ["type", "timeline", "project", "meaning"]
+    alone = {(r.path, n): (r.target, r.rationale) for n in names for r in pl.apply_strategy(moves, n, known).collect()}
+    counted = moves.withColumn("content", F.udf(seen, "string")("content"))
+    together = pl.apply_strategies(counted, names, known).collect()
+    assert {(r.path, r.strategy): (r.target, r.rationale) for r in together} == alone and len(together) == 36
+    assert ("Timeline/2024/01-Jan/n0.md", "timeline grouping") in alone.values()
+    assert read.value == 9
+
+
+def test_keywords_months_as_before(spark):
+    """Stop words and fillers, words of the path, early words, ties; months found where no word touches them."""
+    from corpusloom.functions import naming as nm
+    from corpusloom.functions import text as tx
+
+    texts = [
+        ("Area/budget plan.md", "Über Budget-2024 note please alpha alpha beta API api", ["budget", "alpha", "api", "area"]),
+        ("x.md", None, []), ("zeta.md", "", ["zeta"]), ("a.md", " ".join(["late"] * 3 + ["word"] * 40 + ["more"] * 5), ["word", "late", "more"]),
+    ]
+    df = spark.createDataFrame([t[:2] for t in texts], "path string, content string")
+    assert [r[0] for r in df.select(nm.rank_keywords("content", "path")).collect()] == [t[2] for t in texts]
+    dates = {"a2024-05 in 2023/7": (2023, 7), "x 12024-05 2024-13-01 may 3, 2022": (2022, 5), "2024-05-123": (2024, 5), "2024-123 Sept": (None, 9), "none": None, "_2024-05": None}
+    got = spark.createDataFrame([(t,) for t in dates], "t string").select("t", tx.parse_month("t").alias("m")).collect()
+    assert {r.t: r.m and tuple(r.m) for r in got} == dates
