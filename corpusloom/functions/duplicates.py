@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.columns import WORD_END, WORD_START, WS, ColumnLike, choose, col, has_word, let, one_of, squeeze
+from corpusloom.functions.columns import WORD_END, WORD_START, WS, ColumnLike, choose, col, has_word, let, matches, one_of, squeeze
 from corpusloom.functions.paths import folder_depth
 
 # Marks of copies, exports and scans in a file name.
@@ -39,8 +39,7 @@ def normalize_for_dedup(content: ColumnLike) -> Column:
 
 def word_set(text: ColumnLike) -> Column:
     """Distinct words of more than two characters."""
-    spaced = F.regexp_replace(F.lower(col(text)), f"[^a-z0-9{WS[1:-1]}]", " ")
-    return F.array_distinct(F.filter(F.split(spaced, WS + "+"), lambda t: F.length(t) > 2))
+    return F.array_distinct(matches(F.lower(col(text)), "[a-z0-9]{3,}"))
 
 
 def noise_score(path: ColumnLike) -> Column:

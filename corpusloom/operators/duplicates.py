@@ -73,10 +73,15 @@ def length_ratio(x: str, y: str) -> Column:
     return F.least(a, b) / F.greatest(a, b)
 
 
+def _of_shared_stem(profile: DataFrame) -> DataFrame:
+    """Profiles, with or without their texts, that share their stem with another one."""
+    shared = profile.filter(F.col("stem") != "").groupBy("stem").count().filter(F.col("count") > 1).select("stem")
+    return profile.join(shared, "stem", "left_semi")
+
+
 def near_candidates(profile: DataFrame) -> DataFrame:
     """Profiles that share their stem with another one, with their word sets."""
-    shared = profile.filter(F.col("stem") != "").groupBy("stem").count().filter(F.col("count") > 1).select("stem")
-    return profile.join(shared, "stem", "left_semi").withColumn("words", du.word_set("normalized"))
+    return _of_shared_stem(profile).withColumn("words", du.word_set("normalized"))
 
 
 def _rare_word_pairs(candidates: DataFrame) -> DataFrame:
@@ -138,7 +143,10 @@ def _flag(joined: DataFrame) -> DataFrame:
 
 def near_duplicates(profile: DataFrame) -> DataFrame:
     """Near copies, each with the best unflagged match. Give it profiles without exact copies."""
-    open_files = cut_lineage(near_candidates(profile))
+    return _near_copies(cut_lineage(near_candidates(profile)))
+
+
+def _near_copies(open_files: DataFrame) -> DataFrame:
     done = None
     for _ in range(PIVOT_PASSES):
         # The best open file of a stem has no better match, so it stays; whatever is near it is settled.
@@ -166,8 +174,21 @@ def near_duplicates(profile: DataFrame) -> DataFrame:
     return done
 
 
-def detect_duplicates(documents: DataFrame) -> DataFrame:
-    """Every file to delete or merge, with its target and reason."""
+def detect_duplicates(documents: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Every file to delete or merge, with its target and reason.
+
+    ``roles(path, file_role)`` may come by themselves; then only files in it take part. All texts are normalized once, for
+    what identifies them; only texts that may be near copies are read again.
+    """
     profile = duplicate_profile(documents)
-    exact = cut_lineage(exact_duplicates(profile))
-    return exact.unionByName(near_duplicates(profile.join(exact.select("path"), "path", "left_anti")))
+    slim = profile.drop("normalized")
+    if roles is not None:
+        known = roles.select("path", du.role_class("file_role").alias("role"))
+        slim = slim.drop("role").join(known, "path")
+    slim = cut_lineage(slim)
+    exact = cut_lineage(exact_duplicates(slim))
+    open_files = cut_lineage(_of_shared_stem(slim.join(exact.select("path"), "path", "left_anti")).select("path", "role"))
+    texts = duplicate_profile(documents.join(open_files, "path", "left_semi"))
+    if roles is not None:
+        texts = texts.drop("role").join(open_files.distinct(), "path")
+    return exact.unionByName(_near_copies(cut_lineage(texts.withColumn("words", du.word_set("normalized")))))

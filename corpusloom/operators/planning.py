@@ -496,10 +496,10 @@ def build_plan(
     clutter = clutter_folders(paths)
     flattened = clutter.select(*_op("move", "recommended", F.col("path"), F.col("target"), F.col("reason"), text_null, none))
 
-    rest = corpus.join(clutter.select("path"), "path", "left_anti")
-    # Profiles are costly and used many times, so they are written once; they leave the texts behind.
-    profiles = cut_lineage(
-        doc_profile(rest, as_of)
+    # Profiles are costly and used many times, so they are written once; they leave the texts behind. Files of clutter
+    # folders are taken out of them, and not of the texts, which so are never shuffled.
+    profiles = (
+        doc_profile(corpus, as_of)
         .withColumn("timeline", timeline_date("path", "content", "modified_at") if strategy == "timeline" else F.lit(None))
         .select(
             "path", "modified_at", "file_kind", "plan_title", "file_role", "quality", "conservative", "timeline",
@@ -507,11 +507,12 @@ def build_plan(
             pt.strip_notes_root("path").alias("current"), needs_model("path", "content").alias("needs_model"),
         )
     )
+    profiles = cut_lineage(cut_lineage(profiles).join(clutter.select("path"), "path", "left_anti"))
     review = lambda validation: F.struct(
         F.col("file_kind"), F.col("quality.quality").alias("quality"), F.col("quality.reason").alias("quality_reason"), F.col("file_role"),
         F.col("conservative"), F.lit(validation is not None).alias("validated"), F.lit(validation).alias("validation"),
     )
-    copies = detect_duplicates(rest.select("path", "content").join(profiles.select("path", "file_role", "modified_at"), "path"))
+    copies = detect_duplicates(corpus.select("path", "content", "modified_at"), profiles.select("path", "file_role"))
     contexts = profiles.select("path", review(None).alias("review"))
     duplicates = copies.join(contexts, "path").select(
         F.when(F.col("kind") == "merge-recommended", "merge").otherwise("delete").alias("type"),
@@ -522,7 +523,7 @@ def build_plan(
 
     open_files = profiles.join(copies.select("path"), "path", "left_anti")
     analyzed = _analyses(open_files, responses).select("*", "analysis.*").drop("analysis")
-    judged = (
+    judged = cut_lineage(  # both files that stay and files that go read it
         analyzed.withColumn("parse_failed", is_fallback_reason("reason"))
         .withColumn("title_messy", needs_title_cleanup(pt.title_of("current")))
         .withColumn("structured", pt.is_structured("current"))

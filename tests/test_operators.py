@@ -826,3 +826,35 @@ def test_keywords_months_as_before(spark):
     dates = {"a2024-05 in 2023/7": (2023, 7), "x 12024-05 2024-13-01 may 3, 2022": (2022, 5), "2024-05-123": (2024, 5), "2024-123 Sept": (None, 9), "none": None, "_2024-05": None}
     got = spark.createDataFrame([(t,) for t in dates], "t string").select("t", tx.parse_month("t").alias("m")).collect()
     assert {r.t: r.m and tuple(r.m) for r in got} == dates
+
+
+def test_duplicates_normalize_each_text_once(spark):
+    """Roles come by themselves and say who takes part; only possible near copies are read again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(content):
+        read.add(1)
+        return content
+
+    words = [f"word{i}" for i in range(40)]
+    rows = [(f"a/plan {i} draft.md" if i % 4 == 0 else f"a/other{i}.md", " ".join([*words, f"more{i}"]), ["text-note", "image"][i % 2]) for i in range(12)]
+    rows += [("a/plan 0.md", rows[0][1] + " end", "guide"), ("b/same.md", rows[1][1], "image"), ("b/left out.md", rows[1][1], None)]
+    documents = spark.createDataFrame([r[:2] for r in rows], "path string, content string")
+    roles = spark.createDataFrame([(p, role) for p, _, role in rows if role], "path string, file_role string")
+    want = sorted(map(tuple, dd.detect_duplicates(documents.join(roles, "path")).collect()))
+    found = dd.detect_duplicates(documents.withColumn("content", F.udf(seen, "string")("content")), roles)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 1
+    assert not any("left out" in str(r) for r in want)
+    # A filter on what comes of a text counts it again. Before, it was five times.
+    assert read.value <= 4 * len(rows)
+
+
+def test_make_up_of_texts(spark):
+    from corpusloom.functions import text as tx
+
+    texts = [None, "", "  Aé1  b﻿B2 \U0001f600?bb bb ", "KKel x　 y 12"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.extraction_features("t").alias("f")).collect()
+    assert [(f.chars, f.words, *(round(x, 6) for x in f[2:])) if f.chars is not None else None for (f,) in got] == [
+        None, (0, 0, 0.0, 0.0, 0.0, 0.0), (17, 2, 0.5, 0.583333, 0.166667, 0.25), (12, 1, 1.0, 0.625, 0.25, 0.125),
+    ]
+    assert sorted(spark.createDataFrame([("A1b c12 Éab-xyz'xyz  abc",)], "t string").select(du.word_set("t")).first()[0]) == ["a1b", "abc", "c12", "xyz"]
