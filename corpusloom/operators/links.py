@@ -154,6 +154,8 @@ def _literal(text: Column) -> Column:
 WORD = "[a-z0-9_]+"
 # The rows of a title that very many texts mention are spread over so many salts.
 TITLE_SALTS = 16
+# Runs of words are first looked up among so many bits (2 MB), 64 to a number; a choice that moves work, never the result.
+TITLE_BITS = 1 << 24
 
 
 def _shape(title: Column) -> Column:
@@ -188,11 +190,32 @@ def _shingles(words: int, lead: int, tail: int) -> Column:
     return F.transform(F.filter(starts, fits), lambda i: F.unhex(F.md5(text(i).cast("binary"))))
 
 
+def _bit(digest: Column) -> tuple[Column, Column]:
+    """The number that holds a digest's bit, and the bit's place in it."""
+    bit = F.pmod(F.xxhash64(digest), F.lit(TITLE_BITS)).cast("int")
+    return F.shiftright(bit, 6), bit % 64
+
+
+def _title_bits(titles: DataFrame) -> Column:
+    """The bits of all titles' digests, as one array of numbers; of one size, however many titles there are."""
+    number, place = _bit(F.col("digest"))
+    marks = titles.select(number.alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("bit"))
+    marks = marks.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    slots = titles.sparkSession.range(TITLE_BITS // 64).select(F.col("id").cast("int").alias("at"))
+    dense = slots.join(marks, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"])).scalar()
+
+
+def _may_be_title(digest: Column, bits: Column) -> Column:
+    number, place = _bit(digest)
+    return F.call_function("shiftright", F.get(bits, number), place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
 def mention_backlinks(documents: DataFrame, limit: int = BACKLINKS) -> DataFrame:
     """Documents that mention the title of another one as whole words: (path, source, score, rank).
 
     Runs of as many words as titles have are cut from each text, with what stands between the words, and meet the titles
-    by their digests; texts themselves never move. A text that mentions a title holds all its words, so what the text adds
+    by their digests; texts themselves never move, and of their runs only those whose bit some title has. A text that mentions a title holds all its words, so what the text adds
     to the score follows from the title. Equal titles are looked up once. A title without an ASCII word is not looked up.
     """
     display = F.regexp_replace(file_name(strip_notes_root("path")), "(?i)\\.md$", "")
@@ -205,7 +228,9 @@ def mention_backlinks(documents: DataFrame, limit: int = BACKLINKS) -> DataFrame
     lowered = documents.select(F.col("path").alias("source"), F.lower("content").alias("c"))
     cut = lowered.select("source", matches(F.col("c"), WORD).alias("w"), F.split("c", WORD).alias("s"))
     rows = cut.select("source", F.explode(F.concat(*(_shingles(*shape) for shape in shapes))).alias("digest"))
-    asked = titles.select("title", F.unhex(F.md5(F.col("title").cast("binary"))).alias("digest"), F.explode(F.sequence(F.lit(0), F.lit(TITLE_SALTS - 1))).alias("salt"))
+    titles = stored(titles.select("title", F.unhex(F.md5(F.col("title").cast("binary"))).alias("digest")))
+    rows = rows.where(_may_be_title(F.col("digest"), _title_bits(titles)))
+    asked = titles.select("title", "digest", F.explode(F.sequence(F.lit(0), F.lit(TITLE_SALTS - 1))).alias("salt"))
     found = rows.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(TITLE_SALTS)).cast("int")).join(asked, ["digest", "salt"]).select("title", "source").distinct()
     name, where = F.lower(file_name("source")), F.lower("source")
     tokens = F.filter(F.split("title", "\\s+"), lambda t: t != "")

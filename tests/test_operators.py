@@ -858,3 +858,19 @@ def test_make_up_of_texts(spark):
         None, (0, 0, 0.0, 0.0, 0.0, 0.0), (17, 2, 0.5, 0.583333, 0.166667, 0.25), (12, 1, 1.0, 0.625, 0.25, 0.125),
     ]
     assert sorted(spark.createDataFrame([("A1b c12 Éab-xyz'xyz  abc",)], "t string").select(du.word_set("t")).first()[0]) == ["a1b", "abc", "c12", "xyz"]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_only_runs_that_may_be_titles_meet_them(spark, monkeypatch, bits):
+    """The same mentions with few bits and many; a run that is no title is left out before it is shuffled."""
+    monkeypatch.setattr(lk, "TITLE_BITS", bits)
+    rows = [(f"a/plan {i}.md", f"see plan {(i + 1) % 30} and plan {(i + 1) % 30}, not plan {i}x") for i in range(30)]
+    documents = spark.createDataFrame(rows, "path string, content string")
+    found = {(r.path, r.source) for r in lk.mention_backlinks(documents).collect()}
+    assert found == {(f"a/plan {(i + 1) % 30}.md", f"a/plan {i}.md") for i in range(30)}
+    digest = lambda text: F.unhex(F.md5(F.lit(text).cast("binary")))
+    titles = documents.select(F.regexp_extract("path", "(plan.*)[.]md", 1).alias("title")).select(F.unhex(F.md5(F.col("title").cast("binary"))).alias("digest"))
+    every = lk._title_bits(titles)
+    assert titles.where(lk._may_be_title(F.col("digest"), every)).count() == 30
+    other = spark.range(1).select(*(lk._may_be_title(digest(f"other {i}"), every).alias(f"c{i}") for i in range(20))).first()
+    assert sum(other) < 20 and (bits == 64 or not any(other))
